@@ -7,17 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwell.llm import sharding
+from threadwell.llm import licences, pieces, sharding
 from threadwell.llm.common import table
 
 
+def op6_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.hilbert_shards(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sharding": op10_sharding}
+    return {f.__name__: f for f in (op6_licence_scans, op9_sentencepiece, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
