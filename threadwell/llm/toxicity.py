@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,17 @@ from threadwell.llm.common import fold, saved
 MAX_EXAMPLES = 4096
 #: Bound on the terms, those that tell the classes apart best.
 MAX_TERMS = 8192
-#: Least chi-squared, and least ratio of the classes' shares, of a term.
-MIN_CHI2, MIN_RATIO = 12.0, 3.0
+#: Levels of the likelihood-ratio statistic that a term may need (the best on the examples set aside is taken), and the
+#: least ratio of the classes' shares.
+LEVELS, MIN_RATIO = (8.0, 12.0, 16.0, 20.0, 26.0, 34.0), 3.0
 NEIGHBOURS, BLOCK = 15, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters, and stems of 4 and 5 letters of the longer ones (marked by a hyphen)."""
+    words = _WORD.findall(text.lower()) if text else []
+    return words + [w[:4] + "-" for w in words if len(w) > 4] + [w[:5] + "-" for w in words if len(w) > 5]
 
 
 class BlockMaxIndex:
@@ -81,8 +83,7 @@ class Model:
     index: BlockMaxIndex | None = None
     prior: float = 0.0
     class_weight: tuple[float, float] = (1.0, 1.0)
-    slope: float = 1.0
-    offset: float = 0.0
+    theta: tuple[float, float, float] = (1.0, 0.0, 0.0)  # of the vote's log odds, of the log number of terms, offset
 
     def vector(self, counts: Counter) -> dict[int, float]:
         raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
@@ -101,33 +102,42 @@ class Model:
             yes, total = yes + w * self.toxic[i], total + w
         return yes / total
 
-    def score(self, near: list[tuple[float, int]]) -> float:
+    def evidence(self, near: list[tuple[float, int]], n_terms: int) -> tuple[float, float, float]:
         p = min(max(self.vote(near), 1e-6), 1 - 1e-6)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log(p / (1 - p)) + self.offset))))
+        return math.log(p / (1 - p)), math.log1p(n_terms), 1.0
 
-    def calibrate(self, vectors: list[dict[int, float]]) -> None:
-        """Platt scaling on leave-one-out votes of the examples, with smoothed targets and the classes' true shares."""
-        x = []
-        for i, v in enumerate(vectors):
-            near = [h for h in self.index.top(v, NEIGHBOURS + 1) if h[1] != i][:NEIGHBOURS] if self.index else []
-            p = min(max(self.vote(near), 1e-6), 1 - 1e-6)
-            x.append(math.log(p / (1 - p)))
-        x, y = np.array(x), self.toxic.astype(float)
+    def score(self, near: list[tuple[float, int]], n_terms: int) -> float:
+        z = sum(a * b for a, b in zip(self.theta, self.evidence(near, n_terms), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    def calibrate(self, design: np.ndarray, toxic: np.ndarray) -> float:
+        """Logistic calibration of votes on examples outside of the index (rows of `evidence`).
+
+        Targets are smoothed as in Platt's scaling, classes weigh as they occur. Returns the mean log loss after it.
+        """
+        y = toxic.astype(float)
         n1, n0 = y.sum(), len(y) - y.sum()
-        if not n1 or not n0:
-            return
-        target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         weight = np.where(y > 0, self.class_weight[1], self.class_weight[0])
-        design, theta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
-        for _ in range(50):  # Newton steps, with a weak pull to slope 1 and offset 0
+        target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        pull = np.array([1.0, 0.0, 0.0])
+        theta = pull.copy()
+        for _ in range(50):  # Newton steps, with a weak pull to the bare vote
             p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-            grad = design.T @ (weight * (p - target)) + 0.5 * (theta - [1.0, 0.0])
-            hess = (design * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ design + 0.5 * np.eye(2)
-            step = np.linalg.solve(hess, grad)
-            theta = theta - np.clip(step, -2, 2)
+            grad = design.T @ (weight * (p - target)) + 0.2 * (theta - pull)
+            hess = (design * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ design + 0.2 * np.eye(3)
+            step = np.clip(np.linalg.solve(hess, grad), -2, 2)
+            theta = theta - step
             if abs(step).max() < 1e-9:
                 break
-        self.slope, self.offset = max(float(theta[0]), 1e-3), float(theta[1])
+        self.theta = tuple(float(x) for x in theta)
+        p = np.clip(1 / (1 + np.exp(-np.clip(design @ theta, -30, 30))), 1e-6, 1 - 1e-6)
+        return float(-(weight * np.where(y > 0, np.log(p), np.log(1 - p))).sum() / max(weight.sum(), 1e-9))
+
+    def indexed(self, rows: list[tuple[int, bool, Counter]]) -> Model:
+        """This model over an index of the given examples."""
+        # neighbours in the index share their strongest term, which keeps the blocks' bounds tight
+        full = sorted(((i, t, self.vector(c)) for i, t, c in rows), key=lambda r: (max(r[2], key=lambda t: (r[2][t], -t), default=-1), r[0]))
+        return replace(self, ids=[r[0] for r in full], toxic=np.array([r[1] for r in full], bool), index=BlockMaxIndex([r[2] for r in full]))
 
 
 def held_out() -> F.Column:
@@ -139,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled rows outside of the held-out fold.
 
     Of each class the MAX_EXAMPLES rows with the lowest hash of their doc_id are the examples. Terms are words that
-    tell the classes of the examples apart; their document frequencies are counted over all of docs.
+    tell the classes of four fifths of the examples apart, at the level that does best on the other fifth; their
+    document frequencies are counted over all of docs.
     """
     spark = docs.sparkSession
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -159,16 +170,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in count], pa.string()), pa.array([t for _, t in count], pa.bool_()), pa.array(list(count.values()), pa.int64())], names=["term", "toxic", "n"])
 
     size = {bool(r[0]): r[1] for r in examples.groupBy("toxic").count().collect()}
-    n1, n0 = size.get(True, 0), size.get(False, 0)
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(5)) == 0  # a fifth to choose the level and to calibrate
+    chosen = examples.filter(~apart).select("text", "toxic")
+    by_class = {bool(r[0]): r[1] for r in chosen.groupBy("toxic").count().collect()}
+    n1, n0 = by_class.get(True, 0), by_class.get(False, 0)
     if not n1 or not n0:
         return Model({}, np.zeros(0), prior=share.get(True, 0) / max(sum(share.values()), 1))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    both, n = a + b, float(n1 + n0)
-    chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (both * (n - both) * n1 * n0)
+    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
+    # the same statistic for a presence in either class against the class sizes: 2 * sum of observed * log(observed / expected)
+    cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    g2 = 2 * (cell(a, (a + b) * n1 / n) + cell(b, (a + b) * n0 / n) + cell(n1 - a, (n - a - b) * n1 / n) + cell(n0 - b, (n - a - b) * n0 / n))
     ratio = F.abs(F.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))))
-    counted = examples.select("text", "toxic").mapInArrow(terms_of, "term string, toxic boolean, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("b"))
-    best = counted.filter((both < n) & (both >= 2)).withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (ratio >= math.log(MIN_RATIO))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term").collect()
-    vocabulary = {r[0]: i for i, r in enumerate(best)}
+    counted = chosen.mapInArrow(terms_of, "term string, toxic boolean, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("b"))
+    best = counted.filter((a + b < n) & (a + b >= 2)).withColumn("g2", g2).filter((F.col("g2") >= LEVELS[0]) & (ratio >= math.log(MIN_RATIO))).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).select("term", "g2").collect()
+    vocabulary, strength = {r[0]: i for i, r in enumerate(best)}, np.array([r[1] for r in best])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_docs, df = 0, np.zeros(len(vocabulary), np.int64)
@@ -183,20 +198,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     total = found.pop(-1, 0)
     idf = np.array([math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in range(len(vocabulary))])
     model = Model(vocabulary, idf, prior=share[True] / sum(share.values()))
-    model.class_weight = tuple((share[k] / sum(share.values())) / (size[k] / n) for k in (False, True))
+    model.class_weight = tuple((share[k] / sum(share.values())) / (size[k] / sum(size.values())) for k in (False, True))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [model.counts(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
-
-    rows = [(r[0], r[1], Counter(dict(zip(r[2], r[3], strict=True)))) for r in examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic boolean, terms array<int>, counts array<int>").collect()]
-    # neighbours in the index share their strongest term, which keeps the blocks' bounds tight
-    rows = sorted(((i, t, model.vector(c)) for i, t, c in rows), key=lambda r: (max(r[2], key=lambda t: (r[2][t], -t), default=-1), r[0]))
-    model.ids, model.toxic = [r[0] for r in rows], np.array([r[1] for r in rows], bool)
-    model.index = BlockMaxIndex([r[2] for r in rows])
-    model.calibrate([r[2] for r in rows])
-    return model
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["doc_id", "toxic", "apart", "terms", "counts"])
+
+    got = examples.select("doc_id", "text", "toxic", apart.alias("apart")).mapInArrow(vectors, "doc_id long, toxic boolean, apart boolean, terms array<int>, counts array<int>").collect()
+    rows = [(r[0], r[1], dict(zip(r[3], r[4], strict=True)), r[2]) for r in got]
+    best_loss, out = math.inf, None
+    for level in LEVELS:
+        n_terms = int((strength >= level).sum())  # terms are numbered from the strongest
+        cut = [(i, t, Counter({k: c for k, c in counts.items() if k < n_terms}), apart) for i, t, counts, apart in rows]
+        trial = model.indexed([r[:3] for r in cut if not r[3]])
+        votes = [trial.evidence(trial.index.top(trial.vector(r[2]), NEIGHBOURS), len(r[2])) for r in cut if r[3]]
+        loss = trial.calibrate(np.array(votes).reshape(-1, 3), np.array([r[1] for r in cut if r[3]], bool))
+        if loss < best_loss - 1e-12:
+            best_loss = loss
+            out = replace(model.indexed([r[:3] for r in cut]), vocabulary={w: i for w, i in vocabulary.items() if i < n_terms}, theta=trial.theta)
+    return out
 
 
 def _scored(model: Model, column: pa.Array, memo: dict) -> list[tuple[float, list]]:
@@ -209,7 +230,7 @@ def _scored(model: Model, column: pa.Array, memo: dict) -> list[tuple[float, lis
             if len(memo) > 50_000:
                 memo.clear()
             near = model.index.top(model.vector(counts), NEIGHBOURS) if model.index and counts else []
-            memo[key] = model.score(near), near[:3]
+            memo[key] = model.score(near, len(counts)), near[:3]
         out.append(memo[key])
     return out
 
