@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwell.llm import decontamination, hmm, licences, pieces, sharding, toxicity
+from threadwell.llm import decontamination, hmm, jaccard, licences, pieces, sharding, toxicity
 from threadwell.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", toxicity.held_out())
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_held_out(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_model, op5_decontamination, op6_licence_scans, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_language_model, op5_decontamination, op6_licence_scans, op9_sentencepiece, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
