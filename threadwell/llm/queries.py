@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwell.llm import decontamination, hmm, jaccard, lattice, licences, pieces, sharding, toxicity
+from threadwell.llm import decontamination, hmm, jaccard, lattice, licences, lines, pieces, sharding, toxicity
 from threadwell.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate(table(spark, sf_dir, "documents"), keep_emptied=True)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,8 +51,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_language_model, op5_decontamination, op6_licence_scans, op8_embedding_dedup, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_language_model, op4_line_dedup, op5_decontamination, op6_licence_scans, op8_embedding_dedup, op9_sentencepiece, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": lines.ORACLE_SQL}
