@@ -48,14 +48,14 @@ class Filter:
         out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
         return cls(out)
 
-    def keep(self, df: DataFrame, column: str, log_bits: int = 23) -> DataFrame:
-        """The rows whose id may be among the filter's."""
+    def keep(self, df: DataFrame, column: str, log_bits: int = 23, among: bool = True) -> DataFrame:
+        """The rows whose id may be among the filter's; with among=False the others."""
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast(self.bits)
 
         @F.pandas_udf("boolean")
         def may(at: pd.Series) -> pd.Series:
             x = at.to_numpy(np.int64)
-            return pd.Series((shared.value[x // 62] >> (x % 62)) & 1 == 1)
+            return pd.Series(((shared.value[x // 62] >> (x % 62)) & 1 == 1) == among)
 
         return df.filter(may(F.pmod(F.xxhash64(column), F.lit(1 << log_bits))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwell.llm import decontamination, hmm, jaccard, lattice, licences, lines, pieces, sharding, toxicity
+from threadwell.llm import decontamination, hmm, jaccard, lattice, licences, lines, pieces, sharding, substrings, toxicity
 from threadwell.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_language_model, op4_line_dedup, op5_decontamination, op6_licence_scans, op8_embedding_dedup, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_language_model, op4_line_dedup, op5_decontamination, op6_licence_scans, op7_suffix_dedup, op8_embedding_dedup, op9_sentencepiece, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
