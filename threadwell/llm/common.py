@@ -34,6 +34,20 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def most_counted(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of the largest n, as many whole levels of n as fit into limit. counts is a written table.
+
+    The levels are found from a histogram of n, so no task sends more than its share of the rows that are wanted.
+    """
+    total, least = 0, None
+    for n, m in counts.groupBy("n").count().orderBy(F.desc("n")).limit(limit).collect():
+        total += m
+        if total > limit:
+            break
+        least = n
+    return counts.filter(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -86,7 +100,7 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
 
 
-def text_chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for runs of rows of about `limit` bytes; null texts are empty.
 
     A run holds whole texts, so one text longer than the limit makes a run of its own.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadwell.llm.common import distinct_by_text, partitions, saved, shingles, text_chunks, words
+from threadwell.llm.common import distinct_by_text, most_counted, partitions, saved, shingles, text_chunks, words
 from threadwell.llm.components import Filter, connected_components
 
 #: Common shingles that the order knows of, and how often one must occur in a batch of rows to be counted.
@@ -51,7 +51,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             many = count >= LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(unique[many].view(np.int64)), pa.array(count[many])], names=["shingle", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
+    rows = most_counted(saved(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "jaccard-common"), COMMON).toPandas()
     h = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.minimum(np.log2(np.maximum(rows["n"].to_numpy(np.int64), 1)).astype(np.int64) + 1, 31)[order]
@@ -215,3 +215,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     named = grouped(first, label, "node", "component_id").select("digest", "component_id", "copies")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, all columns, without those of a larger doc_id than another of their component.
+
+    Rows that repeat the doc_id that stays are one document and all stay. Documents without shingles and null doc_ids
+    stand alone and stay. Only the ids that go are joined back; texts that surely stay are not
+    shuffled.
+    """
+    classes = jaccard_components(docs, k, num, den)
+    gone = saved(classes.filter("component_id < doc_id").select("doc_id").distinct(), "jaccard-gone")
+    some = Filter.of(gone, "doc_id")
+    tagged = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
+    left = some.keep(tagged, "_id").join(gone.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    return some.keep(tagged, "_id", among=False).unionByName(left).select(*docs.columns)
