@@ -7,7 +7,8 @@ reach the threshold t share a shingle of their prefixes. The steps:
 1. Partition: in each set's first shared prefix shingles, the set is tied to the smallest node there, its centre, if
    an exact comparison links them. What hangs together is a group; most groups are single documents.
 2. Matrix: the union of the prefixes of each group, as rows (shingle, group).
-3. Bound: a query set q has at most c + |q| - a shingles in common with a member of a group, where a of its shingles
+3. Bound: shingles of a prefix that no other prefix has, before a shared one, are in neither common part; and a query
+   set q has at most c + |q| - a shingles in common with a member of a group, where a of its shingles
    lie before the end of the group's shortest-reaching prefix and c of those are in the group's union. Only groups
    where that and the sizes allow the threshold are opened.
 4. Open: first the group's centre is compared with q; only where that does not join the two, its members are.
@@ -173,15 +174,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     nodes = rows.filter("digest is not null").join(first, "digest").filter("doc_id = node").select("node", F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["node", "n", "prefix"])
     nodes = saved(nodes, "jaccard-nodes")
 
-    # shingles in the prefix of two sets or more
+    # shingles in the prefix of two sets or more; room is what a set can share with another set that has the shingle:
+    # all but the earlier shingles of its prefix that no other prefix has, since the other set would have them there
     by_shingle = Window.partitionBy("shingle")
-    live = nodes.select("node", F.explode("prefix").alias("shingle")).withColumns({"m": F.count("*").over(by_shingle)}).filter("m > 1")
-    live = saved(live.withColumn("seed", F.row_number().over(Window.partitionBy("node").orderBy("shingle"))), "jaccard-live")
+    live = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).withColumn("m", F.count("*").over(by_shingle)).filter("m > 1")
+    live = live.withColumn("seed", F.row_number().over(Window.partitionBy("node").orderBy("shingle"))).withColumn("room", F.col("n") - (F.col("at") - F.col("seed") + 1))
+    live = saved(live.drop("at"), "jaccard-live")
 
-    # 1. partition around centres
+    # 1. partition around centres: of the sets with a shingle, the one with the most room for its size, so that of a
+    # family of edited copies it is the original, or the least edited
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SALT_ROWS))
     seeds = live.filter(F.col("seed") <= SEEDS).withColumn("salt", salt)
-    centres = seeds.groupBy("shingle", "salt").agg(F.min("node").alias("a"))
+    centres = seeds.groupBy("shingle", "salt").agg(F.min_by("node", F.struct(F.col("n") - F.col("room"), "node")).alias("a"))
     stars = seeds.join(centres, ["shingle", "salt"]).filter("a != node").select("a", F.col("node").alias("b")).distinct()
     links = saved(verified(plausible(stars, nodes, num, den), docs, k, num, den), "jaccard-links")
     label = connected_components(links)
@@ -192,14 +196,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # 2. the matrix, and what the bound needs of each group
     members = saved(grouped(nodes.select("node", "n", F.element_at("prefix", -1).alias("reach")), label), "jaccard-groups")
     groups = members.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("reach").alias("reach"))
-    tokens = live.select("shingle", "node").join(members.select("node", "group"), "node")
-    matrix = tokens.select("shingle", "group").distinct().join(groups, "group").select("shingle", F.col("group").alias("other"), "least", "most", "reach")
+    tokens = live.select("shingle", "node", "n", "room").join(members.select("node", "group"), "node")
+    matrix = tokens.groupBy("shingle", "group").agg(F.max("room").alias("other_room"), F.min("n").alias("other_n")).join(groups, "group")
+    matrix = matrix.select("shingle", F.col("group").alias("other"), "other_room", "other_n", "least", "most", "reach")
 
     # 3. bound
     size_fits = (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
-    hits = tokens.join(matrix, "shingle").filter("group != other and shingle <= reach").groupBy("node", "group", "other", "least", "most", "reach").agg(F.count("*").alias("c"))
+    room_fits = F.least("room", "other_room") * (num + den) >= num * (F.col("n") + F.col("other_n"))
+    hits = tokens.join(matrix, "shingle").filter((F.col("group") != F.col("other")) & (F.col("shingle") <= F.col("reach")) & size_fits & room_fits)
+    hits = hits.groupBy("node", "group", "other", "least", "most", "reach").agg(F.count("*").alias("c"))
     rest = F.col("n") - F.size(F.filter("prefix", lambda y: y <= F.col("reach")))
-    opened = hits.join(nodes, "node").filter(size_fits & ((F.col("c") + rest) * (num + den) >= num * (F.col("n") + F.col("least")))).select("node", "group", "other")
+    opened = hits.join(nodes, "node").filter((F.col("c") + rest) * (num + den) >= num * (F.col("n") + F.col("least"))).select("node", "group", "other")
     opened = saved(opened, "jaccard-opened")
 
     # 4. open: the centre first, members only where that leaves the two apart
