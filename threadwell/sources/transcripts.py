@@ -22,7 +22,7 @@ def scan(spark: SparkSession, root: str, pattern: str = "*/*.jsonl") -> DataFram
     A file is one row of text until it is split, so that lines keep their numbers; files of any size that are logs of
     one session are meant.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/{pattern}")
+    files = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/{pattern}", wholetext=True)
     meta = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"))
     parts = F.split("path", "/")
     named = meta.withColumns({"project": F.element_at(parts, -2), "stem": F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")})
@@ -151,7 +151,7 @@ def subagents(spark: SparkSession, root: str) -> DataFrame:
         F.max_by("timestamp", F.when(F.nullif(F.col("timestamp"), F.lit("")).isNotNull(), F.col("line_no"))).alias("last_message_at"),
         F.substring(F.min_by("text", F.when(F.col("type") == "user", F.col("line_no"))), 1, 500).alias("first_prompt"),
     )
-    side = spark.read.option("wholetext", True).option("pathGlobFilter", "*.meta.json").option("recursiveFileLookup", True).text(root)
+    side = spark.read.option("pathGlobFilter", "*.meta.json").option("recursiveFileLookup", True).text(root, wholetext=True)
     v = F.try_parse_json("value")
     side = side.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl").alias("path"), F.try_variant_get(v, "$.agentType", "string").alias("agent_type"), F.try_variant_get(v, "$.description", "string").alias("description"))
     return file.join(stats, "path", "left").join(side, "path", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0))).withColumnRenamed("path", "jsonl_path")
