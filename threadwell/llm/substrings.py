@@ -298,7 +298,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     texts = some.keep(keyed.withColumn("key", key), "key").join(places, ["doc", "tag"])
     runs = saved(_suffix_runs(texts, length, 8 * partitions(spark)), "substring-runs")
     members = runs.filter("ctx is not null").select("ctx", "doc", "tag", "place")
-    spans = members.join(_answers(runs, length), "ctx").select("doc", "tag", F.struct("place", "bits").alias("hit")).distinct()
+    answers = saved(_answers(runs, length), "substring-answers")  # written, so that a suffix of very many members can be split in the join
+    spans = members.join(answers, "ctx").select("doc", "tag", F.struct("place", "bits").alias("hit")).distinct()
     spans = saved(spans.groupBy("doc", "tag").agg(F.collect_list("hit").alias("hits")), "substring-spans")
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<start: bigint, end: bigint>>, text string" if with_text else "")
