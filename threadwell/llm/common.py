@@ -120,6 +120,8 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         hi = min(hi, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    del data, buffer, column
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

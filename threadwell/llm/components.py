@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,29 +31,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 class Filter:
-    """A Bloom filter of one hash over a fixed number of bits: false positives at worst, so it only saves work."""
+    """A Bloom filter of one hash over a fixed number of bits: false positives at worst, so it only saves work.
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    The bits are a table of at most 2**log_bits / 62 rows, so it can be broadcast whatever the number of ids.
+    """
+
+    def __init__(self, words: DataFrame, log_bits: int):
+        self.words, self.log_bits = words, log_bits
 
     @classmethod
     def of(cls, ids: DataFrame, column: str, log_bits: int = 23) -> Filter:
-        """Built by Spark; 2**log_bits bits come to the driver in words of 62, whatever the number of ids."""
         at = F.pmod(F.xxhash64(column), F.lit(1 << log_bits))
-        words = ids.select((at / 62).cast("long").alias("word"), (at % 62).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-        out = np.zeros(((1 << log_bits) // 62 + 1), np.int64)
-        got = words.toPandas()
-        out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-        return cls(out)
+        bits = ids.select(F.floor(at / 62).alias("_word"), (at % 62).cast("int").alias("bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_bits"))
+        return cls(saved(bits, "filter"), log_bits)
 
-    def keep(self, df: DataFrame, column: str, log_bits: int = 23, among: bool = True) -> DataFrame:
+    def keep(self, df: DataFrame, column: str, among: bool = True) -> DataFrame:
         """The rows whose id may be among the filter's; with among=False the others."""
-        spark = df.sparkSession
-        shared = spark.sparkContext.broadcast(self.bits)
-
-        @F.pandas_udf("boolean")
-        def may(at: pd.Series) -> pd.Series:
-            x = at.to_numpy(np.int64)
-            return pd.Series(((shared.value[x // 62] >> (x % 62)) & 1 == 1) == among)
-
-        return df.filter(may(F.pmod(F.xxhash64(column), F.lit(1 << log_bits))))
+        at = F.pmod(F.xxhash64(column), F.lit(1 << self.log_bits))
+        placed = df.withColumns({"_word": F.floor(at / 62), "_bit": (at % 62).cast("int")})
+        found = placed.join(F.broadcast(self.words), "_word", "left")
+        set_ = F.expr("(shiftright(coalesce(_bits, 0L), _bit) & 1L) = 1L")
+        return found.filter(set_ if among else ~set_).select(*(F.col(f"`{c}`") for c in df.columns))
