@@ -4,8 +4,8 @@ Documents are sets of word shingles. Equal sets are one node, named by its small
 order, common ones last and else by hash, and a set's prefix is its first n - ceil(t n) + 1 shingles: two sets that
 reach the threshold t share a shingle of their prefixes. The steps:
 
-1. Partition: in each set's first shared prefix shingles, the set is tied to the smallest node there, its centre, if
-   an exact comparison links them. What hangs together is a group; most groups are single documents.
+1. Partition: in the rarest and the commonest prefix shingles that a set shares, it is tied to the least edited set
+   there, its centre, if an exact comparison links them. What hangs together is a group; most are single documents.
 2. Matrix: the union of the prefixes of each group, as rows (shingle, group).
 3. Bound: shingles of a prefix that no other prefix has, before a shared one, are in neither common part; and a query
    set q has at most c + |q| - a shingles in common with a member of a group, where a of its shingles
@@ -35,7 +35,7 @@ from threadwell.llm.components import Filter, connected_components
 COMMON, LOCAL = 1 << 17, 3
 #: Expected sets of one shingle (or partners of one centre) that one task handles together.
 SALT_ROWS = 1000
-#: Prefix shingles by which a set seeks a centre.
+#: Prefix shingles by which a set seeks a centre: so many of the rarest that it shares, and of the commonest.
 SEEDS = 3
 
 
@@ -179,13 +179,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     by_shingle = Window.partitionBy("shingle")
     live = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).withColumn("m", F.count("*").over(by_shingle)).filter("m > 1")
     live = live.withColumn("seed", F.row_number().over(Window.partitionBy("node").orderBy("shingle"))).withColumn("room", F.col("n") - (F.col("at") - F.col("seed") + 1))
+    live = live.withColumn("last", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shingle"))))
     live = saved(live.drop("at"), "jaccard-live")
 
-    # 1. partition around centres: of the sets with a shingle, the one with the most room for its size, so that of a
-    # family of edited copies it is the original, or the least edited
+    # 1. partition around centres: of all sets with a shingle, the one with the most room for its size, so that of a
+    # family of edited copies it is the original, or the least edited; the salt only spreads the join
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SALT_ROWS))
-    seeds = live.filter(F.col("seed") <= SEEDS).withColumn("salt", salt)
-    centres = seeds.groupBy("shingle", "salt").agg(F.min_by("node", F.struct(F.col("n") - F.col("room"), "node")).alias("a"))
+    seeds = live.filter((F.col("seed") <= SEEDS) | (F.col("last") <= SEEDS)).withColumn("salt", salt)
+    best = live.groupBy("shingle").agg(F.min_by("node", F.struct(F.col("n") - F.col("room"), "node")).alias("a"))
+    centres = seeds.select("shingle", "salt").distinct().join(best, "shingle")
     stars = seeds.join(centres, ["shingle", "salt"]).filter("a != node").select("a", F.col("node").alias("b")).distinct()
     links = saved(verified(plausible(stars, nodes, num, den), docs, k, num, den), "jaccard-links")
     label = connected_components(links)
