@@ -11,7 +11,8 @@ reach the threshold t share a shingle of their prefixes. The steps:
    set q has at most c + |q| - a shingles in common with a member of a group, where a of its shingles
    lie before the end of the group's shortest-reaching prefix and c of those are in the group's union. Only groups
    where that and the sizes allow the threshold are opened.
-4. Open: first the group's centre is compared with q; only where that does not join the two, its members are.
+4. Open: first the group's centre is compared with q; only where that does not join the two, its members are. Parity
+   sketches bound what two sets have in common before their texts are fetched.
 
 So a family of n near copies costs about n comparisons, while every pair of different texts at or over the threshold
 that would join two components is found. Comparisons are exact, on 64-bit shingle hashes.
@@ -24,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadwell.llm.common import distinct_by_text, most_counted, partitions, saved, shingles, text_chunks, words
+from threadwell.llm.common import distinct_by_text, mix, most_counted, partitions, saved, shingles, text_chunks, words
 from threadwell.llm.components import Filter, connected_components
 
 #: Common shingles that the order knows of, and how often one must occur in a batch of rows to be counted.
@@ -37,6 +38,8 @@ COMMON, LOCAL = 1 << 17, 3
 SALT_ROWS = 1000
 #: Prefix shingles by which a set seeks a centre: so many of the rarest that it shares, and of the commonest.
 SEEDS = 3
+#: 64-bit words of a set's sketch.
+SKETCH = 8
 
 
 def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +70,27 @@ def keys(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketches(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """SKETCH words for each set h[cut[i]:cut[i + 1]]: bit j is the parity of the shingles that hash to j.
+
+    A shingle of only one of two sets flips one bit, so two sketches differ in at most as many bits as the sets do
+    in shingles: an exact upper bound of what they have in common.
+    """
+    own = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    at = (mix(h) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = (np.bincount(own * 64 * SKETCH + at, minlength=(len(cut) - 1) * 64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def sketch_fits(a: str, b: str, na: str, nb: str, num: int, den: int) -> Column:
+    """Whether the sketches a and b leave room for the threshold: |x| + |y| - |x ^ y| >= 2 t / (1 + t) (|x| + |y|)."""
+    apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    total = F.col(na) + F.col(nb)
+    return (total - apart) * (num + den) >= 2 * num * total
+
+
 def prefixes(docs: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and ascending prefix keys of every row."""
+    """doc_id, n_shingles, digest of the set (null if empty), sketch and ascending prefix keys of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,13 +101,14 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarr
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
                 n = np.diff(cut)
                 digest = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).hexdigest() if b > a else None for a, b in zip(cut, cut[1:], strict=False)]
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * SKETCH), pa.array(sketches(h, cut)))
                 key = keys(h, shared.value)
                 key = key[np.lexsort((key, owner))]
                 take = np.arange(len(key)) - cut[owner] < (n - (num * n + den - 1) // den + 1)[owner]
                 ends = np.searchsorted(owner[take], np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[take]))], names=["doc_id", "n_shingles", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest, pa.string()), sketch, pa.ListArray.from_arrays(pa.array(ends), pa.array(key[take]))], names=["doc_id", "n_shingles", "digest", "sketch", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest string, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest string, sketch array<long>, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -171,7 +194,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = saved(prefixes(docs, k, num, den, common_shingles(docs, k)), "jaccard-rows")
     some = rows.filter("digest is not null and doc_id is not null")
     first = some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    nodes = rows.filter("digest is not null").join(first, "digest").filter("doc_id = node").select("node", F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["node", "n", "prefix"])
+    nodes = rows.filter("digest is not null").join(first, "digest").filter("doc_id = node").select("node", F.col("n_shingles").alias("n"), "sketch", "prefix").dropDuplicates(["node", "n", "sketch", "prefix"])
     nodes = saved(nodes, "jaccard-nodes")
 
     # shingles in the prefix of two sets or more; room is what a set can share with another set that has the shingle:
@@ -196,7 +219,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return df.join(labels.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
 
     # 2. the matrix, and what the bound needs of each group
-    members = saved(grouped(nodes.select("node", "n", F.element_at("prefix", -1).alias("reach")), label), "jaccard-groups")
+    members = saved(grouped(nodes.select("node", "n", "sketch", F.element_at("prefix", -1).alias("reach")), label), "jaccard-groups")
     groups = members.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("reach").alias("reach"))
     tokens = live.select("shingle", "node", "n", "room").join(members.select("node", "group"), "node")
     matrix = tokens.groupBy("shingle", "group").agg(F.max("room").alias("other_room"), F.min("n").alias("other_n")).join(groups, "group")
@@ -208,16 +231,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     hits = tokens.join(matrix, "shingle").filter((F.col("group") != F.col("other")) & (F.col("shingle") <= F.col("reach")) & size_fits & room_fits)
     hits = hits.groupBy("node", "group", "other", "least", "most", "reach").agg(F.count("*").alias("c"))
     rest = F.col("n") - F.size(F.filter("prefix", lambda y: y <= F.col("reach")))
-    opened = hits.join(nodes, "node").filter((F.col("c") + rest) * (num + den) >= num * (F.col("n") + F.col("least"))).select("node", "group", "other")
+    opened = hits.join(nodes, "node").filter((F.col("c") + rest) * (num + den) >= num * (F.col("n") + F.col("least"))).select("node", "n", "sketch", "group", "other")
     opened = saved(opened, "jaccard-opened")
 
     # 4. open: the centre first, members only where that leaves the two apart
-    to_centre = opened.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    # of pairs of sets, first what the sketches allow
+    fits = sketch_fits("sketch", "other_sketch", "n", "other_n", num, den)
+    centre = members.filter("node = group").select(F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
+    to_centre = opened.join(centre, "other").filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links2 = saved(verified(plausible(to_centre, nodes, num, den), docs, k, num, den), "jaccard-links")
     label = connected_components(links.unionByName(links2))
     apart = grouped(grouped(opened, label, "node", "x"), label, "other", "y").filter("x != y")
-    inner = members.select(F.col("group").alias("other"), F.col("node").alias("member")).filter("member != other")
-    to_members = apart.join(inner, "other").select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")).distinct()
+    inner = members.select(F.col("group").alias("other"), F.col("node").alias("member"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch")).filter("member != other")
+    to_members = apart.join(inner, "other").filter(fits).select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")).distinct()
     links3 = saved(verified(plausible(to_members, nodes, num, den), docs, k, num, den), "jaccard-links")
     label = connected_components(links.unionByName(links2).unionByName(links3))
 
