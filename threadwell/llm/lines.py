@@ -11,6 +11,9 @@ an interval is the original, the others are later copies of that run.
 Two exact reductions keep the array small: lines that occur once, and pairs of neighbouring lines that occur once,
 can be in no repeated run (of two lines or more), so sequences are cut there; and a sequence leaves the doubling once
 the step covers it.
+
+A line of more than LONG_WORDS words is a run by itself. Its interval is the lines of its identity, so its first
+member needs no doubling: it is the least of the group.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql.window import Window
 from threadwell.llm.common import saved
 
 _NO_ID = (1 << 63) - 1
+#: A single line of more words than this is a passage, and its later copies go whatever stands around them.
+LONG_WORDS = 50
 #: What makes a line more than blank.
 VISIBLE = r"[^\x20\x09-\x0D]"
 
@@ -35,12 +40,18 @@ def _split(text: str | Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc, tag, idx (among lines that are not blank), pos (among all lines) and id of each line, documents once."""
+def _is_long(line: Column) -> Column:
+    """Whether a line has more than LONG_WORDS words; so many words take two characters each, but for the last."""
+    return F.when(F.length(line) > 2 * LONG_WORDS, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) > LONG_WORDS).otherwise(F.lit(False))
+
+
+def line_table(docs: DataFrame, with_long: bool = False) -> DataFrame:
+    """doc, tag, idx (among lines that are not blank), pos (among all lines) and id of each line, documents once; and long."""
     numbered = F.transform(_split("text"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
     seen = F.filter(numbered, lambda s: s["line"].rlike(VISIBLE))
     lines = _keyed(docs).select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), F.posexplode(seen).alias("idx", "s"))
-    return lines.select("doc", "tag", "idx", F.col("s.pos").alias("pos"), F.unhex(F.md5(F.col("s.line").cast("binary"))).alias("id"))
+    long = [_is_long(F.col("s.line")).alias("long")] if with_long else []
+    return lines.select("doc", "tag", "idx", F.col("s.pos").alias("pos"), F.unhex(F.md5(F.col("s.line").cast("binary"))).alias("id"), *long)
 
 
 def _sequences(lines: DataFrame) -> DataFrame:
@@ -84,20 +95,32 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     return rows if done is None else done.unionByName(rows)
 
 
-def removed_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """doc, tag, idx, pos of every line in a later copy of a run of min_lines lines or more (a power of two)."""
+def _long_copies(lines: DataFrame) -> DataFrame:
+    """The long lines that stand earlier elsewhere: doc, tag, idx, pos."""
+    me, long = F.struct("doc", "tag", "idx"), lines.filter("long")
+    first = long.groupBy("id").agg(F.min(me).alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    return long.join(first, "id").filter(F.col("first") < me).select("doc", "tag", "idx", "pos")
+
+
+def removed_lines(docs: DataFrame, min_lines: int | None = None) -> DataFrame:
+    """doc, tag, idx, pos of every line in a later copy of a run: of min_lines lines or more (a power of two), or, if
+    it is not given, of two lines or more or of one long line."""
+    by_words, min_lines = min_lines is None, 2 if min_lines is None else min_lines
     if min_lines < 2 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two, 2 at least")
-    suffixes = suffix_array(saved(line_table(docs).dropDuplicates(["doc", "tag", "idx"]), "lines"))
+    lines = saved(line_table(docs, by_words).dropDuplicates(["doc", "tag", "idx"]), "lines")
+    suffixes = suffix_array(lines.drop("long"))
     reach = F.max(F.when(F.col("depth") >= min_lines, F.col("idx") + F.col("depth"))).over(Window.partitionBy("doc", "tag").orderBy("idx"))
-    return suffixes.withColumn("reach", reach).filter("reach > idx").select("doc", "tag", "idx", "pos")
+    runs = suffixes.withColumn("reach", reach).filter("reach > idx").select("doc", "tag", "idx", "pos")
+    return runs.unionByName(_long_copies(lines)).distinct() if by_words else runs
 
 
-def deduplicate(docs: DataFrame, min_lines: int = 2, keep_emptied: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, min_lines: int | None = None, keep_emptied: bool = False) -> DataFrame:
     """docs with the later copies of repeated line runs cut out of their texts, and n_lines, n_removed, n_runs.
 
-    A run of min_lines neighbouring lines or more (blank ones aside) that begins earlier elsewhere, by document id and
-    then position, is deleted; the earliest copy stays, within one document too. n_lines counts the lines that are not
+    A run of two neighbouring lines or more (blank ones aside), or of one line of more than LONG_WORDS words, that
+    begins earlier elsewhere, by document id and then position, is deleted; the earliest copy stays, within one
+    document too. With min_lines, runs of so many lines or more are deleted and no others. n_lines counts the lines that are not
     blank, n_runs the stretches deleted. Blank lines stay. A document of which no visible line is left goes, unless
     keep_emptied. Null texts stay null and empty texts empty. Rows that repeat a doc_id with the same text are one
     document, and each of them keeps what it keeps; null doc_ids come last. Other columns are kept as they are.

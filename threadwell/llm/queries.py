@@ -25,7 +25,7 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.deduplicate(table(spark, sf_dir, "documents"), keep_emptied=True)
+    out = lines.deduplicate(table(spark, sf_dir, "documents"), min_lines=2, keep_emptied=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
