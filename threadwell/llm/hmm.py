@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from threadwell.llm.common import fold, most_counted, saved, text_chunks, words
 
 SYMBOLS, CLASSES, STATES = 1 << 16, 1 << 11, 8
-#: Bytes of training text that the first rounds of Baum-Welch use; the last FULL_ROUNDS use all of it.
-SAMPLE_BYTES, SAMPLE_ROUNDS, FULL_ROUNDS, SEGMENT = 8 << 20, 12, 1, 64
+#: The first rounds of Baum-Welch take one of PARTS disjoint parts of the training rows each, the last FULL_ROUNDS all.
+PARTS, FULL_ROUNDS, SEGMENT = 12, 1, 64
 
 
 @dataclass
@@ -150,8 +150,11 @@ def expected_counts(model: Hmm, sym: np.ndarray, length: np.ndarray, emit: np.nd
     return likely[0].sum(0), move
 
 
-def baum_welch(train: DataFrame, alpha: Alphabet, model: Hmm) -> Hmm:
-    """One round: expected counts of each partition's texts, cut into segments, are summed by Spark."""
+def baum_welch(train: DataFrame, alpha: Alphabet, model: Hmm, seen: Hmm | None = None) -> tuple[Hmm, Hmm]:
+    """One round: expected counts of each partition's texts, cut into segments, are summed by Spark.
+
+    Returns the next model and the counts that it comes from: those of train, added to those seen in other rows.
+    """
     spark, k, n_symbols = train.sparkSession, len(model.start), alpha.end + 1
     shared = spark.sparkContext.broadcast((alpha, model))
 
@@ -179,30 +182,32 @@ def baum_welch(train: DataFrame, alpha: Alphabet, model: Hmm) -> Hmm:
     columns = [f"s{j}" for j in range(k)]
     sums = train.select("text").mapInArrow(run, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
     shared.unpersist()
-    emit, move, start = 100 * np.repeat(alpha.unigram()[:, None], k, 1), np.ones((k, k)), np.ones(k)
+    total = Hmm(np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k))) if seen is None else Hmm(seen.start.copy(), seen.move.copy(), seen.emit.copy())
     ids, values = sums["symbol"].to_numpy(), sums[columns].to_numpy()
-    emit[ids[ids >= 0]] += values[ids >= 0]
+    total.emit[ids[ids >= 0]] += values[ids >= 0]
     for i, v in zip(ids[ids < 0], values[ids < 0], strict=True):
         if i == -1 - k:
-            start += v
+            total.start += v
         else:
-            move[-1 - i] += v
-    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+            total.move[-1 - i] += v
+    emit, move, start = total.emit + 100 * alpha.unigram()[:, None], total.move + 1, total.start + 1
+    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), total
 
 
 def fit(train: DataFrame, alpha: Alphabet, states: int = STATES) -> Hmm:
-    """Train from a fixed random start: SAMPLE_ROUNDS on a bounded sample, then FULL_ROUNDS on all training rows."""
+    """Train from a fixed random start: incremental EM over PARTS disjoint parts, then FULL_ROUNDS on all training rows.
+
+    Each of the first rounds adds the expected counts of its part to those of the parts before, so after them, and
+    after a full round, every training row has counted once.
+    """
     rng = np.random.default_rng(7)
     emit = alpha.unigram()[:, None] * rng.gamma(2.0, size=(alpha.end + 1, states))
     model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.05 / states) + 0.95 * np.eye(states), emit / emit.sum(0))
-    total = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    every = max(1, total // SAMPLE_BYTES)
-    spark = train.sparkSession
-    sample = saved(train.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(every)) == 0).select("text").repartition(spark.sparkContext.defaultParallelism), "hmm-sample")
-    for _ in range(SAMPLE_ROUNDS):
-        model = baum_welch(sample, alpha, model)
+    part, seen = F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(PARTS)), None
+    for i in range(PARTS):
+        model, seen = baum_welch(train.filter(part == i), alpha, model, seen)
     for _ in range(FULL_ROUNDS):
-        model = baum_welch(train, alpha, model)
+        model, _ = baum_welch(train, alpha, model)
     return model
 
 
