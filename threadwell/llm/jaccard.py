@@ -228,8 +228,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # 3. bound
     size_fits = (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
     room_fits = F.least("room", "other_room") * (num + den) >= num * (F.col("n") + F.col("other_n"))
-    hits = tokens.join(matrix, "shingle").filter((F.col("group") != F.col("other")) & (F.col("shingle") <= F.col("reach")) & size_fits & room_fits)
-    hits = hits.groupBy("node", "group", "other", "least", "most", "reach").agg(F.count("*").alias("c"))
+    hits = tokens.join(matrix, "shingle").filter((F.col("group") != F.col("other")) & size_fits & room_fits)
+    # any shared prefix shingle makes a candidate, but only those up to the reach count as seen: the rest is open
+    hits = hits.groupBy("node", "group", "other", "least", "most", "reach").agg(F.count_if(F.col("shingle") <= F.col("reach")).alias("c"))
     rest = F.col("n") - F.size(F.filter("prefix", lambda y: y <= F.col("reach")))
     opened = hits.join(nodes, "node").filter((F.col("c") + rest) * (num + den) >= num * (F.col("n") + F.col("least"))).select("node", "n", "sketch", "group", "other")
     opened = saved(opened, "jaccard-opened")
