@@ -22,18 +22,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (local tests)."""
+    """The folder of this application that the driver and all executors share, below spark.checkpoint.dir.
+
+    A temporary folder serves where that is unset and Spark is local; on a cluster it must be set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or os.path.join(tempfile.gettempdir(), "threadwell-checkpoints")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "threadwell-checkpoints")
+    return f"{base}/threadwell/{spark.sparkContext.applicationId}"
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/threadwell/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a `saved` table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that this application's operators have saved: to be called once their results are written."""
+    _delete(spark, shared_dir(spark))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def most_counted(counts: DataFrame, limit: int) -> DataFrame:
     """The rows of the largest n, as many whole levels of n as fit into limit. counts is a written table.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadwell.llm.common import saved
+from threadwell.llm.common import discard, saved, unused
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,28 +27,38 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v")
-        pairs = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, pairs = pairs, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(before)
+
+
+#: Bits of a filter: 16 for each id, between these powers of two.
+LEAST_BITS, MOST_BITS = 16, 27
 
 
 class Filter:
-    """A Bloom filter of one hash over a fixed number of bits: false positives at worst, so it only saves work.
+    """A Bloom filter of one hash, sized by the number of its ids: false positives at worst, so it only saves work.
 
-    The bits are a table of at most 2**log_bits / 62 rows, so it can be broadcast whatever the number of ids.
+    The bits are a table of at most 2**MOST_BITS / 62 rows, which is what may be broadcast (some 35 MB). More ids than
+    that has room for thin the filter out; then all rows go on to the exact join that follows each use.
     """
 
     def __init__(self, words: DataFrame, log_bits: int):
         self.words, self.log_bits = words, log_bits
 
     @classmethod
-    def of(cls, ids: DataFrame, column: str, log_bits: int = 23) -> Filter:
+    def of(cls, ids: DataFrame, column: str) -> Filter:
+        """The filter of a column of ids (a written table)."""
+        n = ids.count()
+        log_bits = min(max((16 * n).bit_length(), LEAST_BITS), MOST_BITS)
         at = F.pmod(F.xxhash64(column), F.lit(1 << log_bits))
-        bits = ids.select(F.floor(at / 62).alias("_word"), (at % 62).cast("int").alias("bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_bits"))
+        bits = ids.select(F.floor(at / 62).alias("word"), (at % 62).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
         return cls(saved(bits, "filter"), log_bits)
 
     def keep(self, df: DataFrame, column: str, among: bool = True) -> DataFrame:
         """The rows whose id may be among the filter's; with among=False the others."""
-        at = F.pmod(F.xxhash64(column), F.lit(1 << self.log_bits))
-        placed = df.withColumns({"_word": F.floor(at / 62), "_bit": (at % 62).cast("int")})
-        found = placed.join(F.broadcast(self.words), "_word", "left")
-        set_ = F.expr("(shiftright(coalesce(_bits, 0L), _bit) & 1L) = 1L")
+        at = F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(1 << self.log_bits))
+        word, bit, bits = (unused(df, x) for x in ("word", "bit", "bits"))
+        placed = df.withColumns({word: F.floor(at / 62), bit: (at % 62).cast("int")})
+        found = placed.join(F.broadcast(self.words.withColumnsRenamed({"word": word, "bits": bits})), word, "left")
+        set_ = F.expr(f"(shiftright(coalesce(`{bits}`, 0L), `{bit}`) & 1L) = 1L")
         return found.filter(set_ if among else ~set_).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -7,15 +7,18 @@ reach the threshold t share a shingle of their prefixes. The steps:
 1. Partition: in the rarest and the commonest prefix shingles that a set shares, it is tied to the least edited set
    there, its centre, if an exact comparison links them. What hangs together is a group; most are single documents.
 2. Matrix: the union of the prefixes of each group, as rows (shingle, group).
-3. Bound: shingles of a prefix that no other prefix has, before a shared one, are in neither common part; and a query
-   set q has at most c + |q| - a shingles in common with a member of a group, where a of its shingles
-   lie before the end of the group's shortest-reaching prefix and c of those are in the group's union. Only groups
-   where that and the sizes allow the threshold are opened.
-4. Open: first the group's centre is compared with q; only where that does not join the two, its members are. Parity
-   sketches bound what two sets have in common before their texts are fetched.
+3. Bound, in the join of queries and matrix itself, so that only groups which may qualify become rows: shingles of a
+   prefix that no other prefix has, before a shared one, are in neither common part; the parity sketches of q and of
+   the group's head differ in d bits and those of the head and its members in r at most, so q and any member differ
+   in d - r shingles at least. After it, q has at most c + |q| - a shingles in common with a member, where a of its
+   shingles lie before the end of the group's shortest-reaching prefix and c of those are in the group's union. Only
+   groups where that and the sizes allow the threshold are opened.
+4. Open: first the group's head is compared with q; only where that does not join the two, its members are.
 
 So a family of n near copies costs about n comparisons, while every pair of different texts at or over the threshold
-that would join two components is found. Comparisons are exact, on 64-bit shingle hashes.
+that would join two components is found. In a family of n texts that are all just below the threshold, pairs that
+share a prefix shingle are still judged one by one, but by numbers in the join, without rows or texts. Comparisons are
+exact, on 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadwell.llm.common import distinct_by_text, mix, most_counted, partitions, saved, shingles, text_chunks, words
+from threadwell.llm.common import distinct_by_text, mix, most_counted, partitions, saved, shingles, text_chunks, unused, words
 from threadwell.llm.components import Filter, connected_components
 
 #: Common shingles that the order knows of, and how often one must occur in a batch of rows to be counted.
@@ -82,11 +85,17 @@ def sketches(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def sketch_fits(a: str, b: str, na: str, nb: str, num: int, den: int) -> Column:
-    """Whether the sketches a and b leave room for the threshold: |x| + |y| - |x ^ y| >= 2 t / (1 + t) (|x| + |y|)."""
-    apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    total = F.col(na) + F.col(nb)
-    return (total - apart) * (num + den) >= 2 * num * total
+def sketch_gap(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+
+
+def gap_fits(gap: Column, total: Column, num: int, den: int) -> Column:
+    """Whether sets of `total` shingles together that differ in at least `gap` may reach the threshold t.
+
+    |x & y| >= t / (1 + t) (|x| + |y|) says that |x ^ y| <= (1 - t) / (1 + t) (|x| + |y|).
+    """
+    return gap * (den + num) <= total * (den - num)
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -114,31 +123,24 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarr
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids whose sets reach the threshold num/den.
 
-    Each set goes once to each of its pairs' a (salted, so that a much wanted centre is spread over tasks); a task
-    holds one centre's set and streams its partners by.
+    Each set is made once and goes to each of its pairs' a (salted, so that a much wanted centre is spread over
+    tasks); a task holds one centre's set and streams its partners by.
     """
     spark = docs.sparkSession
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / SALT_ROWS)).cast("int"))
-    salted = saved(salted, "jaccard-pairs")
-    need = salted.select(F.col("b").alias("doc_id"), F.struct("a", "salt", F.lit(1).alias("role")).alias("at")).unionByName(salted.select(F.col("a").alias("doc_id"), F.struct("a", "salt", F.lit(0).alias("role")).alias("at")).distinct())
-    need = need.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    texts = Filter.of(need, "doc_id").keep(docs.select("doc_id", "text"), "doc_id").join(need, "doc_id")
+    pairs = saved(pairs, "jaccard-pairs")
+    salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
+    need = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).distinct())
+    some = need.select("doc_id").distinct()
+    texts = Filter.of(some, "doc_id").keep(docs.select("doc_id", "text"), "doc_id").join(some, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2)
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 h, owner, _, _ = words(data, offsets)
                 h, owner = distinct_by_text(*shingles(h, owner, hi - lo, k))
-                cut = np.searchsorted(owner, np.arange(hi - lo + 1))
-                out: list[tuple] = []
-                for i in range(hi - lo):
-                    own, me = h[cut[i] : cut[i + 1]].tobytes(), batch.column(0)[lo + i].as_py()
-                    out += [(x["a"], x["salt"], x["role"], me, own) for x in at[lo + i].as_py()]
-                    if len(out) >= 256 or i == hi - lo - 1:
-                        if out:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                        out = []
+                cut = np.searchsorted(owner, np.arange(hi - lo + 1)) * 8
+                whole = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(h)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), whole.cast(pa.binary())], names=["doc_id", "own"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre: tuple | None = None
@@ -161,10 +163,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
                             break
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    names, types = ["a", "salt", "role", "doc_id", "own"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
     return (
-        texts.select("doc_id", "text", "at")
-        .mapInArrow(sets, "a long, salt int, role int, doc_id long, own binary")
+        need.join(texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, own binary"), "doc_id")
+        .select("a", "salt", "role", "doc_id", "own")
         .repartition(partitions(spark), "a", "salt")
         .sortWithinPartitions("a", "salt", "role")
         .mapInArrow(compare, "a long, b long")
@@ -199,8 +200,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     # shingles in the prefix of two sets or more; room is what a set can share with another set that has the shingle:
     # all but the earlier shingles of its prefix that no other prefix has, since the other set would have them there
-    by_shingle = Window.partitionBy("shingle")
-    live = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).withColumn("m", F.count("*").over(by_shingle)).filter("m > 1")
+    held = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    shared = held.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1")
+    live = held.join(shared, "shingle")
     live = live.withColumn("seed", F.row_number().over(Window.partitionBy("node").orderBy("shingle"))).withColumn("room", F.col("n") - (F.col("at") - F.col("seed") + 1))
     live = live.withColumn("last", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shingle"))))
     live = saved(live.drop("at"), "jaccard-live")
@@ -218,26 +220,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     def grouped(df: DataFrame, labels: DataFrame, name: str = "node", to: str = "group") -> DataFrame:
         return df.join(labels.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
 
-    # 2. the matrix, and what the bound needs of each group
+    # 2. the matrix, of the shingles that two groups hold, and what the bound needs of each group
     members = saved(grouped(nodes.select("node", "n", "sketch", F.element_at("prefix", -1).alias("reach")), label), "jaccard-groups")
+    heads = members.filter("node = group").select("group", F.col("sketch").alias("other_sketch"))
+    spread = members.filter("node != group").join(heads, "group").groupBy("group").agg(F.max(sketch_gap("sketch", "other_sketch")).alias("radius"))
     groups = members.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("reach").alias("reach"))
+    groups = groups.join(heads, "group").join(spread, "group", "left").withColumn("radius", F.coalesce("radius", F.lit(0)))
     tokens = live.select("shingle", "node", "n", "room").join(members.select("node", "group"), "node")
+    several = tokens.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("shingle")
+    tokens = saved(tokens.join(several, "shingle"), "jaccard-tokens")
     matrix = tokens.groupBy("shingle", "group").agg(F.max("room").alias("other_room"), F.min("n").alias("other_n")).join(groups, "group")
-    matrix = matrix.select("shingle", F.col("group").alias("other"), "other_room", "other_n", "least", "most", "reach")
+    matrix = matrix.select("shingle", F.col("group").alias("other"), "other_room", "other_n", "least", "most", "reach", "other_sketch", "radius")
 
-    # 3. bound
+    # 3. bound; of two groups, the members of the first are the queries
     size_fits = (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
     room_fits = F.least("room", "other_room") * (num + den) >= num * (F.col("n") + F.col("other_n"))
-    hits = tokens.join(matrix, "shingle").filter((F.col("group") != F.col("other")) & size_fits & room_fits)
+    near = gap_fits(sketch_gap("sketch", "other_sketch") - F.col("radius"), F.col("n") + F.col("most"), num, den)
+    asked = tokens.join(members.select("node", "sketch"), "node")
+    hits = asked.join(matrix, "shingle").filter((F.col("group") < F.col("other")) & size_fits & room_fits & near)
     # any shared prefix shingle makes a candidate, but only those up to the reach count as seen: the rest is open
     hits = hits.groupBy("node", "group", "other", "least", "most", "reach").agg(F.count_if(F.col("shingle") <= F.col("reach")).alias("c"))
     rest = F.col("n") - F.size(F.filter("prefix", lambda y: y <= F.col("reach")))
     opened = hits.join(nodes, "node").filter((F.col("c") + rest) * (num + den) >= num * (F.col("n") + F.col("least"))).select("node", "n", "sketch", "group", "other")
     opened = saved(opened, "jaccard-opened")
 
-    # 4. open: the centre first, members only where that leaves the two apart
-    # of pairs of sets, first what the sketches allow
-    fits = sketch_fits("sketch", "other_sketch", "n", "other_n", num, den)
+    # 4. open: the head first, members only where that leaves the two apart; of pairs of sets, first what the sketches
+    # allow
+    fits = gap_fits(sketch_gap("sketch", "other_sketch"), F.col("n") + F.col("other_n"), num, den)
     centre = members.filter("node = group").select(F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
     to_centre = opened.join(centre, "other").filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links2 = saved(verified(plausible(to_centre, nodes, num, den), docs, k, num, den), "jaccard-links")
@@ -263,6 +272,7 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     classes = jaccard_components(docs, k, num, den)
     gone = saved(classes.filter("component_id < doc_id").select("doc_id").distinct(), "jaccard-gone")
     some = Filter.of(gone, "doc_id")
-    tagged = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
-    left = some.keep(tagged, "_id").join(gone.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
-    return some.keep(tagged, "_id", among=False).unionByName(left).select(*docs.columns)
+    key = unused(docs, "id")
+    tagged = docs.withColumn(key, F.coalesce("doc_id", F.lit(-1).cast("long")))
+    left = some.keep(tagged, key).join(gone.select(F.col("doc_id").alias(key)), key, "left_anti")
+    return some.keep(tagged, key, among=False).unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
