@@ -217,32 +217,6 @@ def test_forward_is_the_sum_over_paths():
         assert math.isclose(got[d], math.log10(total), rel_tol=1e-12)
 
 
-def test_expected_counts_match_brute_force():
-    rng = np.random.default_rng(4)
-    k, s = 2, 4
-    model = hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(s), k).T)
-    seqs = [[0, 2, 1], [3], [1, 1, 0, 2]]
-    emit, start, move = np.zeros((s, k)), np.zeros(k), np.zeros((k, k))
-    for seq in seqs:
-        paths = {}
-        for path in np.ndindex(*[k] * len(seq)):
-            p = model.start[path[0]] * model.emit[seq[0], path[0]]
-            for a, b, x in zip(path, path[1:], seq[1:], strict=False):
-                p *= model.move[a, b] * model.emit[x, b]
-            paths[path] = p
-        z = sum(paths.values())
-        for path, p in paths.items():
-            start[path[0]] += p / z
-            for a, x in zip(path, seq, strict=True):
-                emit[x, a] += p / z
-            for a, b in zip(path, path[1:], strict=False):
-                move[a, b] += p / z
-    sym = np.array([x + [0] * (4 - len(x)) for x in seqs])
-    got = np.zeros((s, k))
-    a, b = hmm.expected_counts(model, sym, np.array([3, 1, 4]), got)
-    assert np.allclose(got, emit) and np.allclose(a, start) and np.allclose(b, move)
-
-
 def test_decontamination(spark, docs, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     w = item.split()

@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadwell.llm.common import fold, most_counted, saved, text_chunks, words
+from threadwell.llm.common import discard, fold, most_counted, saved, text_chunks, words
 
 SYMBOLS, CLASSES, STATES = 1 << 16, 1 << 11, 8
-#: The first rounds of Baum-Welch take one of PARTS disjoint parts of the training rows each, the last FULL_ROUNDS all.
-PARTS, FULL_ROUNDS, SEGMENT = 12, 1, 64
+#: Rounds of Baum-Welch, each over all training rows; tokens of a stretch that is run side by side with others; tokens
+#: that are handled at once; weight of the unigram in each state's emissions.
+ROUNDS, SEGMENT, CHUNK, PRIOR = 6, 512, 300_000, 100.0
 
 
 @dataclass
@@ -116,118 +117,175 @@ def _sequences(alpha: Alphabet, column: pa.Array) -> Iterator[tuple[int, np.ndar
         yield lo, out, first, h, owner
 
 
-def expected_counts(model: Hmm, sym: np.ndarray, length: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Baum-Welch E-step of segments (rows of sym, padded after length): adds to emit; returns start and move counts."""
-    n, width = sym.shape
+def _normed(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
+
+
+class Stretches:
+    """Texts cut into stretches of SEGMENT tokens, which run side by side, longest first.
+
+    Cuts lose nothing. A text of several stretches is first run through each of them from every state, which gives the
+    stretch's transfer matrix; the matrices, taken one after the other, tell with which state probabilities a stretch
+    is entered and what the rest of the text says about the state at its end.
+    """
+
+    def __init__(self, model: Hmm, sym: np.ndarray, first: np.ndarray, both_ways: bool):
+        size = np.diff(first)
+        pieces = -(-size // SEGMENT)
+        text = np.repeat(np.arange(len(size)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = first[text] + SEGMENT * nth
+        length = np.minimum(SEGMENT, first[text + 1] - begin)
+        order = np.argsort(-length, kind="stable")
+        self.model, self.sym, self.n_texts = model, sym, len(size)
+        self.text, self.nth, self.begin, self.length = text[order], nth[order], begin[order], length[order]
+        self.live = self._live(self.length)
+        n, k = len(text), len(model.start)
+        self.enter, self.before, self.leave = np.tile(model.start, (n, 1)), np.zeros((n, k)), np.ones((n, k))
+        many = np.flatnonzero(pieces[self.text] > 1)
+        if len(many):
+            self._messages(many, both_ways)
+
+    @staticmethod
+    def _live(length: np.ndarray) -> np.ndarray:
+        """How many stretches are longer than t, for each t."""
+        return np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+
+    def _messages(self, many: np.ndarray, both_ways: bool) -> None:
+        model, k = self.model, len(self.model.start)
+        begin, text, nth = self.begin[many], self.text[many], self.nth[many]
+        through = np.where((nth == 0)[:, None, None], model.start, model.move)  # stretch x state before x state now
+        for t, n in enumerate(self._live(self.length[many])):
+            now = through[:n] if t == 0 else (through[:n].reshape(n * k, k) @ model.move).reshape(n, k, k)
+            now = now * model.emit[self.sym[begin[:n] + t]][:, None, :]
+            through[:n] = now / now.sum((1, 2), keepdims=True)
+        by = np.argsort(nth, kind="stable")
+        cut = np.searchsorted(nth[by], np.arange(nth.max() + 2))
+        carried = np.full((self.n_texts, k), 1 / k)
+        for i in range(len(cut) - 1):
+            at = by[cut[i] : cut[i + 1]]
+            own = carried[text[at]]
+            if i:
+                self.before[many[at]], self.enter[many[at]] = own, own @ model.move
+            carried[text[at]] = _normed(np.einsum("ni,nij->nj", own, through[at]))
+        if both_ways:
+            carried = np.ones((self.n_texts, k))
+            for i in range(len(cut) - 2, -1, -1):
+                at = by[cut[i] : cut[i + 1]]
+                own = carried[text[at]]
+                self.leave[many[at]] = own
+                carried[text[at]] = _normed(np.einsum("nij,nj->ni", through[at], own))
+
+    def forward(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scaled forward probabilities and scales of each step."""
+        model, a = self.model, self.enter
+        alphas, scales = [], []
+        for t, n in enumerate(self.live):
+            a = (a if t == 0 else a[:n] @ model.move) * model.emit[self.sym[self.begin[:n] + t]]
+            s = a.sum(1)
+            a = a / s[:, None]
+            alphas.append(a)
+            scales.append(s)
+        return alphas, scales
+
+    def log10_likelihood(self, scales: list[np.ndarray]) -> np.ndarray:
+        """Of each text."""
+        out = np.zeros(len(self.text))
+        for s in scales:
+            out[: len(s)] += np.log10(s)
+        return np.bincount(self.text, weights=out, minlength=self.n_texts)
+
+
+def expected_counts(model: Hmm, sym: np.ndarray, first: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Baum-Welch E-step of whole texts, sym[first[i]:first[i + 1]] each: adds to emit; returns start and move counts
+    and the log10 likelihood."""
+    run = Stretches(model, sym, first, True)
+    alphas, scales = run.forward()
     k = len(model.start)
-    alive = np.arange(width)[None, :] < length[:, None]
-    alpha, scale = np.zeros((width, n, k)), np.ones((width, n))
-    likely = model.emit[sym.T]  # width x n x k
-    a = np.tile(model.start, (n, 1))
-    for t in range(width):
-        if t:
-            a = a @ model.move
-        a = a * likely[t]
-        s = a.sum(1)
-        s[~alive[:, t]] = 1.0
-        a = a / s[:, None]
-        alpha[t], scale[t] = a, s
-    beta, move = np.ones((n, k)), np.zeros((k, k))
-    for t in range(width - 1, -1, -1):
-        live = alive[:, t]
-        gamma = alpha[t] * beta
-        gamma[~live] = 0
-        gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
-        likely[t] = gamma  # the place is free from here on, but for t itself below
+    start, move, ahead, later = np.zeros(k), np.zeros((k, k)), np.zeros((0, k)), 0
+    for t in range(len(run.live) - 1, -1, -1):
+        n = run.live[t]
+        ends = run.leave[later:n] / (alphas[t][later:] * run.leave[later:n]).sum(1, keepdims=True)
+        beta = np.concatenate([ahead @ model.move.T, ends])
+        ahead, later = model.emit[sym[run.begin[:n] + t]] * beta / scales[t][:, None], n
         if t:
-            ahead = model.emit[sym[:, t]] * beta / scale[t][:, None]
-            ahead[~live] = 0
-            move += model.move * (alpha[t - 1].T @ ahead)
-            beta = np.where(live[:, None], ahead @ model.move.T, 1.0)
-    flat = sym.T.ravel()
-    for j in range(k):
-        emit[:, j] += np.bincount(flat, weights=likely[:, :, j].ravel(), minlength=len(emit))
-    return likely[0].sum(0), move
+            move += alphas[t - 1][:n].T @ ahead
+        else:
+            move += run.before.T @ ahead  # over the cuts; nothing stands before a first stretch
+        alphas[t] = alphas[t] * beta
+    if len(run.live):
+        start = alphas[0][run.nth == 0].sum(0)
+        flat, gamma = np.concatenate([sym[run.begin[:n] + t] for t, n in enumerate(run.live)]), np.concatenate(alphas)
+        for j in range(k):
+            emit[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=len(emit))
+    return start, model.move * move, float(run.log10_likelihood(scales).sum())
+
+
+def symbol_table(train: DataFrame, alpha: Alphabet) -> DataFrame:
+    """sym, the symbols of each training text with the end: what the rounds read."""
+    shared = train.sparkSession.sparkContext.broadcast(alpha)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sym, first, _, _ in _sequences(shared.value, batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sym))], names=["sym"])
 
-def baum_welch(train: DataFrame, alpha: Alphabet, model: Hmm, seen: Hmm | None = None) -> tuple[Hmm, Hmm]:
-    """One round: expected counts of each partition's texts, cut into segments, are summed by Spark.
+    return saved(train.select("text").mapInArrow(run, "sym array<int>"), "hmm-symbols")
 
-    Returns the next model and the counts that it comes from: those of train, added to those seen in other rows.
+
+def baum_welch(symbols: DataFrame, alpha: Alphabet, model: Hmm) -> tuple[Hmm, float]:
+    """One round over all training texts: expected counts of each partition's texts, summed by Spark.
+
+    Returns the next model and the log10 likelihood under this one. What comes to the driver is a row for each symbol.
     """
-    spark, k, n_symbols = train.sparkSession, len(model.start), alpha.end + 1
-    shared = spark.sparkContext.broadcast((alpha, model))
+    spark, k, n_symbols = symbols.sparkSession, len(model.start), alpha.end + 1
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alpha, model = shared.value
-        emit, start, move = np.zeros((n_symbols, k)), np.zeros(k), np.zeros((k, k))
+        model = shared.value
+        emit, start, move, total = np.zeros((n_symbols, k)), np.zeros(k), np.zeros((k, k)), 0.0
         for batch in batches:
-            for _, sym, first, _, _ in _sequences(alpha, batch.column(0)):
-                size = np.diff(first)
-                pieces = -(-size // SEGMENT)
-                own = np.repeat(np.arange(len(size)), pieces)
-                begin = first[own] + SEGMENT * (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-                length = np.minimum(SEGMENT, first[own + 1] - begin)
-                for at in range(0, len(begin), 4096):
-                    b, n = begin[at : at + 4096], length[at : at + 4096]
-                    place = np.minimum(b[:, None] + np.arange(SEGMENT)[None, :], len(sym) - 1)
-                    s, m = expected_counts(model, sym[place], n, emit)
-                    start += s
-                    move += m
+            column = batch.column(0)
+            first, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            lo = 0
+            while lo < len(column):
+                hi = min(max(lo + 1, int(np.searchsorted(first, first[lo] + CHUNK, "right")) - 1), len(column))
+                s, m, score = expected_counts(model, flat[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], emit)
+                start, move, total, lo = start + s, move + m, total + score, hi
         some = np.flatnonzero(emit.any(1))
-        rows = np.concatenate([emit[some], move, start[None, :]])
-        ids = np.concatenate([some, -1 - np.arange(k), [-1 - k]])
+        rows = np.concatenate([emit[some], move, start[None, :], np.full((1, k), total)])
+        ids = np.concatenate([some, -1 - np.arange(k + 2)])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(rows[:, j]) for j in range(k))], names=["symbol", *(f"s{j}" for j in range(k))])
 
     columns = [f"s{j}" for j in range(k)]
-    sums = train.select("text").mapInArrow(run, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+    sums = symbols.mapInArrow(run, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
     shared.unpersist()
-    total = Hmm(np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k))) if seen is None else Hmm(seen.start.copy(), seen.move.copy(), seen.emit.copy())
-    ids, values = sums["symbol"].to_numpy(), sums[columns].to_numpy()
-    total.emit[ids[ids >= 0]] += values[ids >= 0]
-    for i, v in zip(ids[ids < 0], values[ids < 0], strict=True):
-        if i == -1 - k:
-            total.start += v
-        else:
-            total.move[-1 - i] += v
-    emit, move, start = total.emit + 100 * alpha.unigram()[:, None], total.move + 1, total.start + 1
-    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), total
-
+    counts = np.zeros((n_symbols + k + 2, k))
+    counts[sums["symbol"].to_numpy()] = sums[columns].to_numpy()  # ids below 0 count from the end
+    emit, move, start = counts[:n_symbols] + PRIOR * alpha.unigram()[:, None], counts[[-1 - i for i in range(k)]] + 1, counts[-1 - k] + 1
+    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), float(counts[-2 - k, 0])
 
-def fit(train: DataFrame, alpha: Alphabet, states: int = STATES) -> Hmm:
-    """Train from a fixed random start: incremental EM over PARTS disjoint parts, then FULL_ROUNDS on all training rows.
 
-    Each of the first rounds adds the expected counts of its part to those of the parts before, so after them, and
-    after a full round, every training row has counted once.
-    """
+def first_model(alpha: Alphabet, states: int = STATES) -> Hmm:
+    """A fixed random model of states that tend to stay and that each prefer some of the words."""
     rng = np.random.default_rng(7)
     emit = alpha.unigram()[:, None] * rng.gamma(2.0, size=(alpha.end + 1, states))
-    model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.05 / states) + 0.95 * np.eye(states), emit / emit.sum(0))
-    part, seen = F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(PARTS)), None
-    for i in range(PARTS):
-        model, seen = baum_welch(train.filter(part == i), alpha, model, seen)
-    for _ in range(FULL_ROUNDS):
-        model, _ = baum_welch(train, alpha, model)
+    return Hmm(np.full(states, 1 / states), np.full((states, states), 0.05 / states) + 0.95 * np.eye(states), emit / emit.sum(0))
+
+
+def fit(train: DataFrame, alpha: Alphabet, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+    """Baum-Welch from a fixed random start; each round takes all training rows, whole."""
+    symbols, model = symbol_table(train, alpha), first_model(alpha, states)
+    for _ in range(rounds):
+        model, _ = baum_welch(symbols, alpha, model)
+    discard(symbols)
     return model
 
 
 def forward(model: Hmm, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Exact log10 likelihood of each text's symbols by the scaled forward recursion, texts side by side."""
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    begin, size = first[:-1][order], size[order]
-    out = np.zeros(len(order))
-    live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # texts longer than t
-    a = None
-    for t, n in enumerate(live):
-        a = np.tile(model.start, (n, 1)) if a is None else a[:n] @ model.move
-        a *= model.emit[sym[begin[:n] + t]]
-        s = a.sum(1)
-        a /= s[:, None]
-        out[:n] += np.log10(s)
-    result = np.zeros(len(order))
-    result[order] = out
-    return result
+    """Exact log10 likelihood of each text's symbols by the scaled forward recursion."""
+    run = Stretches(model, sym, first, False)
+    return run.log10_likelihood(run.forward()[1])
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
