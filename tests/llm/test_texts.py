@@ -123,7 +123,7 @@ def brute_lines(rows, m=2):
     return out
 
 
-@pytest.mark.parametrize("m", [2, 4])
+@pytest.mark.parametrize("m", [2, 3, 4])
 def test_line_dedup(docs, rows, empty, m):
     want = brute_lines(rows, m)
     got = lines.deduplicate(docs, m, keep_emptied=True)

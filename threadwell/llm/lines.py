@@ -5,8 +5,10 @@ A suffix's rank is the pair (identity of its first line, offset among the suffix
 by rank is the suffix array and no global numbering is needed. A doubling round with step s splits each group of
 suffixes that agree on s lines by the rank of the suffix s lines on: the counts of the distinct (rank, next rank)
 pairs, summed in order within each rank, are the offsets' increments. After it, equal ranks mean agreement on 2 s
-lines: they are the intervals of the suffix array with a longest common prefix of 2 s at least. The first member of
-an interval is the original, the others are later copies of that run.
+lines: they are the intervals of the suffix array with a longest common prefix of 2 s at least. The intervals of
+exactly m lines come from two ranks that overlap. A suffix that is not the first of its interval has the first of its
+widest interval as its original; where originals do not run on in step, a copied run begins, and its length is the
+common prefix of the two suffixes, counted line by line. These maximal runs are what is deleted.
 
 Two exact reductions keep the array small: lines that occur once, and pairs of neighbouring lines that occur once,
 can be in no repeated run (of two lines or more), so sequences are cut there; and a sequence leaves the doubling once
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadwell.llm.common import saved
+from threadwell.llm.common import saved, unused
 
 _NO_ID = (1 << 63) - 1
 #: A single line of more words than this is a passage, and its later copies go whatever stands around them.
@@ -31,9 +33,9 @@ LONG_WORDS = 50
 VISIBLE = r"[^\x20\x09-\x0D]"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of a document: its id (null ids last) and a hash of its text, for ids that repeat."""
-    return docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(_NO_ID)), "_tag": F.xxhash64(F.coalesce("text", F.lit("")))})
+def _key() -> tuple[Column, Column]:
+    """The key of a document: its id (null ids last) and a hash of its text, for ids that repeat."""
+    return F.coalesce("doc_id", F.lit(_NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _split(text: str | Column) -> Column:
@@ -49,7 +51,8 @@ def line_table(docs: DataFrame, with_long: bool = False) -> DataFrame:
     """doc, tag, idx (among lines that are not blank), pos (among all lines) and id of each line, documents once; and long."""
     numbered = F.transform(_split("text"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
     seen = F.filter(numbered, lambda s: s["line"].rlike(VISIBLE))
-    lines = _keyed(docs).select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), F.posexplode(seen).alias("idx", "s"))
+    doc, tag = _key()
+    lines = docs.select(doc.alias("doc"), tag.alias("tag"), F.posexplode(seen).alias("idx", "s"))
     long = [_is_long(F.col("s.line")).alias("long")] if with_long else []
     return lines.select("doc", "tag", "idx", F.col("s.pos").alias("pos"), F.unhex(F.md5(F.col("s.line").cast("binary"))).alias("id"), *long)
 
@@ -70,23 +73,46 @@ def _sequences(lines: DataFrame) -> DataFrame:
     return sized.filter("len > 1").select("doc", "tag", "seq", "len", "idx", "pos", "id")
 
 
-def suffix_array(lines: DataFrame) -> DataFrame:
+_PLACE = "struct<doc: bigint, tag: bigint, idx: int, seq: int>"
+
+
+def suffix_array(lines: DataFrame, min_lines: int = 2) -> DataFrame:
     """Each suffix of a repeated stretch with its rank (id, off), and depth and first: the widest interval found with
-    an earlier member, as lines in common (a power of two, 1 if none) and that member."""
-    me = F.struct("doc", "tag", "idx")
-    first_type = "struct<doc: bigint, tag: bigint, idx: int>"
-    rows = saved(_sequences(lines).withColumns({"off": F.lit(0).cast("long"), "depth": F.lit(1), "first": F.lit(None).cast(first_type)}), "lines-suffixes")
+    an earlier member, as the lines that all of it share (min_lines or a larger power of two; 1 if none), and that
+    interval's first member."""
+    me = F.struct("doc", "tag", "idx", "seq")
+    in_seq = Window.partitionBy("doc", "tag", "seq").orderBy("idx")
+    rows = saved(_sequences(lines).withColumns({"off": F.lit(0).cast("long"), "depth": F.lit(1), "first": F.lit(None).cast(_PLACE)}), "lines-suffixes")
     longest = rows.agg(F.max("len")).first()[0] or 0
-    done, step = None, 1
+    done, step, left = None, 1, F.col("seq") + F.col("len") - F.col("idx")
+
+    def ahead(df: DataFrame, n: int) -> DataFrame:
+        after = F.lead(F.struct("id", "off"), n).over(in_seq)
+        return df.withColumn("next", after).withColumns({"nid": F.coalesce("next.id", F.lit(b"")), "noff": F.coalesce("next.off", F.lit(-1).cast("long"))}).drop("next")
+
+    def marked(df: DataFrame, depth: int) -> DataFrame:
+        """With depth and first where `head`, the first member of an interval of so many lines, is another."""
+        copy = (left >= depth) & (F.col("head") < me)
+        return df.withColumns({"depth": F.when(copy, F.lit(depth)).otherwise(F.col("depth")), "first": F.when(copy, F.col("head")).otherwise(F.col("first"))}).drop("head")
+
     while step < longest:
-        ahead = F.lead(F.struct("id", "off"), step).over(Window.partitionBy("doc", "tag", "seq").orderBy("idx"))
-        keyed = rows.withColumn("next", ahead).withColumns({"nid": F.coalesce("next.id", F.lit(b"")), "noff": F.coalesce("next.off", F.lit(-1).cast("long"))}).drop("next")
-        classes = keyed.groupBy("id", "off", "nid", "noff").agg(F.count("*").alias("m"), F.min(me).alias("head"))
-        before = F.sum("m").over(Window.partitionBy("id", "off").orderBy("nid", "noff").rowsBetween(Window.unboundedPreceding, -1))
-        classes = classes.withColumn("new_off", F.col("off") + F.coalesce(before, F.lit(0).cast("long"))).drop("m")
-        whole = F.col("seq") + F.col("len") - F.col("idx") >= 2 * step
-        copy = whole & (F.col("head") < me)
-        rows = keyed.join(classes, ["id", "off", "nid", "noff"]).withColumns({"depth": F.when(copy, F.lit(2 * step)).otherwise(F.col("depth")), "first": F.when(copy, F.col("head").cast(first_type)).otherwise(F.col("first"))})
+        if step < min_lines < 2 * step:  # agreement on min_lines lines: on the first step of them and on the last
+            keyed = ahead(rows, min_lines - step)
+            heads = keyed.filter(left >= min_lines).groupBy("id", "off", "nid", "noff").agg(F.min(me).cast(_PLACE).alias("head"))
+            rows = saved(marked(keyed.join(heads, ["id", "off", "nid", "noff"], "left"), min_lines).drop("nid", "noff"), "lines-suffixes")
+        keyed = ahead(rows, step)
+        classes = keyed.groupBy("id", "off", "nid", "noff").agg(F.count("*").alias("m"), F.min(me).cast(_PLACE).alias("head"))
+        # sums in two levels, so that the followers of a common line are not one task's
+        classes = classes.withColumn("part", F.substring(F.hex("nid"), 1, 2))
+        parts = classes.groupBy("id", "off", "part").agg(F.sum("m").alias("all"))
+        earlier = F.sum("all").over(Window.partitionBy("id", "off").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        before = F.sum("m").over(Window.partitionBy("id", "off", "part").orderBy("nid", "noff").rowsBetween(Window.unboundedPreceding, -1))
+        zero = F.lit(0).cast("long")
+        classes = classes.join(parts.withColumn("earlier", F.coalesce(earlier, zero)).drop("all"), ["id", "off", "part"])
+        classes = classes.withColumn("new_off", F.col("off") + F.col("earlier") + F.coalesce(before, zero)).drop("m", "part", "earlier")
+        rows = keyed.join(classes, ["id", "off", "nid", "noff"])
+        if 2 * step >= min_lines:
+            rows = marked(rows, 2 * step)
         rows = saved(rows.select("doc", "tag", "seq", "len", "idx", "pos", "id", F.col("new_off").alias("off"), "depth", "first"), "lines-suffixes")
         step *= 2
         ended = rows.filter(F.col("len") <= step)
@@ -95,6 +121,30 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     return rows if done is None else done.unionByName(rows)
 
 
+def copied_runs(suffixes: DataFrame) -> DataFrame:
+    """The maximal runs that begin earlier elsewhere: doc, tag, idx, lines (in common with the original) and first.
+
+    A run begins where the original is not the one before's, one line on. Its length is the common prefix of the two
+    stretches from there.
+    """
+    in_doc = Window.partitionBy("doc", "tag").orderBy("idx")
+    copies = suffixes.filter(F.col("first").isNotNull()).select("doc", "tag", "seq", "idx", "first")
+    last, last_idx = F.lag("first").over(in_doc), F.lag("idx").over(in_doc)
+    goes_on = (last_idx == F.col("idx") - 1) & (last["doc"] == F.col("first.doc")) & (last["tag"] == F.col("first.tag")) & (last["idx"] == F.col("first.idx") - 1)
+    heads = copies.withColumn("on", F.coalesce(goes_on, F.lit(False))).filter("not on").drop("on")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("idx", "id"))), lambda x: x["id"])
+    stretches = suffixes.groupBy("doc", "tag", "seq").agg(ids.alias("ids"))
+    wanted = heads.select("doc", "tag", "seq").unionByName(heads.select("first.doc", "first.tag", "first.seq")).distinct()
+    stretches = saved(stretches.join(wanted, ["doc", "tag", "seq"], "left_semi"), "lines-stretches")
+    origin = stretches.select(F.col("doc").alias("f_doc"), F.col("tag").alias("f_tag"), F.col("seq").alias("f_seq"), F.col("ids").alias("f_ids"))
+    placed = heads.select("*", F.col("first.doc").alias("f_doc"), F.col("first.tag").alias("f_tag"), F.col("first.seq").alias("f_seq"))
+    both = placed.join(stretches, ["doc", "tag", "seq"]).join(origin, ["f_doc", "f_tag", "f_seq"])
+    rest = lambda ids, at: F.slice(ids, at + 1, F.greatest(F.size(ids) - at, F.lit(0)))
+    same = F.zip_with(rest("ids", F.col("idx") - F.col("seq")), rest("f_ids", F.col("first.idx") - F.col("f_seq")), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    apart = F.array_position(same, F.lit(False))
+    return both.select("doc", "tag", "idx", F.when(apart > 0, apart - 1).otherwise(F.size(same)).cast("int").alias("lines"), "first")
+
+
 def _long_copies(lines: DataFrame) -> DataFrame:
     """The long lines that stand earlier elsewhere: doc, tag, idx, pos."""
     me, long = F.struct("doc", "tag", "idx"), lines.filter("long")
@@ -103,16 +153,18 @@ def _long_copies(lines: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, min_lines: int | None = None) -> DataFrame:
-    """doc, tag, idx, pos of every line in a later copy of a run: of min_lines lines or more (a power of two), or, if
-    it is not given, of two lines or more or of one long line."""
+    """doc, tag, idx, pos of every line in a later copy of a run: of min_lines lines or more (2 at least), or, if it is
+    not given, of two lines or more or of one long line."""
     by_words, min_lines = min_lines is None, 2 if min_lines is None else min_lines
-    if min_lines < 2 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two, 2 at least")
+    if min_lines < 2:
+        raise ValueError("min_lines must be 2 at least")
     lines = saved(line_table(docs, by_words).dropDuplicates(["doc", "tag", "idx"]), "lines")
-    suffixes = suffix_array(lines.drop("long"))
-    reach = F.max(F.when(F.col("depth") >= min_lines, F.col("idx") + F.col("depth"))).over(Window.partitionBy("doc", "tag").orderBy("idx"))
-    runs = suffixes.withColumn("reach", reach).filter("reach > idx").select("doc", "tag", "idx", "pos")
-    return runs.unionByName(_long_copies(lines)).distinct() if by_words else runs
+    suffixes = suffix_array(lines.drop("long"), min_lines)
+    runs = copied_runs(suffixes).filter(F.col("lines") >= min_lines).select("doc", "tag", "idx", "lines")
+    in_doc = Window.partitionBy("doc", "tag").orderBy("idx")
+    covered = suffixes.select("doc", "tag", "idx", "pos").join(runs, ["doc", "tag", "idx"], "left").withColumn("reach", F.max(F.col("idx") + F.col("lines")).over(in_doc))
+    gone = covered.filter("reach > idx").select("doc", "tag", "idx", "pos")
+    return gone.unionByName(_long_copies(lines)).distinct() if by_words else gone
 
 
 def deduplicate(docs: DataFrame, min_lines: int | None = None, keep_emptied: bool = False) -> DataFrame:
@@ -120,21 +172,29 @@ def deduplicate(docs: DataFrame, min_lines: int | None = None, keep_emptied: boo
 
     A run of two neighbouring lines or more (blank ones aside), or of one line of more than LONG_WORDS words, that
     begins earlier elsewhere, by document id and then position, is deleted; the earliest copy stays, within one
-    document too. With min_lines, runs of so many lines or more are deleted and no others. n_lines counts the lines that are not
-    blank, n_runs the stretches deleted. Blank lines stay. A document of which no visible line is left goes, unless
-    keep_emptied. Null texts stay null and empty texts empty. Rows that repeat a doc_id with the same text are one
-    document, and each of them keeps what it keeps; null doc_ids come last. Other columns are kept as they are.
+    document too. With min_lines, runs of so many lines or more are deleted and no others. n_lines counts the lines
+    that are not blank, n_runs the stretches deleted. Blank lines stay. A document of which no visible line is left
+    goes, unless keep_emptied. Null texts stay null and empty texts empty. Rows that repeat a doc_id with the same
+    text are one document, and each of them keeps what it keeps; null doc_ids come last. Other columns are kept as
+    they are; columns of docs named n_lines, n_removed or n_runs are replaced.
     """
     gone = removed_lines(docs, min_lines).withColumn("new", F.coalesce(F.col("idx") - F.lag("idx").over(Window.partitionBy("doc", "tag").orderBy("idx")), F.lit(2)) > 1)
-    gone = gone.groupBy("doc", "tag").agg(F.collect_set("pos").alias("_gone"), F.count_if("new").alias("_runs")).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
-    joined = _keyed(docs).join(gone, ["_doc", "_tag"], "left")
-    left = F.array_join(F.filter(_split("text"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    visible = F.size(F.filter(_split("text"), lambda x: x.rlike(VISIBLE)))
-    out = joined.withColumns({"_n": visible, "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)})
+    names = {x: unused(docs, x) for x in ("doc", "tag", "gone", "runs")}
+    gone = gone.groupBy("doc", "tag").agg(F.collect_set("pos").alias("gone"), F.count_if("new").alias("runs")).withColumnsRenamed(names)
+    doc, tag, cut, runs = names.values()
+    joined = docs.withColumns(dict(zip((doc, tag), _key(), strict=True))).join(gone, [doc, tag], "left")
+    left = F.array_join(F.filter(_split("text"), lambda x, i: ~F.array_contains(cut, i)), "\n")
+    whole = F.col(cut).isNull()
+    text = F.when(whole, F.col("text")).otherwise(left)
+    extra = {
+        "n_lines": F.size(F.filter(_split("text"), lambda x: x.rlike(VISIBLE))).cast("long"),
+        "n_removed": F.when(whole, F.lit(0)).otherwise(F.size(cut)).cast("long"),
+        "n_runs": F.coalesce(runs, F.lit(0)).cast("long"),
+    }
+    out = joined.select(*((text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in extra), *(v.alias(k) for k, v in extra.items()), whole.alias(doc))
     if not keep_emptied:
-        out = out.filter(F.col("_gone").isNull() | F.col("text").rlike(VISIBLE))
-    extra = {"n_lines": F.col("_n").cast("long"), "n_removed": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"), "n_runs": F.coalesce("_runs", F.lit(0)).cast("long")}
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in extra), *(v.alias(k) for k, v in extra.items()))
+        out = out.filter(F.col(doc) | F.col("text").rlike(VISIBLE))
+    return out.drop(doc)
 
 
 #: The same rows as op4_line_dedup, for DuckDB.
