@@ -244,14 +244,6 @@ def test_tiles_take_the_longest_first():
     assert sorted(decontamination.greedy_tiles([1, 2, 3, 4, 5, 6], [4, 5, 6, 9, 1, 2, 3, 4], 2)) == [(0, 4, 4), (4, 1, 2)]
 
 
-def test_benchmark_in_blocks(spark, docs, monkeypatch):
-    rows = [(i, f"item {i} has these five or more own words w{i}") for i in range(30)]
-    bench = spark.createDataFrame(rows, "item_id long, text string")
-    texts = spark.createDataFrame([(i, f"see: {t} .") for i, t in rows], "doc_id long, text string")
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 300)
-    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(texts, bench, threshold=1.0).collect()) == [(i, i) for i in range(30)]
-
-
 def test_licences(spark, docs, empty):
     mit = licences.TEMPLATES["MIT"][2]
     w = mit.split(" ")

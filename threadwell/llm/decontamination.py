@@ -1,20 +1,35 @@
-"""Benchmark decontamination by greedy string tiling over words."""
+"""Benchmark decontamination by greedy string tiling over words.
+
+1. Seeds: the hash of min_match words from each place of each distinct item, a table (gram, item, spot).
+2. Shared seeds: a bitmap of the seeds, of bounded size, goes to the tasks that read documents; what may be a seed
+   there becomes a row (text, gram), and a join with the seeds tells which items share how many places with a text.
+3. Bound: tiles of k words or more that cover c words hold c / k seeds at least.
+4. Tiles: the two texts of each pair left come together, and the longest match of unmarked words, found by running
+   Karp-Rabin hashes, is marked again and again.
+
+Texts and items go by the digest of their words' text, so copies are handled once. Neither the benchmark nor the
+documents pass through the driver.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadwell.llm.common import _WEIGHTS, mix, text_chunks, words
+from threadwell.llm.common import _WEIGHTS, mix, powers, saved, text_chunks, unused, words
+from threadwell.llm.components import Filter
 
-#: Bytes of benchmark text that are held at once; a larger benchmark is taken in blocks of about this size.
-BLOCK_BYTES = 8 << 20
-_MOD = (1 << 61) - 1
+#: Bits of the bitmap: 64 for each seed, between these powers of two; beyond that more places pass it, and none is lost.
+LEAST_BITS, MOST_BITS = 16, 27
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Pairs of equal windows that are held at once.
+PAIRS = 1 << 22
 
 
 def ngrams(h: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,177 +42,205 @@ def ngrams(h: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return mix(total[at]), at
 
 
-def greedy_tiles(pattern: list[int], text: list[int], min_match: int) -> list[tuple[int, int, int]]:
+def rolling(seq: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hash of each window of `size` words, from running sums."""
+    total = np.zeros(len(seq) + 1, np.uint64)
+    np.cumsum(seq * powers(_BASE, len(seq)), out=total[1:])
+    n = max(len(seq) - size + 1, 0)
+    return mix((total[size : size + n] - total[:n]) * powers(_INVERSE, n))
+
+
+class Windows:
+    """A text's words with its windows of `size` words in the order of their hashes."""
+
+    def __init__(self, seq: np.ndarray, size: int):
+        self.seq, self.size = seq, size
+        h = rolling(seq, size)
+        self.order = np.argsort(h, kind="stable")
+        self.hashes = h[self.order]
+
+
+def _runs(pattern: np.ndarray, text: Windows) -> np.ndarray:
+    """Maximal equal stretches (length, pattern start, text start) of at least the windows' size."""
+    k = text.size
+    h = rolling(pattern, k)
+    first, last = np.searchsorted(text.hashes, h, "left"), np.searchsorted(text.hashes, h, "right")
+    times = last - first
+    ends, parts, lo = np.cumsum(times), [], 0
+    while lo < len(h):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+        n = times[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        slot = np.repeat(first[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        j, lo = text.order[slot], hi
+        same = np.ones(len(i), bool)
+        for x in range(k):
+            same &= pattern[i + x] == text.seq[j + x]
+        parts.append(_joined(np.stack([np.ones(same.sum(), np.int64), i[same], j[same]], 1)))
+    runs = _joined(np.concatenate(parts)) if parts else np.zeros((0, 3), np.int64)
+    return runs + np.array([k - 1, 0, 0])
+
+
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Runs (windows, pattern start, text start) with those that follow each other on a diagonal made one."""
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 2] - runs[:, 1]))]
+    if not len(runs):
+        return runs
+    diagonal, end = runs[:, 2] - runs[:, 1], runs[:, 1] + runs[:, 0]
+    new = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (runs[1:, 1] != end[:-1])])
+    return np.column_stack([np.add.reduceat(runs[:, 0], new), runs[new, 1], runs[new, 2]])
+
+
+def greedy_tiles(pattern: np.ndarray, text: np.ndarray | Windows, min_match: int) -> list[tuple[int, int, int]]:
     """Non-overlapping tiles (pattern start, text start, length), each the longest match left when it was marked.
 
-    The search length starts at the pattern's length and halves. At each length a running Karp-Rabin hash of every
-    unmarked text window is tabled, the unmarked pattern windows look theirs up, and matches are checked and
-    extended; a match twice as long as the search length restarts the scan at its length. Equal lengths are marked in
-    the order of (pattern start, text start).
+    Of equal lengths the one with the first pattern start goes first, then with the first text start. Matches are
+    kept as whole stretches in a heap; one that marks have cut into is taken apart when its turn comes, so repeated
+    words cost no more than their stretches.
     """
-    p_mark, t_mark, tiles = [False] * len(pattern), [False] * len(text), []
-
-    def windows(seq: list[int], mark: list[bool], s: int) -> Iterator[tuple[int, int]]:
-        top, h, run = pow(1_000_003, s - 1, _MOD), 0, 0
-        for i, x in enumerate(seq):
-            if mark[i]:
-                h = run = 0
-                continue
-            if run == s:
-                h = (h - seq[i - s] * top) % _MOD
-            else:
-                run += 1
-            h = (h * 1_000_003 + x) % _MOD
-            if run == s:
-                yield i - s + 1, h
-
-    s = max(min(len(pattern), len(text)), min_match)
-    while True:
-        table = defaultdict(list)
-        for j, h in windows(text, t_mark, s):
-            table[h].append(j)
-        matches, longest = [], 0
-        for i, h in windows(pattern, p_mark, s):
-            for j in table.get(h, ()):
-                n = 0
-                while i + n < len(pattern) and j + n < len(text) and pattern[i + n] == text[j + n] and not p_mark[i + n] and not t_mark[j + n]:
-                    n += 1
-                if n >= s:
-                    matches.append((n, i, j))
-                    longest = max(longest, n)
-        if longest > 2 * s:
-            s = longest
+    if not isinstance(text, Windows):
+        text = Windows(np.asarray(text, np.uint64), min_match)
+    pattern = np.asarray(pattern, np.uint64)
+    p_mark, t_mark, tiles = bytearray(len(pattern)), bytearray(len(text.seq)), []
+    heap = [(-n, i, j) for n, i, j in _runs(pattern, text).tolist()]
+    heapify(heap)
+    failed = 0
+    while heap:
+        if failed > 1000 + len(heap) // 4:
+            heap, failed = _possible(heap, p_mark, t_mark), 0
             continue
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if any(p_mark[i : i + n]) or any(t_mark[j : j + n]):
-                continue
-            p_mark[i : i + n] = [True] * n
-            t_mark[j : j + n] = [True] * n
+        n, i, j = heappop(heap)
+        n = -n
+        if p_mark.find(1, i, i + n) < 0 and t_mark.find(1, j, j + n) < 0:
+            p_mark[i : i + n] = t_mark[j : j + n] = b"\1" * n
             tiles.append((i, j, n))
-        if s == min_match:
-            return tiles
-        # an overlapped match may leave a part nearly as long as s: step down by one after any match, else by half
-        s = max(min_match, s - 1 if matches else s // 2)
-
-
-class Items:
-    """A block of benchmark items with an inverted table from seed n-grams to items."""
-
-    def __init__(self, ids: list[int], texts: list[str], min_match: int, threshold: float):
-        self.ids, self.min_match, self.threshold = ids, min_match, threshold
-        self.words: list[list[int]] = [[] for _ in ids]
-        seeds: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
-        for lo, hi, data, offsets in text_chunks(pa.array(texts, pa.string())):
-            h, owner, _, _ = words(data, offsets)
-            cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
-            for a in range(hi - lo):
-                own = h[cuts[a] : cuts[a + 1]]
-                self.words[lo + a] = [int(x) for x in own]
-                k = min(min_match, len(own))
-                if k:
-                    g, at = ngrams(own, np.zeros(len(own), np.int64), k)
-                    seeds[k].append((g, np.full(len(g), lo + a), at))
-        self.seeds = {}
-        for k, parts in seeds.items():
-            g, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(g, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(g & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.seeds[k] = g[order], item[order], at[order], bits
-
-    def find(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, tiles, words covered, words of the item) where coverage reaches the threshold."""
-        for lo, _, data, offsets in text_chunks(column):
-            h, owner, _, _ = words(data, offsets)
-            pairs: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
-            for k, (g, item, at, bits) in self.seeds.items():
-                d, place = ngrams(h, owner, k)
-                may = np.flatnonzero(bits[(d & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                first, last = np.searchsorted(g, d[may], "left"), np.searchsorted(g, d[may], "right")
-                hit = np.flatnonzero(last > first)
-                if not len(hit):
-                    continue
-                times = (last - first)[hit]
-                where = np.repeat(place[may[hit]], times)
-                slot = np.repeat(first[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                text, which, spot = owner[where], item[slot], at[slot]
-                order = np.lexsort((where, which, text))
-                text, which, where, spot = text[order], which[order], where[order], spot[order]
-                cut = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (which[1:] != which[:-1])])
-                for a, b in zip(cut, [*cut[1:], len(text)], strict=True):
-                    item_id = int(which[a])
-                    n = len(self.words[item_id])
-                    if k < self.min_match and n != k:
-                        continue
-                    reach = np.zeros(n + 1, np.int64)  # seeds in common bound the coverage
-                    np.add.at(reach, spot[a:b], 1)
-                    np.add.at(reach, spot[a:b] + k, -1)
-                    if (np.cumsum(reach)[:n] > 0).sum() < self.threshold * n - 1e-9:
-                        continue
-                    pairs[int(text[a]), item_id] = [where[a:b], k]
-            for (row, i), (where, k) in sorted(pairs.items()):
-                pattern, text, before = self.words[i], [], -1
-                for x in np.unique((where[:, None] + np.arange(k)).ravel()).tolist():  # only stretches that share seeds
-                    if before >= 0 and x != before + 1:
-                        text.append(-1)
-                    text.append(int(h[x]))
-                    before = x
-                tiles = greedy_tiles(pattern, text, k)
-                covered = sum(x[2] for x in tiles)
-                if covered >= self.threshold * len(pattern) - 1e-9:
-                    yield lo + row, self.ids[i], len(tiles), covered, len(pattern)
-
-
-def _blocks(benchmark: DataFrame, min_match: int, threshold: float) -> list[Items]:
-    """The benchmark in blocks of a checked size, each small enough to be sent to every task."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // BLOCK_BYTES
-    out = []
-    for b in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        rows = sorted(part.collect(), key=lambda r: (r[0] is None, r[0], r[1]))
-        if rows:
-            out.append(Items([r[0] for r in rows], [r[1] for r in rows], min_match, threshold))
+            continue
+        failed, a = failed + 1, 0
+        while a <= n - min_match:  # the free parts
+            stop = min(x if x >= 0 else n for x in (p_mark.find(1, i + a, i + n) - i, t_mark.find(1, j + a, j + n) - j))
+            if stop - a >= min_match:
+                heappush(heap, (a - stop, i + a, j + a))
+            a = stop + 1
+    return tiles
+
+
+def _possible(heap: list[tuple[int, int, int]], p_mark: np.ndarray, t_mark: np.ndarray) -> list[tuple[int, int, int]]:
+    """The heap without the stretches that are marked from end to end on either side."""
+    n, i, j = np.array(heap).T
+    left = np.ones(len(n), bool)
+    for mark, at in ((p_mark, i), (t_mark, j)):
+        total = np.r_[0, np.cumsum(np.frombuffer(mark, np.uint8), dtype=np.int64)]
+        left &= total[at - n] - total[at] < -n
+    out = np.stack([n[left], i[left], j[left]], 1).tolist()
+    out = [tuple(x) for x in out]
+    heapify(out)
     return out
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def _seeds(items: DataFrame, min_match: int) -> DataFrame:
+    """gram, k, item, n and spot of every place of the items; an item of fewer words has one gram, all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                h, owner, _, _ = words(data, offsets)
+                n = np.bincount(owner, minlength=hi - lo)
+                start = np.cumsum(n) - n
+                for k in range(1, min_match + 1):
+                    g, at = ngrams(h, owner, k)
+                    use = n[owner[at]] >= k if k == min_match else n[owner[at]] == k
+                    g, at = g[use], at[use]
+                    own = owner[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), k, np.int32)), batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array((at - start[own]).astype(np.int32))], names=["gram", "k", "item", "n", "spot"])
+
+    return items.mapInArrow(run, "gram long, k int, item binary, n int, spot int")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Which low bits of a gram occur among the seeds: 2**MOST_BITS bits at most, 16 MB."""
+    log_bits = min(max((64 * seeds.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    at = F.col("gram").bitwiseAND(F.lit((1 << log_bits) - 1))
+    rows = seeds.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    out = np.zeros(1 << (log_bits - 6), np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, min_match: int, threshold: float) -> DataFrame:
+    """body and item (digests), n_tiles, covered and item_words of each pair of texts that reaches the threshold."""
+    spark = docs.sparkSession
+    items = saved(benchmark.select(_digest().alias("item"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["item"]), "bench-items")
+    seeds = saved(_seeds(items, min_match), "bench-seeds")
+    sizes = sorted(r[0] for r in seeds.select("k").distinct().collect())  # min_match values at most
+    shared = spark.sparkContext.broadcast(_bitmap(seeds))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        low = np.uint64(64 * len(bits) - 1)
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                h, owner, _, _ = words(data, offsets)
+                grams, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for k in sizes:
+                    g, at = ngrams(h, owner, k)
+                    may = np.flatnonzero((bits[((g & low) >> np.uint64(6)).astype(np.int64)] >> (g & np.uint64(63))) & np.uint64(1))
+                    grams.append(g[may])
+                    own.append(owner[at[may]])
+                pairs = np.unique(np.stack([np.concatenate(own), np.concatenate(grams).view(np.int64)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], names=["body", "gram"])
+
+    texts = docs.select(_digest().alias("body"), "text")
+    hits = texts.mapInArrow(find, "body binary, gram long").distinct()
+    common = hits.join(seeds, "gram").groupBy("body", "item", "n", "k").agg(F.count("*").alias("places"))
+    pairs = saved(common.filter(F.col("places") * F.col("k") >= F.ceil(F.col("n") * threshold - 1e-9)).drop("places"), "bench-pairs")
+    wanted = pairs.select("body").distinct()
+    own = Filter.of(wanted, "body").keep(texts, "body").join(wanted, "body", "left_semi").dropDuplicates(["body"])
+    both = pairs.join(own, "body").join(items.withColumnRenamed("text", "wording"), "item").select("body", "item", "k", "text", "wording")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = ()
+        held: Windows | None = None
+        for batch in batches:
+            rows = []
+            for body, item, k, text, wording in zip(*(c for c in batch.columns), strict=True):
+                seq = [words(d, o)[0] for _, _, d, o in text_chunks(pa.array([wording.as_py()], pa.large_string()))][0]
+                if last != (body.as_py(), k.as_py()):
+                    last = body.as_py(), k.as_py()
+                    held = Windows([words(d, o)[0] for _, _, d, o in text_chunks(pa.array([text.as_py()], pa.large_string()))][0], last[1])
+                tiles = greedy_tiles(seq, held, last[1])
+                covered = sum(x[2] for x in tiles)
+                if covered >= threshold * len(seq) - 1e-9:
+                    rows.append((last[0], item.as_py(), len(tiles), covered, len(seq)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["body", "item", "n_tiles", "covered", "item_words"])
+
+    return saved(both.mapInArrow(tile, "body binary, item binary, n_tiles int, covered int, item_words int"), "bench-found")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_tiles, covered, item_words, coverage of each document that holds a benchmark item.
 
     A document holds an item if tiles of `min_match` words or more cover `threshold` of the item's words, in any
     order; an item of fewer words must be there whole. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered. Null and
-    empty texts on either side match nothing; repeated rows report again; an empty table on either side gives none.
-    The benchmark goes to the tasks in blocks of BLOCK_BYTES; documents are read once a block and never shuffled.
+    empty texts on either side match nothing; repeated rows report again, each with its id, null ids too; an empty
+    table on either side gives none; other columns go. Documents are read twice, and only texts that share enough
+    seeds with an item are shuffled.
     """
-    schema = "doc_id long, item_id long, n_tiles int, covered int, item_words int, coverage double"
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-    narrow, found = docs.select("doc_id", "text"), None
-    for block in _blocks(benchmark, min_match, threshold):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0)
-                rows = [(ids[row].as_py(), item, n, c, m, c / m) for row, item, n, c, m in block.find(batch.column(1))]
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-        part = narrow.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    found = _found(docs, benchmark, min_match, threshold)
+    rows = docs.select("doc_id", _digest().alias("body"))
+    held = Filter.of(found.select("body").distinct(), "body").keep(rows, "body").join(found, "body")
+    named = held.join(benchmark.select("item_id", _digest().alias("item")), "item")
+    return named.select("doc_id", "item_id", "n_tiles", "covered", "item_words", (F.col("covered") / F.col("item_words")).alias("coverage"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item in the sense of `contaminated`."""
-    at = docs.columns.index("text")
-    for block in _blocks(benchmark, min_match, threshold):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in block.find(batch.column(at))]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    bad = saved(_found(docs, benchmark, min_match, threshold).select("body").distinct(), "bench-bodies")
+    body, some = unused(docs, "body"), Filter.of(bad, "body")
+    keyed = docs.withColumn(body, _digest())
+    left = some.keep(keyed, body).join(bad.withColumnRenamed("body", body), body, "left_anti")
+    return some.keep(keyed, body, among=False).unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
