@@ -170,6 +170,25 @@ def test_repeated_substrings(docs, rows, empty, n):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 5])
+def test_repeated_substrings_of_hot_heads(spark, monkeypatch, hot):
+    """Near copies of one passage at many places, split by bands."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = np.random.default_rng(14)
+    base = prose(rng, 60)
+    texts = [base, base * 2]
+    for _ in range(40):
+        a, w = int(rng.integers(0, 60)), list(base[: int(rng.integers(100, len(base)))])
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(0, len(w)))] = "Z"
+        texts.append(prose(rng, 3) + "".join(w)[a:] + prose(rng, 2))
+    rows = list(enumerate(texts))
+    for n in (48, 100):
+        got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n)
+        found = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect())
+        assert found == brute_cut(rows, n)
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = np.random.default_rng(1)
     for n_runs in (1, 2, 3, 7):

@@ -7,7 +7,9 @@ do; those are counted over all documents, and only suffixes at anchors with a re
 1. Each task sorts its suffixes (with the bytes before them that their stretches need), merges equal ones, and sends
    each bucket a front-coded run: the common prefix with the entry before, and the rest.
 2. A bucket, which holds all suffixes with the same head, merges its runs by a loser tree whose nodes know how many
-   bytes a loser shares with the last winner: known prefixes are never compared again.
+   bytes a loser shares with the last winner: known prefixes are never compared again. A head at more than HOT places
+   is split: its stretches go by bands of BAND distances from the anchor, and by the bytes that all equal stretches of
+   a band have in common, so that near copies of a passage part wherever they differ.
 3. The merged common prefixes say which suffixes agree on the rest of a stretch; together with a running hash of the
    bytes before the anchor they tell which stretches repeat.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,7 @@ from threadwell.llm.components import Filter
 
 LENGTH = 400
 GRAM = 24
+HOT, BAND = 1000, 25
 _RAW = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NO_ID = (1 << 63) - 1
 
@@ -182,7 +186,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _suffix_runs(flagged: DataFrame, length: int, n_buckets: int) -> DataFrame:
     """Front-coded runs (bucket, block) and members (ctx, doc, tag, place) of the flagged anchors' suffixes."""
     schema = "bucket int, block binary, ctx binary, doc long, tag long, place int"
-    names = [x.split(" ")[0] for x in schema.split(", ")]
+    names, band = [x.split(" ")[0] for x in schema.split(", ")], min(BAND, max(length // 8, 1))
     types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +207,27 @@ def _suffix_runs(flagged: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 cut = np.searchsorted(text, np.arange(hi - lo + 1))
                 members = []
                 for i in range(hi - lo):
-                    own = np.flatnonzero(np.isin(place[cut[i] : cut[i + 1]] - offsets[i], wanted[lo + i].values.to_numpy())) + cut[i]
+                    marks = wanted[lo + i].values.to_numpy()  # twice the place, and one more where the head is hot
+                    local = place[cut[i] : cut[i + 1]] - offsets[i]
+                    own = np.flatnonzero(np.isin(local, marks >> 1)) + cut[i]
+                    hot = set(marks[marks & 1 == 1] >> 1)
                     doc, tag = batch.column(0)[lo + i].as_py(), batch.column(1)[lo + i].as_py()
                     for j in own:
-                        p, a, b = int(place[j]), int(least[j]), int(greatest[j])
-                        suffix, before = raw[p : p + length - a], raw[p - b : p]
-                        entries = held.setdefault(int(h[j] % np.uint64(n_buckets)), {})
-                        key = (suffix, before, a, b)
-                        if key not in entries:
-                            weight += len(suffix) + len(before)
-                        entries[key] = entries.get(key, 0) + 1
-                        members.append((_context(suffix, before, a, b), doc, tag, p - int(offsets[i])))
+                        p, least_j, greatest_j, at = int(place[j]), int(least[j]), int(greatest[j]), int(place[j] - offsets[i])
+                        if at in hot:
+                            bands = [(d, d + band - 1) for d in range(least_j // band * band, greatest_j + 1, band)]
+                        else:
+                            bands = [(0, length)]
+                        for near, far in bands:
+                            a, b = max(least_j, near), min(greatest_j, far)
+                            suffix, before = raw[p : p + length - a], raw[p - b : p]
+                            bucket = zlib.crc32(raw[p - near : p + length - far]) if at in hot else int(h[j])
+                            entries = held.setdefault(bucket % n_buckets, {})
+                            key = (suffix, before, a, b)
+                            if key not in entries:
+                                weight += len(suffix) + len(before)
+                            entries[key] = entries.get(key, 0) + 1
+                            members.append((_context(suffix, before, a, b), doc, tag, at))
                 if members:
                     ctx, doc, tag, at = zip(*members, strict=True)
                     none = [None] * len(members)
@@ -291,8 +305,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array((place - offsets[text]).astype(np.int32)), pa.array(h.view(np.int64))], names=["doc", "tag", "place", "head"])
 
     heads = keyed.select("doc", "tag", "text").mapInArrow(find, "doc long, tag long, place int, head long")
-    many = saved(heads.groupBy("head").agg(F.count("*").alias("m")).filter("m > 1").select("head"), "substring-heads")
-    places = saved(heads.join(many, "head").groupBy("doc", "tag").agg(F.collect_set("place").alias("places")), "substring-places")
+    many = saved(heads.groupBy("head").agg(F.count("*").alias("m")).filter("m > 1").select("head", (F.col("m") > HOT).cast("int").alias("hot")), "substring-heads")
+    marks = F.collect_set(2 * F.col("place") + F.col("hot"))
+    places = saved(heads.join(many, "head").groupBy("doc", "tag").agg(marks.alias("places")), "substring-places")
     key = F.xxhash64("doc", "tag")
     some = Filter.of(places.select(key.alias("key")), "key")
     texts = some.keep(keyed.withColumn("key", key), "key").join(places, ["doc", "tag"])
