@@ -78,3 +78,30 @@ def test_near_duplicates(spark):
     for i in range(1001, 1007):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert lattice.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("part", [3, 2000])
+def test_links_are_counted_once(spark, monkeypatch, part):
+    """Dense groups, where pairs meet in many tables and cells: numbers of links are those of the pairs that meet."""
+    monkeypatch.setattr(lattice, "HELD", part)
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v)
+    rows = []
+    for _ in range(4):
+        base = unit(rng.normal(size=64))
+        for _ in range(25):
+            rows.append([float(x) for x in np.float32(unit(base + rng.normal(size=64) * float(rng.uniform(0.005, 0.035))))])
+    rows += rows[:7]
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int").repartition(5)).collect()}
+    u = np.stack([unit(np.array(v)) for v in rows])
+    look = lattice.Tables(64).cells(u)[1]
+    links = {i: set() for i in range(len(rows))}
+    for i in range(len(rows)):
+        for j in range(i):
+            meet = any(look[j, t, 0] in look[i, t] or look[i, t, 0] in look[j, t] for t in range(lattice.TABLES))
+            if rows[i] == rows[j] or meet and u[i] @ u[j] >= 0.93:
+                links[i].add(j)
+                links[j].add(i)
+    assert {i: len(x) for i, x in links.items()} == {i: r.n_links for i, r in got.items()}
+    for i, x in links.items():
+        assert all(got[i].component_id == got[j].component_id for j in x) and got[i].component_id <= i

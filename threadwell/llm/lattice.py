@@ -4,6 +4,10 @@ A table projects unit vectors on BLOCKS random 8-dimensional subspaces, scales a
 to its nearest point of the E8 lattice; the points together are the vector's cell. Vectors are indexed under their
 own cell and look into it and its nearest neighbours, reached by exchanging a block's point for one of the next
 nearest. Every pair that meets is checked by its cosine in double precision.
+
+Pairs never leave the task that checks them. A pair counts in the first table where the two meet, so that sums of
+partial counts are numbers of links; and of what hangs together in a cell each vector reports one link, to the
+smallest, which is enough for the components.
 """
 
 from __future__ import annotations
@@ -124,72 +128,106 @@ def vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def hashed(nodes: DataFrame) -> DataFrame:
-    """Nodes with `own`, their cell in each table, and `look`, the cells that they look into, table by table."""
+    """Nodes with `look`: the cells that they look into, table by table, each table's own cell first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, Tables] = {}
         for batch in batches:
             units = [np.frombuffer(x.as_buffer(), np.float64) for x in batch.column(2)]
-            own, look = [[]] * len(units), [[]] * len(units)
+            look = np.zeros((len(units), TABLES * (PROBES + 1)), np.int64)
             for dim in sorted({len(u) for u in units}):
                 at = [i for i, u in enumerate(units) if len(u) == dim]
-                a, b = tables.setdefault(dim, Tables(dim)).cells(np.stack([units[i] for i in at]))
-                for k, i in enumerate(at):
-                    own[i], look[i] = a[k].tolist(), b[k].tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64())), pa.array(look, pa.list_(pa.list_(pa.int64())))], names=["node", "label", "unit", "copies", "own", "look"])
-
-    return nodes.select("node", "label", "unit", "copies").mapInArrow(run, "node long, label string, unit binary, copies long, own array<long>, look array<array<long>>")
+                look[at] = tables.setdefault(dim, Tables(dim)).cells(np.stack([units[i] for i in at]))[1].reshape(len(at), -1)
+            ends = pa.array(np.arange(len(units) + 1, dtype=np.int32) * look.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(look.ravel()))], names=["node", "label", "unit", "copies", "look"])
+
+    return nodes.select("node", "label", "unit", "copies").mapInArrow(run, "node long, label string, unit binary, copies long, look array<long>")
+
+
+class _Cell:
+    """The indexed vectors of one cell (or a part of it), with the links found to each and its smallest relative."""
+
+    def __init__(self, table: int, rows: list[np.ndarray]):
+        self.table = table
+        self.node, self.copies, self.look, self.unit = rows
+        self.root, self.n = self.node.copy(), np.zeros(len(self.node), np.int64)
+
+    def asked(self, node: np.ndarray, copies: np.ndarray, look: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest relative and the links to be counted here of each vector that looks in."""
+        i, j = np.nonzero(unit @ self.unit.T >= threshold)
+        other = node[i] != self.node[j]
+        i, j = i[other], j[other]
+        root = node.copy()
+        while len(i):
+            before = root.copy(), self.root.copy()
+            np.minimum.at(root, i, self.root[j])
+            np.minimum.at(self.root, j, root[i])
+            if (root == before[0]).all() and (self.root == before[1]).all():
+                break
+        for t in range(self.table):  # met before?
+            met = (look[i, t] == self.look[j, t, :1]).any(1) | (self.look[j, t] == look[i, t, :1]).any(1)
+            i, j = i[~met], j[~met]
+        both = (self.look[j, self.table] == look[i, self.table, :1]).any(1)  # then the other looks here, or there, too
+        once = ~both | (node[i] < self.node[j])
+        i, j = i[once], j[once]
+        n = np.zeros(len(node), np.int64)
+        np.add.at(n, i, self.copies[j])
+        np.add.at(self.n, j, copies[i])
+        return root, n
 
 
 def links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of hashed nodes that meet in a cell and reach the threshold."""
+    """node, other and n of hashed nodes: partial numbers of vectors that they link to, and links (node, other) that
+    tell what hangs together. Pairs link that meet in a cell and reach the threshold."""
     spark = nodes.sparkSession
     key = lambda cell: F.xxhash64("label", F.length("unit"), "table", cell)
-    index = nodes.select("node", "label", "unit", F.posexplode("own").alias("table", "cell")).select("node", "table", key("cell").alias("key"))
-    looks = nodes.select("node", "label", "unit", F.posexplode("look").alias("table", "cells")).select("node", "label", "unit", "table", F.posexplode("cells").alias("rank", "cell")).select("node", "table", "rank", key("cell").alias("key"))
+    wide = PROBES + 1
+    tables = F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: F.array_distinct(F.slice("look", t * wide + 1, wide)))
+    looks = nodes.select("node", "label", "unit", F.posexplode(tables).alias("table", "cells"))
+    index = looks.select("node", "table", key(F.get("cells", F.lit(0))).alias("key"))
+    looks = looks.select("node", "label", "unit", "table", F.explode("cells").alias("cell")).select("node", "table", key("cell").alias("key"))
     size = index.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least"))
     parts = F.ceil(F.col("m") / HELD).cast("int")
-    looking = looks.join(size, "key").filter((F.col("m") > 1) | (F.col("least") != F.col("node"))).withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", "salt", "table", "node", (F.col("rank") + 1).alias("role"))
+    looking = looks.join(size, "key").filter((F.col("m") > 1) | (F.col("least") != F.col("node"))).withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", "salt", "table", "node", F.lit(1).alias("role"))
     looking = saved(looking, "lattice-looks")
     wanted = looking.groupBy("key").agg(F.count("*").alias("looks")).join(size, "key").select("key", "m")
     held = index.join(wanted, "key").select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"), "table", "node", F.lit(0).alias("role"))
-    rows = held.unionByName(looking).join(nodes.select("node", "own", "unit"), "node").select("key", "salt", "role", "table", "node", "own", "unit")
+    rows = held.unionByName(looking).join(nodes.select("node", "copies", "look", "unit"), "node").select("key", "salt", "role", "table", "node", "copies", "look", "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        ids: list[int] = []
-        cells: list[list[int]] = []
-        block: list[np.ndarray] = []
+        cell: _Cell | None = None
+        waiting: list[list[np.ndarray]] = []
+
+        def told(node: np.ndarray, other: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            some = (node != other) | (n > 0)
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (node, other, n)], names=["node", "other", "n"])
+
         for batch in batches:
-            key, salt, role, table, node = (batch.column(i).to_numpy() for i in range(5))
-            own = np.array(batch.column(5).to_pylist(), np.int64).reshape(batch.num_rows, -1)
-            unit = [np.frombuffer(x.as_buffer(), np.float64) for x in batch.column(6)]
+            key, salt, role, table, node, copies = (batch.column(i).to_numpy() for i in range(6))
+            look = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, TABLES, -1)
+            unit = [np.frombuffer(x.as_buffer(), np.float64) for x in batch.column(7)]
             cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]) if len(key) else []
-            left, right = [], []
             for lo, hi in zip(cut, [*cut[1:], len(key)], strict=True):
                 if (key[lo], salt[lo]) != at:
-                    at, ids, cells, block = (key[lo], salt[lo]), [], [], []
+                    if cell is not None:
+                        yield told(cell.node, cell.root, cell.n)
+                    at, cell, waiting = (key[lo], salt[lo]), None, []
                 first = lo + int(np.searchsorted(role[lo:hi], 1))
-                ids += node[lo:first].tolist()
-                cells += own[lo:first].tolist()
-                block += unit[lo:first]
-                if not block or first == hi:
+                if first > lo:
+                    waiting.append([node[lo:first], copies[lo:first], look[lo:first], np.stack(unit[lo:first])])
+                if first < hi and cell is None and waiting:
+                    cell = _Cell(int(table[lo]), [np.concatenate(x) for x in zip(*waiting, strict=True)])
+                if cell is None:
                     continue
-                held_ids, held_own, held_unit = np.array(ids), np.array(cells), np.stack(block)
                 for a in range(first, hi, 512):
                     b = min(hi, a + 512)
-                    cosine = np.stack(unit[a:b]) @ held_unit.T
-                    i, j = np.nonzero(cosine >= threshold)
-                    x, y = node[a:b][i], held_ids[j]
-                    same = own[a:b][i] == held_own[j]  # tables in which the two share a cell: the first of them reports
-                    t = table[lo]
-                    once = np.where(role[a:b][i] == 1, ~same[:, :t].any(1) & (x < y), ~same.any(1)) & (x != y)
-                    left.append(np.minimum(x, y)[once])
-                    right.append(np.maximum(x, y)[once])
-            empty = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *left])), pa.array(np.concatenate([empty, *right]))], names=["a", "b"])
+                    root, n = cell.asked(node[a:b], copies[a:b], look[a:b], np.stack(unit[a:b]), threshold)
+                    yield told(node[a:b], root, n)
+        if cell is not None:
+            yield told(cell.node, cell.root, cell.n)
 
-    return rows.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "role").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "role").mapInArrow(run, "node long, other long, n long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -206,12 +244,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame
     nodes = rows.filter("digest is not null and vec_id is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     nodes = saved(nodes, "lattice-nodes")
     found = saved(links(saved(hashed(nodes), "lattice-cells"), threshold), "lattice-links")
-    label = connected_components(found)
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    direct = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("direct"))
+    label = connected_components(found.filter("node != other"), "node", "other")
+    direct = found.groupBy("node").agg(F.sum("n").alias("direct"))
     known = (
         nodes.select("label", "digest", "node", "copies")
-        .join(direct.withColumnRenamed("a", "node"), "node", "left")
+        .join(direct, "node", "left")
         .join(label, "node", "left")
         .select("label", "digest", (F.col("copies") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     )
