@@ -1,4 +1,9 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+The terms of the vectors are those that tell the classes of the examples apart by a likelihood-ratio test; how sure
+the test must be is chosen on examples set aside. Words that say nothing about toxicity would only add noise to the
+cosines of long texts. All terms that pass are indexed, however many, and the cosines over them are exact.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +22,6 @@ from threadwell.llm.common import fold, saved
 
 #: Bound on the labelled examples of each class that are fitted.
 MAX_EXAMPLES = 4096
-#: Bound on the terms, those that tell the classes apart best.
-MAX_TERMS = 8192
 #: Levels of the likelihood-ratio statistic that a term may need (the best on the examples set aside is taken), and the
 #: least ratio of the classes' shares.
 LEVELS, MIN_RATIO = (8.0, 12.0, 16.0, 20.0, 26.0, 34.0), 3.0
@@ -74,7 +77,7 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    """Bounded: at most MAX_EXAMPLES vectors of each class over MAX_TERMS terms."""
+    """Bounded by the examples: at most MAX_EXAMPLES vectors of each class, over terms of theirs."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -148,7 +151,8 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled rows outside of the held-out fold.
 
-    Of each class the MAX_EXAMPLES rows with the lowest hash of their doc_id are the examples. Terms are words that
+    Of each class the MAX_EXAMPLES ids with the lowest hash are the examples, each with one text (the first in order,
+    if rows repeat the id). Terms are words and stems that
     tell the classes of four fifths of the examples apart, at the level that does best on the other fifth; their
     document frequencies are counted over all of docs.
     """
@@ -160,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         part = rows.filter((F.col("toxic") == 1) == F.lit(kind)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * MAX_EXAMPLES ids
-    examples = saved(texts.select("doc_id", "text", (F.col("toxic") == 1).alias("toxic")), "toxicity-examples")
+    once = texts.groupBy("doc_id").agg(F.min("text").alias("text"), (F.first("toxic") == 1).alias("toxic"))
+    examples = saved(once, "toxicity-examples")
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     g2 = 2 * (cell(a, (a + b) * n1 / n) + cell(b, (a + b) * n0 / n) + cell(n1 - a, (n - a - b) * n1 / n) + cell(n0 - b, (n - a - b) * n0 / n))
     ratio = F.abs(F.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))))
     counted = chosen.mapInArrow(terms_of, "term string, toxic boolean, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("b"))
-    best = counted.filter((a + b < n) & (a + b >= 2)).withColumn("g2", g2).filter((F.col("g2") >= LEVELS[0]) & (ratio >= math.log(MIN_RATIO))).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).select("term", "g2").collect()
+    best = counted.filter((a + b < n) & (a + b >= 2)).withColumn("g2", g2).filter((F.col("g2") >= LEVELS[0]) & (ratio >= math.log(MIN_RATIO))).orderBy(F.desc("g2"), "term").select("term", "g2").collect()
     vocabulary, strength = {r[0]: i for i, r in enumerate(best)}, np.array([r[1] for r in best])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
