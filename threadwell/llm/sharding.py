@@ -70,8 +70,9 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = 8) -> DataFr
         return pd.Series(hilbert_index([a.to_numpy(), b.to_numpy(), c.to_numpy()], bits))
 
     axes = ["lang_q", "source_q", "size_q"]
-    first = first.select("digest", *(F.col(f"first.{a}").alias(a) for a in axes))
-    keyed = rows.drop(*axes).join(first.withColumn("curve", curve(*axes)), "digest")
+    # written, so that the join can split a text of very many copies
+    first = saved(first.select("digest", *(F.col(f"first.{a}").alias(a) for a in axes)).withColumn("curve", curve(*axes)), "shard-first")
+    keyed = rows.drop(*axes).join(first, "digest")
     ordered = saved(
         keyed.repartitionByRange(partitions(docs.sparkSession), "curve", "digest", "doc_id")
         .sortWithinPartitions("curve", "digest", "doc_id")
