@@ -59,7 +59,7 @@ def line_table(docs: DataFrame, with_long: bool = False) -> DataFrame:
 
 def _sequences(lines: DataFrame) -> DataFrame:
     """The stretches of lines in which every line and every pair of neighbours repeats: seq (first idx) and len."""
-    twice = lines.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").select("id")
+    twice = saved(lines.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").select("id"), "lines-twice")  # written, so that the join can split a common line
     own = lines.join(twice, "id")
     in_doc = Window.partitionBy("doc", "tag").orderBy("idx")
     pairs = own.withColumns({"after": F.lead("id").over(in_doc), "after_idx": F.lead("idx").over(in_doc)})
