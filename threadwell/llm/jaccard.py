@@ -38,7 +38,7 @@ from threadwell.llm.components import Filter, connected_components
 #: Common shingles that the order knows of, and how often one must occur in a batch of rows to be counted.
 COMMON, LOCAL = 1 << 17, 3
 #: Expected sets of one shingle (or partners of one centre) that one task handles together.
-SALT_ROWS = 1000
+SALT_ROWS = 200
 #: Prefix shingles by which a set seeks a centre: so many of the rarest that it shares, and of the commonest.
 SEEDS = 3
 #: 64-bit words of a set's sketch.
