@@ -15,27 +15,41 @@ from threadwell.llm.common import saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled neighbours call toxic go."""
+    """Documents that the labelled neighbours call toxic go.
+
+    Null and empty texts have no neighbours and stay; repeated rows go or stay alike; extra columns stay.
+    """
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs are cut out; n_chars follows. Documents of which nothing is left go."""
+    """Later copies of line runs are cut out; n_chars follows. Documents of which nothing is left go.
+
+    The copy in the smallest doc_id stays, null ids come last. Null and empty texts stay as they are. Rows that repeat
+    an id with the same text are one document; extra columns stay.
+    """
     return lines.deduplicate(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more) stays: the first."""
+    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more) stays: the first.
+
+    Texts without words and rows with a null id stand alone and stay; rows that repeat the id that stays all stay;
+    extra columns stay.
+    """
     return jaccard.keep_first(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none, empty items are held by none; repeated rows go or stay alike; extra columns stay.
+    """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, checked by decoding."""
+    """Token ids of what is left, checked by decoding: a row for each row, null texts without tokens; other columns go."""
     return pieces.encode(docs)
 
 
