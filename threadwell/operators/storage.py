@@ -6,10 +6,52 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "threadwell-checkpoints")
+    return f"{base}/threadwell-engine/{spark.sparkContext.applicationId}"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the session's checkpoint folder; in a temporary one only where none is set (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "threadwell-checkpoints")
-    return f"{base}/threadwell/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's folder."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def swap(spark: SparkSession, df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Replace the table at path by df, which may read it: written beside it first, so a failure leaves the old one."""
+    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    df.write.partitionBy(*partition_by).parquet(new)
+    fs, at = _file_system(spark, path)
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(at):
+        fs.rename(at, p(old))
+    fs.rename(p(new), at)
+    fs.delete(p(old), True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results are written."""
+    delete(spark, scratch_root(spark))
