@@ -43,21 +43,21 @@ def test_counts_are_those_of_whole_texts(monkeypatch, segment):
         model = small_model(rng, k, 5)
         seqs = [rng.integers(0, 5, n).tolist() for n in (3, 1, 4, 7, 2, 12, 6)]
         first = np.r_[0, np.cumsum([len(x) for x in seqs])]
-        sym, got = np.concatenate(seqs).astype(np.int32), np.zeros((5, k))
+        sym, got = np.concatenate(seqs).astype(np.int32), np.zeros((k, 5))
         start, move, total = hmm.expected_counts(model, sym, first, got)
         want = plain_counts(model, seqs)
-        for x, y in zip((got, start, move, total), want, strict=True):
-            assert np.allclose(x, y)
+        for x, y in zip((got.T, start, move, total), want, strict=True):
+            assert np.allclose(x, y, rtol=1e-4, atol=1e-5)
         assert np.allclose(hmm.forward(model, sym, first), [plain_counts(model, [x])[3] for x in seqs])
 
 
 def test_a_long_text_does_not_underflow():
     rng = np.random.default_rng(5)
     model, sym = small_model(rng, 3, 6), rng.integers(0, 6, 20_000).astype(np.int32)
-    emit = np.zeros((6, 3))
+    emit = np.zeros((3, 6))
     start, move, total = hmm.expected_counts(model, sym, np.array([0, 20_000]), emit)
-    assert math.isclose(start.sum(), 1) and math.isclose(move.sum(), 19_999) and math.isclose(emit.sum(), 20_000)
-    assert np.allclose(emit.sum(1), np.bincount(sym, minlength=6)) and math.isfinite(total)
+    assert np.allclose([start.sum(), move.sum(), emit.sum()], [1, 19_999, 20_000], rtol=1e-4)
+    assert np.allclose(emit.sum(0), np.bincount(sym, minlength=6), rtol=1e-4) and math.isfinite(total)
 
 
 def test_rounds_match_a_plain_implementation(spark, monkeypatch):
@@ -67,7 +67,7 @@ def test_rounds_match_a_plain_implementation(spark, monkeypatch):
     texts = [" ".join(rng.choice(["a", "bb", "ccc", "dd", "e"][:: 1 if i % 2 else -1], int(n), p=[0.4, 0.3, 0.1, 0.1, 0.1])) for i, n in enumerate(rng.integers(0, 30, 60))]
     train = spark.createDataFrame([(None if i % 7 == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     alpha = hmm.alphabet(hmm.word_counts(train))
-    table = hmm.symbol_table(train, alpha)
+    table = hmm.symbol_table(train, F.lit(True), alpha)
     seqs = [r.sym for r in table.collect()]
     assert collections.Counter(len(x) for x in seqs) == collections.Counter(len(t.split()) + 1 for t in texts)
     model = hmm.first_model(alpha, 3)
@@ -75,13 +75,13 @@ def test_rounds_match_a_plain_implementation(spark, monkeypatch):
     for _ in range(5):
         emit, start, move, total = plain_counts(model, seqs)
         now, seen = hmm.baum_welch(table, alpha, model)
-        assert math.isclose(seen, total)
+        assert math.isclose(seen, total, rel_tol=1e-6)
         # what a round raises: the likelihood and the priors' part
         goal = total + (prior * np.log10(model.emit)).sum() + np.log10(model.move).sum() + np.log10(model.start).sum()
-        assert goal >= last - 1e-9
+        assert goal >= last - 1e-4
         last = goal
-        assert np.allclose(now.emit, (emit + prior) / (emit + prior).sum(0))
-        assert np.allclose(now.move, (move + 1) / (move + 1).sum(1, keepdims=True)) and np.allclose(now.start, (start + 1) / (start + 1).sum())
+        assert np.allclose(now.emit, (emit + prior) / (emit + prior).sum(0), rtol=1e-4)
+        assert np.allclose(now.move, (move + 1) / (move + 1).sum(1, keepdims=True), rtol=1e-4) and np.allclose(now.start, (start + 1) / (start + 1).sum(), rtol=1e-4)
         model = now
 
 
@@ -92,9 +92,9 @@ def test_scores_match_a_plain_implementation(spark, monkeypatch):
     pool = [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choice(pool[: 8 if i % 3 else 40], int(n))) for i, n in enumerate(rng.integers(0, 25, 50))] + ["never seen before", "W1 w1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train = docs.filter("doc_id < 40")
-    alpha = hmm.alphabet(common.saved(hmm.word_counts(train), "test"))
-    model = hmm.fit(train, alpha)
+    learn = F.col("doc_id") < 40
+    alpha = hmm.alphabet(common.saved(hmm.word_counts(docs.filter(learn)), "test"))
+    model = hmm.fit(hmm.symbol_table(docs, learn, alpha), alpha)
     count = collections.Counter(w for t in texts[:40] for w in t.lower().split())
     by_hash, classes = {}, {}
     for w in {w for t in texts for w in t.lower().split()}:
@@ -106,7 +106,7 @@ def test_scores_match_a_plain_implementation(spark, monkeypatch):
     for w in count:
         if w not in kept:
             rare[classes[w]].append(count[w])
-    got = {r.doc_id: r for r in hmm.score(docs, train).collect()}
+    got = {r.doc_id: r for r in hmm.score(docs, learn).collect()}
     for i, t in enumerate(texts):
         w = t.lower().split()
         seq = [int(alpha.symbols(np.array([by_hash[x]]), np.array([classes[x]]))[0]) for x in w] + [alpha.end]
