@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadwell.plans import search_queries, session_queries  # noqa: F401  the second registers its own
+from threadwell.plans import search_queries, session_queries, transcript_queries  # noqa: F401  the others register their own
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

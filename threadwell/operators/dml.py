@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from threadwell.operators import storage
+
 #: Columns of a session that re-indexing leaves alone.
 KEPT = ("topic_summary", "git_remote")
 
@@ -56,6 +59,40 @@ def set_remotes(sessions: DataFrame, remotes: DataFrame) -> tuple[DataFrame, Dat
     return joined.withColumn("git_remote", F.coalesce("_new", "git_remote")).drop("_new"), joined.agg(F.count_if(changed).alias("changed"))
 
 
-def replace_sessions(new: DataFrame, path: str, key: str = "session_id") -> None:
-    """Overwrite just the partitions of the sessions in new; other sessions' files are not touched."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+#: Folders that a table is dealt to by a hash of its session.
+BUCKETS = 256
+
+
+def replace_sessions(new: DataFrame, path: str, key: str = "session_id", changed: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Replace the rows of the changed sessions (default: those in new) by new; only their buckets are written again.
+
+    A bucket that is left without rows goes.
+    """
+    spark, bucket = new.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = new.withColumn("bucket", bucket)
+    if storage.exists(spark, path):
+        gone = (new.select(key) if changed is None else changed.select(key)).distinct()
+        touched = sorted(r[0] for r in gone.select(bucket).distinct().collect())  # at most `buckets`
+        kept = spark.read.schema(rows.schema).parquet(path).filter(F.col("bucket").isin(touched)).join(gone, key, "left_anti")
+        rows = rows.unionByName(kept.select(*rows.columns))
+        left = {r[0] for r in rows.select("bucket").distinct().collect()}
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        for b in set(touched) - left:
+            storage.delete(spark, f"{path}/bucket={b}")
+    else:
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def wipe(sessions: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without rows, for a whole new index; subagents stay."""
+    return sessions.limit(0), chunks.limit(0), vectors.limit(0)
+
+
+def reset_vectors(chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An empty table of vectors, and one row with the number of chunks that are to be embedded anew."""
+    return vectors.limit(0), chunks.agg(F.count("*").alias("marked"))
+
+
+def migrated(df: DataFrame, schema: StructType) -> DataFrame:
+    """df with the columns of schema, in that order: missing ones are null, others go."""
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))

@@ -106,3 +106,20 @@ def stats(sessions: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFra
     b = chunks.agg(F.count("*").alias("chunks"))
     c = chunks.join(vectors.select("chunk_id"), "chunk_id", "left_semi").agg(F.count("*").alias("embedded"))
     return a.crossJoin(b).crossJoin(c)
+
+
+def session_chunks(chunks: DataFrame, session_id, session: str = "session_id", key: str = "chunk_id") -> DataFrame:
+    """The chunks of one session by turn; parts of a turn by their id."""
+    return chunks.filter(F.col(session) == session_id).orderBy("turn_number", key)
+
+
+def resolve_subagent(subagents: DataFrame, parent: str, given: str) -> DataFrame:
+    """The first subagent of a session, by id, whose id begins with what is given; ambiguity does not matter."""
+    hit = subagents.filter((F.col("parent_session_id") == parent) & F.startswith(ascii_lower(F.col("agent_id")), ascii_lower(F.lit(given))))
+    return hit.orderBy("agent_id").limit(1)
+
+
+def subagent_counts(sessions: DataFrame, subagents: DataFrame, session: str = "session_id") -> DataFrame:
+    """session and the number of its subagents, 0 for none."""
+    n = subagents.groupBy(F.col("parent_session_id").alias(session)).agg(F.count("*").alias("subagents"))
+    return sessions.select(session).distinct().join(n, session, "left").withColumn("subagents", F.coalesce("subagents", F.lit(0)))

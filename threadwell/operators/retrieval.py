@@ -42,13 +42,14 @@ def _times(term: str) -> Column:
 def bm25(docs: DataFrame, query: str, limit: int | None = 20, key: str = "doc_id", text: str = "text", match: str = "any") -> DataFrame:
     """key and rank (negative; less is better) of the documents that hold any (or all) of the query's terms.
 
-    One projection counts the query's terms in each row; the corpus figures are one aggregate row, broadcast. A query
+    For texts without an index: they are split twice, for the corpus figures (one row, broadcast) and for the counts.
+    The row number keeps the filter from being moved below the split, which would repeat it for each term. A query
     without terms gives nothing.
     """
     wanted = query_terms(query)
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("rank")).limit(0)
-    split = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("terms"))
+    split = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("terms"), F.monotonically_increasing_id().alias("_row"))
     counted = split.select(key, F.size("terms").alias("dl"), *(_times(t).alias(f"tf{i}") for i, t in enumerate(wanted)))
     tf = [F.col(f"tf{i}") for i in range(len(wanted))]
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(tf)))
@@ -59,13 +60,23 @@ def bm25(docs: DataFrame, query: str, limit: int | None = 20, key: str = "doc_id
     return out if limit is None else out.orderBy("rank", key).limit(limit)
 
 
+def bm25_of_hits(hits: DataFrame, n_docs: Column, avgdl: Column, key: str = "doc_id", least: int = 1, allowed: DataFrame | None = None) -> DataFrame:
+    """key and rank of the documents that at least `least` of the hits' terms are in, from postings of a query's terms.
+
+    Document frequencies count all hits; allowed (owner) then leaves some documents out. The figures of the corpus are
+    literals, or columns of the hits.
+    """
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of a query
+    if allowed is not None:
+        hits = hits.join(allowed, "owner", "left_semi")
+    rank = F.sum(_idf(n_docs, F.col("df")) * _weight(F.col("tf"), F.col("dl"), avgdl))
+    return hits.join(F.broadcast(df), "term").groupBy(key).agg((-rank).alias("rank"), F.count("*").alias("found")).filter(F.col("found") >= least).select(key, "rank")
+
+
 def bm25_from_postings(index: DataFrame, stats: DataFrame, query: str, limit: int = 20, key: str = "doc_id") -> DataFrame:
-    """The same from a written index: only the postings of the query's terms are read."""
-    hits = index.filter(F.col("term").isin(query_terms(query)))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    rank = F.sum(_idf(F.col("n_docs"), F.col("df")) * _weight(F.col("tf"), F.col("dl"), F.col("avgdl")))
-    return scored.groupBy(key).agg((-rank).alias("rank")).orderBy("rank", key).limit(limit)
+    """BM25 from a table of postings: only those of the query's terms are read."""
+    hits = index.filter(F.col("term").isin(query_terms(query))).crossJoin(F.broadcast(stats))
+    return bm25_of_hits(hits, F.col("n_docs"), F.col("avgdl"), key).orderBy("rank", key).limit(limit)
 
 
 def dot(a: str, b: str) -> Column:

@@ -40,10 +40,9 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def swap(spark: SparkSession, df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replace the table at path by df, which may read it: written beside it first, so a failure leaves the old one."""
-    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.partitionBy(*partition_by).parquet(new)
+def move(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder new in the place of path."""
+    old = f"{path}.{uuid.uuid4().hex}.old"
     fs, at = _file_system(spark, path)
     p = spark._jvm.org.apache.hadoop.fs.Path
     if fs.exists(at):
@@ -52,6 +51,13 @@ def swap(spark: SparkSession, df: DataFrame, path: str, partition_by: tuple[str,
     fs.delete(p(old), True)
 
 
+def swap(spark: SparkSession, df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Replace the table at path by df, which may read it: written beside it first, so a failure leaves the old one."""
+    new = f"{path}.{uuid.uuid4().hex}.new"
+    df.write.partitionBy(*partition_by).parquet(new)
+    move(spark, new, path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once its results are written."""
     delete(spark, scratch_root(spark))

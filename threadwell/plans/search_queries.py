@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadwell.operators import dml, filters, retrieval, search
+from threadwell import schema
+from threadwell.operators import dml, filters, retrieval, search, storage
+from threadwell.operators.text_index import TextIndex
 from threadwell.plans.stand_ins import LIVES_SQL, PROJECTS_SQL, TERMS_SQL, bm25_sql, chunks, knn_sql, lives, load, projects, query_vector, vectors
 
 QUERIES: dict = {}
@@ -23,6 +25,17 @@ def query(sql: str | None = None):
     return add
 
 
+_BUILT: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark, d) -> TextIndex:
+    """The documents' index, written once for each application and folder."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _BUILT:
+        _BUILT[at] = TextIndex(spark, storage.scratch(spark, "text-index")).build(chunks(spark, d))
+    return _BUILT[at]
+
+
 def rounded(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
@@ -45,7 +58,7 @@ def vector_per_label_best(spark, d):
 
 def _bm25(words: str, need: str):
     sql = f"WITH {bm25_sql(words.split(), need, 20)} SELECT doc_id, round(rank, 6) + 0.0 AS rank FROM fts"
-    return sql, lambda spark, d: retrieval.bm25(load(spark, d, "documents"), words, match=need).select("doc_id", rounded("rank"))
+    return sql, lambda spark, d: text_index(spark, d).search(words, match=need).select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
 
 
 for _name, _words, _need in (("fts_single", "idiot", "any"), ("fts_any", "idiot thinnt las", "any"), ("fts_all", "the from with", "all")):
@@ -57,6 +70,30 @@ def bm25_stats(spark, d):
     return retrieval.corpus_stats(load(spark, d, "documents")).select("n_docs", rounded("avgdl"))
 
 
+@query(SQL["fts_any"])
+def fts_scan(spark, d):
+    return retrieval.bm25(load(spark, d, "documents"), "idiot thinnt las").select("doc_id", rounded("rank"))
+
+
+@query(SQL["fts_any"])
+def fts_updated_index(spark, d):
+    """Built with other texts in some sessions, which are then replaced; one of them twice."""
+    own = chunks(spark, d)
+    first = own.withColumn("combined_text", F.when(F.col("session_id").isin(_SOURCES), F.lit("idiot las las")).otherwise(F.col("combined_text")))
+    index = TextIndex(spark, storage.scratch(spark, "text-index")).build(first)
+    index.update(first.filter("session_id = 'src3'").withColumn("combined_text", F.lit("thinnt")))
+    index.update(own.filter(F.col("session_id").isin(_SOURCES)))
+    return index.search("idiot thinnt las").select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
+
+
+@query(SQL["fts_all"])
+def fts_merged_index(spark, d):
+    own = chunks(spark, d)
+    index = TextIndex(spark, storage.scratch(spark, "text-index")).build(own.filter("session_id <> 'src1'"))
+    index.update(own.filter("session_id = 'src1'"))
+    return index.merge(own).search("the from with", match="all").select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
+
+
 @query(SQL["fts_any"])
 def fts_postings(spark, d):
     docs = load(spark, d, "documents")
@@ -71,7 +108,7 @@ _TWO = f"WITH {knn_sql(50)}, {bm25_sql(['idiot', 'the'], 'any', 50)}, {_RANKED.f
 
 def _lists(spark, d, n=50):
     near = retrieval.ranked(retrieval.vector_topk(vectors(spark, d), query_vector(spark, d), n, "chunk_id"), "distance", "chunk_id")
-    words = retrieval.ranked(retrieval.bm25(chunks(spark, d), "idiot the", n, "chunk_id", "combined_text"), "rank", "chunk_id")
+    words = retrieval.ranked(text_index(spark, d).search("idiot the", n), "rank", "chunk_id")
     return near, words
 
 
@@ -87,15 +124,16 @@ def rrf_three_lists(spark, d):
     return out.orderBy(F.desc(F.round("score", 12)), "list_no", "pos", "chunk_id").limit(20).select("chunk_id", rounded("score", 9))
 
 
-def _hybrid_sql(where: str, knn: str | None = None, fts: str | None = None) -> str:
-    return f"""WITH {knn or knn_sql(50)}, {fts or bm25_sql(['idiot', 'the'], 'any', 50)}, {_RANKED.format('knn', 'distance')}, {_RANKED.format('fts', 'rank')}, {_FUSE.format(_LISTS)},
+def _hybrid_sql(where: str, knn: str | None = None, fts: str | None = None, more: str = "", lists: str = _LISTS, final: str | None = None) -> str:
+    final = final or "SELECT doc_id AS chunk_id, source AS session_id, round(score, 9) AS score FROM placed WHERE k = 1 ORDER BY round(score, 12) DESC, first, doc_id LIMIT 10"
+    return f"""WITH {knn or knn_sql(50)}, {fts or bm25_sql(['idiot', 'the'], 'any', 50)}, {_RANKED.format('knn', 'distance')}, {_RANKED.format('fts', 'rank')}{more}, {_FUSE.format(lists)},
 capped AS (SELECT * FROM fused ORDER BY round(score, 12) DESC, first, doc_id LIMIT 100),
 placed AS (SELECT c.*, d.source, row_number() OVER (PARTITION BY d.source ORDER BY round(score, 12) DESC, first, c.doc_id) AS k FROM capped c JOIN documents d USING (doc_id) WHERE {where})
-SELECT doc_id AS chunk_id, source AS session_id, round(score, 9) AS score FROM placed WHERE k = 1 ORDER BY round(score, 12) DESC, first, doc_id LIMIT 10"""
+{final}"""
 
 
 def _hybrid(spark, d, **kw):
-    return search.hybrid(chunks(spark, d), vectors(spark, d), "idiot the", query_vector(spark, d), **kw).select("chunk_id", "session_id", rounded("score", 9))
+    return search.hybrid(chunks(spark, d), vectors(spark, d), "idiot the", query_vector(spark, d), index=text_index(spark, d), **kw).select("chunk_id", "session_id", rounded("score", 9))
 
 
 _SOURCES = ["src1", "src3", "src5", "src7", "src11"]
@@ -121,9 +159,18 @@ def hybrid_filtered_pre(spark, d):
     return _hybrid(spark, d, allowed=_allowed(spark, d), filter_mode="pre")
 
 
-@query()
+_MORE = f", {bm25_sql(['worthless', 'trash'], 'any', 50, 'lex', '2')}, {knn_sql(50, 11, 'knn2')}, {_RANKED.format('lex', 'rank')}, {_RANKED.format('knn2', 'distance')}"
+
+
+@query(_hybrid_sql("true", more=_MORE, lists=_LISTS + " UNION ALL SELECT doc_id, pos, 2 FROM lexr UNION ALL SELECT doc_id, pos, 3 FROM knn2r"))
 def hybrid_expanded(spark, d):
-    return _hybrid(spark, d, variants=[("lex", "worthless trash", None), ("vec", "", query_vector(spark, d, 11))])
+    variants = search.expanded("idiot the", lambda _: [("lex", "worthless trash"), ("hyde", "x")], lambda _: query_vector(spark, d, 11))
+    return _hybrid(spark, d, variants=variants)
+
+
+@query(_hybrid_sql("true").replace("AS score, min(list_no", "+ 0.05 * count(*) FILTER (WHERE pos = 0) AS score, min(list_no"))
+def hybrid_top_bonus(spark, d):
+    return _hybrid(spark, d, bonus=0.05)
 
 
 @query(f"SELECT session_id, round(score, 9) AS score FROM ({_hybrid_sql('true').replace('LIMIT 10', 'LIMIT 15').replace('LIMIT 50', 'LIMIT 75').replace('LIMIT 100', 'LIMIT 150')}) ORDER BY score DESC, session_id LIMIT 5")
@@ -154,28 +201,34 @@ def file_contains(spark, d):
     return search.file_search(lives(spark, d), "PURCH").select("session_id", "last_message_at", "score")
 
 
-def _cross(spark, d):
-    chat = retrieval.ranked(load(spark, d, "documents").orderBy("doc_id").limit(300).select("doc_id", F.col("text").alias("content")), "doc_id")
-    research = retrieval.ranked(load(spark, d, "benchmark").select("item_id", F.col("text").alias("content"), F.col("text").alias("source_file")), "item_id")
-    return chat, research
+def _research(spark, d, names):
+    """The embeddings as research entries; names gives the file of an id."""
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("/notes/"), names(F.col("vec_id"))).alias("source_file"), F.col("label").cast("string").alias("content"), "embedding")
+
+
+def _cross_sql(name: str, limit: int) -> str:
+    final = f"""SELECT source, pos, round(score, 9) AS score FROM m WHERE source = 'chat' OR NOT EXISTS (SELECT 1 FROM m c WHERE c.source = 'chat' AND c.pos < m.pos AND contains(c.content, m.content)) ORDER BY pos LIMIT {limit}"""
+    more = f""", chat AS (SELECT p.doc_id, d.text AS content, row_number() OVER (ORDER BY round(score, 12) DESC, first, p.doc_id) - 1 AS own FROM placed p JOIN documents d USING (doc_id) WHERE k = 1),
+named AS (SELECT {name} AS content, pos FROM knnr),
+res AS (SELECT content, row_number() OVER (ORDER BY min(pos)) - 1 AS own FROM named GROUP BY content),
+al AS (SELECT 'chat' AS source, content, own FROM chat UNION ALL SELECT 'research', content, own FROM res),
+m AS (SELECT *, 1.0::DOUBLE / (61 + own) AS score, row_number() OVER (ORDER BY own, source) - 1 AS pos FROM al)
+{final}"""
+    return _hybrid_sql("true", final=more)
 
 
-_CROSS = """WITH chat AS (SELECT text AS content, row_number() OVER (ORDER BY doc_id) - 1 AS own FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 300)),
-res AS (SELECT content, row_number() OVER (ORDER BY first_id) - 1 AS own FROM (SELECT text AS content, min(item_id) AS first_id FROM benchmark GROUP BY text)),
-al AS (SELECT 'chat' AS source, * FROM chat UNION ALL SELECT 'research', * FROM res),
-m AS (SELECT *, 1.0::DOUBLE / (61 + own) AS score, row_number() OVER (ORDER BY own, source) - 1 AS pos FROM al)"""
+def _cross(spark, d, names, limit):
+    return search.cross_search(chunks(spark, d), vectors(spark, d), _research(spark, d, names), "idiot the", query_vector(spark, d), limit, index=text_index(spark, d)).select("source", "pos", rounded("score", 9))
 
 
-@query(f"{_CROSS} SELECT source, pos, round(score, 9) AS score FROM m ORDER BY pos LIMIT 60")
+@query(_cross_sql("'zz-' || doc_id", 10))
 def cross_interleave(spark, d):
-    chat, research = _cross(spark, d)
-    return search.cross(chat.withColumn("content", F.lit("")), research, 60).select("source", "pos", rounded("score", 9))
+    return _cross(spark, d, lambda i: F.concat(F.lit("zz-"), i.cast("string")), 10)
 
 
-@query(f"{_CROSS} SELECT source, pos, round(score, 9) AS score FROM m WHERE source = 'chat' OR NOT EXISTS (SELECT 1 FROM m c WHERE c.source = 'chat' AND c.pos < m.pos AND contains(c.content, m.content)) ORDER BY pos LIMIT 300")
+@query(_cross_sql("CASE doc_id % 4 WHEN 0 THEN 'the' WHEN 1 THEN 'and' ELSE 'n' || doc_id END", 10))
 def cross_antidedup(spark, d):
-    chat, research = _cross(spark, d)
-    return search.cross(chat, research, 300).select("source", "pos", rounded("score", 9))
+    return _cross(spark, d, lambda i: F.when(i % 4 == 0, "the").when(i % 4 == 1, "and").otherwise(F.concat(F.lit("n"), i.cast("string"))), 10)
 
 
 @query(f"WITH {LIVES_SQL} SELECT session_id FROM lives WHERE last_message_at >= '2024-01-02T00:00:00' AND first_message_at <= '2024-01-01T06:00:00'")
@@ -213,14 +266,15 @@ def upsert_latest(spark, d):
     return dml.latest(load(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-_OLD = f"WITH {LIVES_SQL}, old AS (SELECT session_id, 'v1' AS slug, 'kept' AS topic_summary FROM lives WHERE session_id % 2 = 0), fresh AS (SELECT session_id, 'v2' AS slug FROM lives WHERE session_id % 3 = 0)"
+_CUT = "2024-01-02T00:00:00"
 
 
-@query(f"{_OLD} SELECT coalesce(o.session_id, f.session_id) AS session_id, coalesce(f.slug, o.slug) AS slug, o.topic_summary FROM old o FULL JOIN fresh f ON o.session_id = f.session_id")
+@query(f"WITH {LIVES_SQL} SELECT session_id, CASE WHEN last_message_at >= '{_CUT}' THEN 'v2' ELSE 'v1' END AS slug, CASE WHEN first_message_at < '{_CUT}' THEN 'kept' END AS topic_summary FROM lives")
 def upsert_sessions(spark, d):
-    ids = lives(spark, d).select("session_id")
-    old = ids.filter("session_id % 2 = 0").withColumns({"slug": F.lit("v1"), "topic_summary": F.lit("kept")})
-    return dml.upsert_sessions(old, ids.filter("session_id % 3 = 0").withColumn("slug", F.lit("v2")))
+    """Old rows are the sessions that began before a time, new ones those that ended after it."""
+    own = lives(spark, d)
+    old = own.filter(F.col("first_message_at") < _CUT).select("session_id", F.lit("v1").alias("slug"), F.lit("kept").alias("topic_summary"))
+    return dml.upsert_sessions(old, own.filter(F.col("last_message_at") >= _CUT).select("session_id", F.lit("v2").alias("slug")))
 
 
 @query("SELECT 'chunks' AS relation, count(*) AS n FROM documents WHERE source <> 'src1' UNION ALL SELECT 'sessions', count(DISTINCT source) FROM documents WHERE source <> 'src1' UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src1') UNION ALL SELECT 'subagents', count(*) FROM conversations WHERE conv_id % 5 <> 1")
@@ -232,10 +286,12 @@ def delete_cascade(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query(f"WITH {LIVES_SQL} SELECT session_id, last_message_at AS mtime FROM lives WHERE session_id % 4 <> 0 OR last_message_at > '2024-01-02T12:00:00'")
+@query(f"WITH {LIVES_SQL} SELECT session_id, last_message_at AS mtime FROM lives WHERE message_count <= 15 OR last_message_at > '2024-01-02T12:00:00'")
 def incremental_skip(spark, d):
-    files = lives(spark, d).select("session_id", F.col("last_message_at").alias("mtime"))
-    return filters.stale(files, files.filter("session_id % 4 = 0").select("session_id", F.lit("2024-01-02T12:00:00").alias("indexed_at")))
+    """Sessions of over 15 events were indexed at noon."""
+    own = lives(spark, d)
+    indexed = own.filter("message_count > 15").select("session_id", F.lit("2024-01-02T12:00:00").alias("indexed_at"))
+    return filters.stale(own.select("session_id", F.col("last_message_at").alias("mtime")), indexed)
 
 
 @query(f"WITH {PROJECTS_SQL}, nw AS (SELECT project_path, 'org/new' AS r FROM projects WHERE project_path LIKE '%/p3' GROUP BY 1) SELECT session_id, coalesce(nw.r, git_remote) AS git_remote FROM projects LEFT JOIN nw USING (project_path)")
@@ -250,3 +306,94 @@ def stats(spark, d):
     own = chunks(spark, d)
     sessions = own.select("session_id").distinct().withColumn("topic_summary", F.when(F.startswith("session_id", F.lit("src1")), F.lit("x")))
     return filters.stats(sessions, own, vectors(spark, d))
+
+
+_NEW = "(SELECT DISTINCT project_path, 'org/new' AS r FROM projects WHERE project_path LIKE '%/p3')"
+
+
+@query(f"WITH {PROJECTS_SQL} SELECT count(*) AS changed FROM projects JOIN {_NEW} nw USING (project_path) WHERE git_remote IS DISTINCT FROM nw.r")
+def remote_backfill_changed(spark, d):
+    own = projects(spark, d)
+    fresh = own.filter(F.endswith("project_path", F.lit("/p3"))).select("project_path").distinct().withColumn("git_remote", F.lit("org/new"))
+    return dml.set_remotes(own, fresh)[1]
+
+
+@query("SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY n_chars, doc_id) AS place FROM documents WHERE source = 'src4'")
+def session_chunks_ordered(spark, d):
+    own = chunks(spark, d).join(load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").alias("turn_number")), "chunk_id")
+    return retrieval.ranked(filters.session_chunks(own, "src4"), "turn_number", "chunk_id").select("chunk_id", (F.col("pos") + 1).alias("place"))
+
+
+def _agents(spark, d):
+    """Turns as subagents of their conversation."""
+    return load(spark, d, "conversations").select(F.concat(F.lit("A"), F.col("turn").cast("string"), F.lit("x"), F.col("conv_id").cast("string")).alias("agent_id"), F.col("conv_id").cast("string").alias("parent_session_id"), F.length("text").alias("file_size"))
+
+
+@query("SELECT 'A' || turn || 'x' || conv_id AS agent_id, conv_id::VARCHAR AS parent_session_id FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations) ORDER BY agent_id LIMIT 1")
+def subagent_prefix(spark, d):
+    parent = load(spark, d, "conversations").agg(F.min("conv_id")).first()[0]
+    return filters.resolve_subagent(_agents(spark, d), str(parent), "a").select("agent_id", "parent_session_id")
+
+
+@query("WITH s AS (SELECT DISTINCT conv_id FROM conversations), n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id) SELECT conv_id::VARCHAR AS session_id, coalesce(n, 0) AS subagents FROM s LEFT JOIN n USING (conv_id)")
+def subagent_count(spark, d):
+    own = load(spark, d, "conversations")
+    agents = own.filter("role = 'assistant'").select(F.col("conv_id").cast("string").alias("parent_session_id"))
+    return filters.subagent_counts(own.select(F.col("conv_id").cast("string").alias("session_id")), agents)
+
+
+def _summed(spark, d):
+    return chunks(spark, d).select("session_id").distinct().withColumn("topic_summary", F.when(F.startswith("session_id", F.lit("src1")), F.concat(F.lit("about "), "session_id")))
+
+
+@query(f"SELECT h.*, CASE WHEN session_id LIKE 'src1%' THEN 'about ' || session_id END AS topic_summary FROM ({_hybrid_sql('true')}) h")
+def hits_with_summaries(spark, d):
+    return search.with_summaries(_hybrid(spark, d), _summed(spark, d)).select("chunk_id", "session_id", "score", "topic_summary")
+
+
+@query("SELECT 'sessions' AS relation, 0 AS n UNION ALL SELECT 'chunks', 0 UNION ALL SELECT 'vectors', 0 UNION ALL SELECT 'marked', count(*) FROM documents UNION ALL SELECT 'reset', 0")
+def full_wipe(spark, d):
+    own, vec = chunks(spark, d), vectors(spark, d)
+    left = dml.wipe(own.select("session_id").distinct(), own, vec)
+    empty, marked = dml.reset_vectors(own, vec)
+    parts = [df.agg(F.lit(n).alias("relation"), F.count("*").alias("n")) for n, df in zip(("sessions", "chunks", "vectors", "reset"), (*left, empty), strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(marked.select(F.lit("marked").alias("relation"), F.col("marked").alias("n")))
+
+
+@query(f"WITH h AS ({_hybrid_sql('true')}) SELECT 'idiot the' AS query, 'hybrid' AS mode, count(*) AS results, string_agg(session_id || ':' || round(score, 4), ',' ORDER BY score DESC, session_id) AS hits FROM h")
+def search_log(spark, d):
+    path = storage.scratch(spark, "search-log")
+    search.log_search(_hybrid(spark, d), "idiot the", "hybrid", 1.0, path)
+    row = spark.read.schema("query string, mode string, results long, hits array<struct<session: string, score: double>>").json(path)
+    return row.select("query", "mode", "results", F.array_join(F.transform("hits", lambda h: F.concat(h["session"], F.lit(":"), h["score"].cast("string"))), ",").alias("hits"))
+
+
+@query("SELECT '/' || c_mktsegment || '/x' AS project_path, min('-' || c_mktsegment || '-x') AS folder FROM customer GROUP BY c_mktsegment")
+def project_folder(spark, d):
+    names = load(spark, d, "customer").select("c_mktsegment").distinct()
+    folders = names.select(F.concat(F.lit("-"), "c_mktsegment", F.lit("-x")).alias("folder")).unionByName(names.select(F.concat(F.lit("/"), "c_mktsegment", F.lit("-x")).alias("folder")))
+    return _folders(folders, names.select(F.concat(F.lit("/"), "c_mktsegment", F.lit("/x")).alias("project_path")))
+
+
+def _folders(folders, paths):
+    from threadwell.sources.transcripts import project_folders
+
+    return project_folders(folders, paths).select("project_path", "folder")
+
+
+@query("SELECT user_id AS session_id, count(*) AS n, sum(event_id)::BIGINT AS total FROM events WHERE event_type <> 'view' OR user_id % 2 = 0 GROUP BY user_id")
+def replace_sessions_in_buckets(spark, d):
+    """All events are stored; then the odd users' are replaced by those that are no views."""
+    path = storage.scratch(spark, "events")
+    rows = load(spark, d, "events").select(F.col("user_id").alias("session_id"), "event_id", "event_type")
+    dml.replace_sessions(rows, path, buckets=8)
+    odd = rows.filter("session_id % 2 = 1")
+    dml.replace_sessions(odd.filter("event_type <> 'view'"), path, changed=odd, buckets=8)
+    return spark.read.parquet(path).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+@query("SELECT c_custkey::VARCHAR AS session_id, NULL::VARCHAR AS topic_summary, 15 AS n_columns FROM customer")
+def migrated_columns(spark, d):
+    old = load(spark, d, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("dropped"))
+    new = dml.migrated(old, schema.SESSIONS)
+    return new.select("session_id", "topic_summary", F.lit(len(new.columns)).alias("n_columns"))

@@ -11,6 +11,7 @@ from threadwell.operators import filters, turns
 from threadwell.plans.search_queries import query
 from threadwell.plans.stand_ins import LIVES_SQL, MESSAGES_SQL, chunks, lives, load, messages
 from threadwell.sources.transcripts import dedup_stream, first_value
+from threadwell.sources.transcripts import ordered_distinct as in_order
 from threadwell.streaming import indexing
 
 
@@ -166,9 +167,7 @@ def json_field(spark, d):
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY user_id")
 def ordered_distinct(spark, d):
-    first = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda s: s["event_type"])
-    return first.groupBy("user_id").agg(F.array_join(F.array_distinct(ordered), ",").alias("kinds"))
+    return load(spark, d, "events").groupBy("user_id").agg(F.array_join(in_order(F.col("event_type"), "event_id"), ",").alias("kinds"))
 
 
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS n FROM events")

@@ -51,18 +51,18 @@ MESSAGES_SQL = "msgs AS (SELECT * FROM conversations WHERE role IN ('user', 'ass
 TERMS_SQL = f"terms AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '{ACCENTS[0]}', '{ACCENTS[1]}'), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents)"
 
 
-def bm25_sql(words: list[str], need: str, limit: int, name: str = "fts") -> str:
-    """CTEs that end in `name` (doc_id, rank): BM25 of the words, any or all needed."""
+def bm25_sql(words: list[str], need: str, limit: int, name: str = "fts", tag: str = "") -> str:
+    """CTEs that end in `name` (doc_id, rank): BM25 of the words, any or all needed. With a tag the CTEs before carry
+    it, and terms and corpus are those of another use."""
     listed = ", ".join(f"('{w}')" for w in words)
     least = 1 if need == "any" else len(words)
-    return f"""{TERMS_SQL},
-corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM terms),
-q(w) AS (VALUES {listed}),
-tf AS (SELECT doc_id, w, len(t) AS dl, len(list_filter(t, lambda x: x = w)) AS tf FROM terms, q),
-hit AS (SELECT * FROM tf WHERE tf > 0),
-df AS (SELECT w, count(*) AS df FROM hit GROUP BY w),
-idf AS (SELECT w, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, corpus),
-{name} AS (SELECT doc_id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank FROM hit JOIN idf USING (w), corpus GROUP BY doc_id HAVING count(*) >= {least} ORDER BY rank, doc_id LIMIT {limit})"""
+    shared = "" if tag else f"{TERMS_SQL},\ncorpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM terms),\n"
+    return f"""{shared}q{tag}(w) AS (VALUES {listed}),
+tf{tag} AS (SELECT doc_id, w, len(t) AS dl, len(list_filter(t, lambda x: x = w)) AS tf FROM terms, q{tag}),
+hit{tag} AS (SELECT * FROM tf{tag} WHERE tf > 0),
+df{tag} AS (SELECT w, count(*) AS df FROM hit{tag} GROUP BY w),
+idf{tag} AS (SELECT w, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df{tag}, corpus),
+{name} AS (SELECT doc_id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank FROM hit{tag} JOIN idf{tag} USING (w), corpus GROUP BY doc_id HAVING count(*) >= {least} ORDER BY rank, doc_id LIMIT {limit})"""
 
 
 def knn_sql(limit: int, vec_id: int = 7, name: str = "knn") -> str:

@@ -19,16 +19,26 @@ _BLOCK = "struct<type: string, text: string, name: string, input: struct<file_pa
 def scan(spark: SparkSession, root: str, pattern: str = "*/*.jsonl") -> DataFrame:
     """path, project, session_id (file stem), mtime, size, line_no and value of each line of the files one level deep.
 
-    A file is one row of text until it is split, so that lines keep their numbers; files of any size that are logs of
-    one session are meant.
+    A file is one row of text until it is split, so that lines keep their numbers: a log of one session, of less than
+    1 GB. Files are read side by side.
     """
     files = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/{pattern}", wholetext=True)
-    meta = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"))
+    return file_lines(files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size")))
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """The lines of files (path, mtime, size and value, their whole text), with the project and session of their path."""
     parts = F.split("path", "/")
-    named = meta.withColumns({"project": F.element_at(parts, -2), "stem": F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")})
+    named = files.withColumns({"project": F.element_at(parts, -2), "stem": F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")})
     return named.select("path", "project", F.col("stem").alias("session_id"), "mtime", "size", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
+def project_folders(folders: DataFrame, paths: DataFrame) -> DataFrame:
+    """project_path and the first folder, by name, that decodes to it; names with hyphens are ambiguous."""
+    decoded = folders.select(decode_project(F.col("folder")).alias("project_path"), "folder")
+    return decoded.join(paths.select("project_path").distinct(), "project_path").groupBy("project_path").agg(F.min("folder").alias("folder"))
+
+
 def resolve_paths(paths: DataFrame, root: str, column: str = "path") -> DataFrame:
     """Paths that are transcripts of a session: below root, in a project's folder, not a subagent's."""
     below = F.substring(F.col(column), len(root.rstrip("/")) + 2, 1 << 30)
@@ -97,6 +107,12 @@ def first_value(value: Column, order: Column | str) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), F.col(order) if isinstance(order, str) else order))
 
 
+def ordered_distinct(value: Column, order: str) -> Column:
+    """The distinct non-null values of a group in the order in which they first come."""
+    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v")))))
+    return F.array_distinct(F.transform(pairs, lambda s: s["v"]))
+
+
 def sessions(msgs: DataFrame) -> DataFrame:
     """One row for each file: ids, first values, first and last time (as text), count, and what the tools touched."""
     time = F.nullif(F.col("timestamp"), F.lit(""))
@@ -141,19 +157,24 @@ def dedup_stream(msgs: DataFrame, key: str = "path", order: str = "line_no") ->
 
 def subagents(spark: SparkSession, root: str) -> DataFrame:
     """One row for each <project>/<session>/subagents/agent-<id>.jsonl, with its sidecar's type and description."""
-    lines = scan(spark, root, "*/*/subagents/agent-*.jsonl")
+    side = spark.read.option("pathGlobFilter", "*.meta.json").option("recursiveFileLookup", True).text(root, wholetext=True)
+    return subagent_table(scan(spark, root, "*/*/subagents/agent-*.jsonl"), side.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def subagent_table(lines: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """The same from the lines of the logs and the sidecars (path and value). Times are first and last in file order."""
     found = lines.withColumns({"agent_id": F.regexp_replace("session_id", "^agent-", ""), "parent_session_id": F.element_at(F.split("path", "/"), -3)})
     msgs = messages(found)
     file = found.groupBy("path", "agent_id", "parent_session_id").agg(F.first("size").alias("file_size"))
+    timed = F.when(F.nullif(F.col("timestamp"), F.lit("")).isNotNull(), F.col("line_no"))
     stats = msgs.groupBy("path").agg(
         F.count("*").alias("message_count"),
-        F.min_by("timestamp", F.when(F.nullif(F.col("timestamp"), F.lit("")).isNotNull(), F.col("line_no"))).alias("first_message_at"),
-        F.max_by("timestamp", F.when(F.nullif(F.col("timestamp"), F.lit("")).isNotNull(), F.col("line_no"))).alias("last_message_at"),
+        F.min_by("timestamp", timed).alias("first_message_at"),
+        F.max_by("timestamp", timed).alias("last_message_at"),
         F.substring(F.min_by("text", F.when(F.col("type") == "user", F.col("line_no"))), 1, 500).alias("first_prompt"),
     )
-    side = spark.read.option("pathGlobFilter", "*.meta.json").option("recursiveFileLookup", True).text(root, wholetext=True)
     v = F.try_parse_json("value")
-    side = side.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl").alias("path"), F.try_variant_get(v, "$.agentType", "string").alias("agent_type"), F.try_variant_get(v, "$.description", "string").alias("description"))
+    side = sidecars.select(F.regexp_replace("path", r"\.meta\.json$", ".jsonl").alias("path"), F.try_variant_get(v, "$.agentType", "string").alias("agent_type"), F.try_variant_get(v, "$.description", "string").alias("description"))
     return file.join(stats, "path", "left").join(side, "path", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0))).withColumnRenamed("path", "jsonl_path")
 
 
