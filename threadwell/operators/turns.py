@@ -68,7 +68,7 @@ def merge_tiny(turns: list[dict], count: Callable[[str], int] = count_tokens) ->
     out: list[dict] = []
     pending: dict | None = None
     for i, t in enumerate(turns):
-        t = {**t, "turn_number": i}
+        t = {"turn_number": i, **t}
         tiny = size(t) < MERGE_BELOW
         if pending is None:
             pending, done = (t, []) if tiny else (None, [t])
@@ -105,15 +105,24 @@ def split_paragraphs(text: str, most: int = MAX_TOKENS, overlap: float = OVERLAP
     return out + ([sep.join(parts)] if parts else [])
 
 
-def _per_session(turns: DataFrame, key: str, schema: str, build: Callable[[list[dict]], Iterator[tuple]]) -> DataFrame:
-    """A fold over the ordered turns of one session; a session's turns fit in memory, sessions are spread over tasks."""
+def _per_stretch(turns: DataFrame, key: str, schema: str, build: Callable[[list[dict]], Iterator[tuple]], count: Callable[[str], int]) -> DataFrame:
+    """A fold over the ordered turns of a session, stretch by stretch.
+
+    After a turn of MERGE_BELOW tokens or more nothing is pending, so there a session is cut: what a task holds
+    together is a run of tiny turns and the turn that ends it. With a counter of its own, a session stays whole.
+    """
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("turn_number").to_dict("records")
         return pd.DataFrame([(rows[0][key], *r) for r in build(rows)], columns=names)
 
-    return turns.groupBy(key).applyInPandas(run, schema)
+    stretch = F.lit(0).cast("long")
+    if count is count_tokens:
+        whole = F.concat(F.lit("User: "), "user_text", F.lit("\n\nAssistant: "), "assistant_text", F.when(F.col("tool_summary") != "", F.concat(F.lit("\n"), "tool_summary")).otherwise(""))
+        ends = (F.ceil(F.length(whole) / 4) >= MERGE_BELOW).cast("long")
+        stretch = F.coalesce(F.sum(ends).over(Window.partitionBy(key).orderBy("turn_number").rowsBetween(Window.unboundedPreceding, -1)), stretch)
+    return turns.withColumn("_stretch", stretch).groupBy(key, "_stretch").applyInPandas(run, schema)
 
 
 def merged_turns(turns: DataFrame, key: str, count: Callable[[str], int] = count_tokens) -> DataFrame:
@@ -124,7 +133,7 @@ def merged_turns(turns: DataFrame, key: str, count: Callable[[str], int] = count
         for t in merge_tiny(rows, count):
             yield t["turn_number"], t["timestamp"], t["user_text"], t["assistant_text"], t["tool_summary"]
 
-    return _per_session(turns, key, f"{key} {kind}, turn_number long, timestamp string, user_text string, assistant_text string, tool_summary string", build)
+    return _per_stretch(turns, key, f"{key} {kind}, turn_number long, timestamp string, user_text string, assistant_text string, tool_summary string", build, count)
 
 
 def create_chunks(turns: DataFrame, key: str, sep: str = "\n\n", count: Callable[[str], int] = count_tokens) -> DataFrame:
@@ -153,7 +162,7 @@ def create_chunks(turns: DataFrame, key: str, sep: str = "\n\n", count: Callable
             for i, part in enumerate(split_paragraphs(answer, most if most >= 100 else MAX_TOKENS, OVERLAP, sep, count)):
                 yield t["turn_number"], i, t["timestamp"], user, part, prefix + part, count(prefix + part)
 
-    return _per_session(turns, key, f"{key} {kind}, turn_number long, part int, timestamp string, user_content string, assistant_content string, combined_text string, token_estimate long", build)
+    return _per_stretch(turns, key, f"{key} {kind}, turn_number long, part int, timestamp string, user_content string, assistant_content string, combined_text string, token_estimate long", build, count)
 
 
 def number_chunks(chunks: DataFrame, key: str) -> DataFrame:

@@ -42,8 +42,9 @@ def admit(times: list[float], last: list[float]) -> tuple[list[bool], list[float
 
 
 def cooldown_batch(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """events with `indexed`, the cooldown's decision, in the order of each key's time. A key's state is a few times,
-    but its rows are folded in order; keys are spread over tasks."""
+    """events with `indexed`, the cooldown's decision, in the order of each key's time. A key's rows are folded in
+    order; a gap longer than the window that makes a session busy clears its state, so there they are cut, and the
+    stretches are spread over tasks."""
     columns = [f"{n} {t}" for n, t in events.select(key, tie).dtypes]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -51,11 +52,15 @@ def cooldown_batch(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
         return pd.DataFrame({key: pdf[key], tie: pdf[tie], "indexed": admit(pdf["_at"].tolist(), [])[0]})
 
     at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    return events.select(key, tie, at.alias("_at")).groupBy(key).applyInPandas(run, ", ".join(columns) + ", indexed boolean")
+    w = Window.partitionBy(key).orderBy("_at", tie)
+    timed = events.select(key, tie, at.alias("_at")).withColumn("_new", (F.col("_at") - F.lag("_at").over(w) > BUSY_WINDOW).cast("long"))
+    cut = timed.withColumn("_stretch", F.coalesce(F.sum("_new").over(w), F.lit(0))).drop("_new")
+    return cut.groupBy(key, "_stretch").applyInPandas(run, ", ".join(columns) + ", indexed boolean")
 
 
 def cooldown_stream(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """The same over a stream: the state of a key is its re-indexes of the last 600 s and survives restarts."""
+    """The same over a stream: the state of a key is its re-indexes of the last 600 s and survives restarts. It stays
+    for as long as the stream runs: a few numbers for each session, as in the table of sessions."""
     (kt,), (tt,) = ([t for n, t in events.dtypes if n == c] for c in (key, tie))
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
