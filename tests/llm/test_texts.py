@@ -285,12 +285,28 @@ def test_licence_windows_match_brute_force():
     rng = np.random.default_rng(6)
     templates = {"a": ("p q r s t u",), "b": ("p q r", "x y z p q")}
     m = licences.Matcher(templates, 0.8)
-    for _ in range(200):
+    hits = 0
+    for _ in range(400):
         rows = [" ".join(rng.choice(list("pqrstuxyz"), int(rng.integers(0, 7)))) for _ in range(4)]
-        best = max((licences.dice(licences.bigrams(" ".join(rows[a : b + 1]).split()), licences.bigrams(t.split())) for a in range(4) for b in range(a, 4) for ts in templates.values() for t in ts if len(" ".join(rows[a : b + 1]).split()) > 1), default=0)
+        if rng.random() < 0.5:
+            rows[2] = "z " + str(rng.choice(["p q r s t u", "p q r", "x y z p q", "q r s t u", "p q s t u"])) + " p"
+        w = " ".join(rows).split()
+        best = max((licences.dice(licences.bigrams(w[a:b]), licences.bigrams(t.split())) for a in range(len(w)) for b in range(a + 2, len(w) + 1) for ts in templates.values() for t in ts), default=0)
         found = m.scan("\n".join(rows))
+        hits += bool(found)
         assert bool(found) == (best >= 0.8)
         assert not found or math.isclose(max(f[1] for f in found), best)
+    assert 50 < hits < 350
+
+
+def test_licences_inside_of_lines(spark):
+    texts = [
+        (1, "Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0. All else is as it was."),
+        (2, "x " * 300 + licences.TEMPLATES["AGPL-3.0"][0] + " y" * 300 + " " + licences.TEMPLATES["GPL-3.0"][1]),
+        (3, licences.TEMPLATES["BSD-2-Clause"][0] + "\n\n" + licences.TEMPLATES["BSD-3-Clause"][0]),
+    ]
+    got = [(r.doc_id, r.licence) for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, "Apache-2.0"), (2, "AGPL-3.0"), (2, "GPL-3.0"), (3, "BSD-2-Clause"), (3, "BSD-3-Clause")]
 
 
 def test_pieces_round_trip_and_best_score(docs, rows, empty):
