@@ -1,11 +1,12 @@
 """Line de-duplication by a suffix array over line identities, built with distributed prefix doubling.
 
 DataFrame operations only. A document is the sequence of its lines that are not blank; a line's identity is its MD5.
-A suffix's rank is the pair (identity of its first line, offset among the suffixes that begin with it), so ordering
-by rank is the suffix array and no global numbering is needed. A doubling round with step s splits each group of
-suffixes that agree on s lines by the rank of the suffix s lines on: the counts of the distinct (rank, next rank)
-pairs, summed in order within each rank, are the offsets' increments. After it, equal ranks mean agreement on 2 s
-lines: they are the intervals of the suffix array with a longest common prefix of 2 s at least. The intervals of
+A suffix's rank is the pair (identity of its first line, place among the suffixes that begin with it), so ordering
+by rank is the suffix array and no global numbering is needed. Places are byte strings that compare in order. A
+doubling round with step s splits each group of suffixes that agree on s lines by the rank of the suffix s lines on:
+the distinct next ranks are numbered in order and the number is appended to the place, after the first byte of what
+it is numbered by, so that the followers of a common line are numbered in 256 parts. After it, equal ranks mean
+agreement on 2 s lines: they are the intervals of the suffix array with a longest common prefix of 2 s at least. The intervals of
 exactly m lines come from two ranks that overlap. A suffix that is not the first of its interval has the first of its
 widest interval as its original; where originals do not run on in step, a copied run begins, and its length is the
 common prefix of the two suffixes, counted line by line. These maximal runs are what is deleted.
@@ -82,13 +83,13 @@ def suffix_array(lines: DataFrame, min_lines: int = 2) -> DataFrame:
     interval's first member."""
     me = F.struct("doc", "tag", "idx", "seq")
     in_seq = Window.partitionBy("doc", "tag", "seq").orderBy("idx")
-    rows = saved(_sequences(lines).withColumns({"off": F.lit(0).cast("long"), "depth": F.lit(1), "first": F.lit(None).cast(_PLACE)}), "lines-suffixes")
+    rows = saved(_sequences(lines).withColumns({"off": F.lit(b""), "depth": F.lit(1), "first": F.lit(None).cast(_PLACE)}), "lines-suffixes")
     longest = rows.agg(F.max("len")).first()[0] or 0
     done, step, left = None, 1, F.col("seq") + F.col("len") - F.col("idx")
 
     def ahead(df: DataFrame, n: int) -> DataFrame:
         after = F.lead(F.struct("id", "off"), n).over(in_seq)
-        return df.withColumn("next", after).withColumns({"nid": F.coalesce("next.id", F.lit(b"")), "noff": F.coalesce("next.off", F.lit(-1).cast("long"))}).drop("next")
+        return df.withColumn("next", after).withColumns({"nid": F.coalesce("next.id", F.lit(b"")), "noff": F.coalesce("next.off", F.lit(b""))}).drop("next")
 
     def marked(df: DataFrame, depth: int) -> DataFrame:
         """With depth and first where `head`, the first member of an interval of so many lines, is another."""
@@ -101,15 +102,11 @@ def suffix_array(lines: DataFrame, min_lines: int = 2) -> DataFrame:
             heads = keyed.filter(left >= min_lines).groupBy("id", "off", "nid", "noff").agg(F.min(me).cast(_PLACE).alias("head"))
             rows = saved(marked(keyed.join(heads, ["id", "off", "nid", "noff"], "left"), min_lines).drop("nid", "noff"), "lines-suffixes")
         keyed = ahead(rows, step)
-        classes = keyed.groupBy("id", "off", "nid", "noff").agg(F.count("*").alias("m"), F.min(me).cast(_PLACE).alias("head"))
-        # sums in two levels, so that the followers of a common line are not one task's
-        classes = classes.withColumn("part", F.substring(F.hex("nid"), 1, 2))
-        parts = classes.groupBy("id", "off", "part").agg(F.sum("m").alias("all"))
-        earlier = F.sum("all").over(Window.partitionBy("id", "off").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-        before = F.sum("m").over(Window.partitionBy("id", "off", "part").orderBy("nid", "noff").rowsBetween(Window.unboundedPreceding, -1))
-        zero = F.lit(0).cast("long")
-        classes = classes.join(parts.withColumn("earlier", F.coalesce(earlier, zero)).drop("all"), ["id", "off", "part"])
-        classes = classes.withColumn("new_off", F.col("off") + F.col("earlier") + F.coalesce(before, zero)).drop("m", "part", "earlier")
+        classes = keyed.groupBy("id", "off", "nid", "noff").agg(F.min(me).cast(_PLACE).alias("head"))
+        part = F.when(F.octet_length("nid") > 0, F.substring("nid", 1, 1)).otherwise(F.lit(b"\0"))
+        classes = classes.withColumn("part", part)
+        nth = F.row_number().over(Window.partitionBy("id", "off", "part").orderBy("nid", "noff"))
+        classes = classes.withColumn("new_off", F.concat("off", "part", F.unhex(F.lpad(F.hex(nth), 8, "0")))).drop("part")
         rows = keyed.join(classes, ["id", "off", "nid", "noff"])
         if 2 * step >= min_lines:
             rows = marked(rows, 2 * step)
