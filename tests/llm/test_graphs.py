@@ -5,8 +5,8 @@ import collections
 import numpy as np
 import pytest
 
-from threadwell.llm import lattice
-from threadwell.llm.components import Filter, connected_components
+from threadwell.llm import common, lattice
+from threadwell.llm.components import Filter, connected_components, merged_components
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
@@ -31,6 +31,18 @@ def test_connected_components(spark, shape):
     assert {r.node: r.component for r in rows} == {n: find(n) for n in linked} and len(rows) == len(linked)
 
 
+def test_components_of_more_edges(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        old, new = ([tuple(map(int, rng.integers(0, 60, 2))) for _ in range(n)] for n in (25, 12))
+        df = lambda e: spark.createDataFrame(e, "a long, b long")
+        whole = {r.node: r.component for r in connected_components(df(old + new)).collect()}
+        label = common.saved(connected_components(df(old)), "test")
+        got = merged_components(label, common.saved(df(new), "test")).collect()
+        assert {r.node: r.component for r in got} == whole and len(got) == len(whole)
+    assert merged_components(label, df([])).count() == label.count()
+
+
 def test_filter_has_no_false_negatives(spark):
     ids = spark.range(0, 1000, 7).toDF("k")
     some = Filter.of(ids, "k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadwell.llm.common import discard, saved, unused
@@ -16,19 +16,39 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Every round is written to the shared folder. Loops, repeated edges and null ends are dropped.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    pairs, state = saved(pairs, "cc"), None
-    while True:
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
-        if now == state or not now[0]:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    pairs, now = _counted(pairs)
+    state = None
+    while now != state and now[0]:
         state = now
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v")
-        before, pairs = pairs, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, (pairs, now) = pairs, _counted(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(before)
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _counted(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """The pairs, written, with their number and a checksum, which are observed as they are written."""
+    seen = Observation()
+    table = saved(pairs.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum")), "cc")
+    return table, (seen.get["n"], seen.get["sum"])
+
+
+def merged_components(label: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The components of a labelled graph (node, component) with more edges: only the components that these join are
+    walked. edges is a written table."""
+    if edges.isEmpty():
+        return label
+    for x in (a, b):
+        named = label.select(F.col("node").alias(x), F.col("component").alias(f"{x}_of"))
+        edges = edges.join(named, x, "left").withColumn(x, F.coalesce(f"{x}_of", x)).drop(f"{x}_of")
+    joined = saved(connected_components(edges, a, b).select(F.col("node").alias("component"), F.col("component").alias("to")), "cc-joined")
+    moved = label.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = joined.select(F.col("component").alias("node"), F.col("to").alias("component")).join(label.select("node"), "node", "left_anti")
+    return saved(moved.unionByName(new), "cc-merged")
 
 
 #: Bits of a filter: 16 for each id, between these powers of two.

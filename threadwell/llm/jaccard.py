@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadwell.llm.common import distinct_by_text, mix, most_counted, partitions, saved, shingles, text_chunks, unused, words
-from threadwell.llm.components import Filter, connected_components
+from threadwell.llm.components import Filter, connected_components, merged_components
 
 #: Common shingles that the order knows of, and how often one must occur in a batch of rows to be counted.
 COMMON, LOCAL = 1 << 17, 3
@@ -128,6 +128,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     """
     spark = docs.sparkSession
     pairs = saved(pairs, "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
     need = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).distinct())
     some = need.select("doc_id").distinct()
@@ -215,7 +217,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     centres = seeds.select("shingle", "salt").distinct().join(best, "shingle")
     stars = seeds.join(centres, ["shingle", "salt"]).filter("a != node").select("a", F.col("node").alias("b")).distinct()
     links = saved(verified(plausible(stars, nodes, num, den), docs, k, num, den), "jaccard-links")
-    label = connected_components(links)
+    label = saved(connected_components(links), "jaccard-labels")
 
     def grouped(df: DataFrame, labels: DataFrame, name: str = "node", to: str = "group") -> DataFrame:
         return df.join(labels.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
@@ -249,13 +251,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     fits = gap_fits(sketch_gap("sketch", "other_sketch"), F.col("n") + F.col("other_n"), num, den)
     centre = members.filter("node = group").select(F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
     to_centre = opened.join(centre, "other").filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links2 = saved(verified(plausible(to_centre, nodes, num, den), docs, k, num, den), "jaccard-links")
-    label = connected_components(links.unionByName(links2))
+    links = saved(verified(to_centre, docs, k, num, den), "jaccard-links")
+    label = merged_components(label, links)
     apart = grouped(grouped(opened, label, "node", "x"), label, "other", "y").filter("x != y")
     inner = members.select(F.col("group").alias("other"), F.col("node").alias("member"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch")).filter("member != other")
     to_members = apart.join(inner, "other").filter(fits).select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")).distinct()
-    links3 = saved(verified(plausible(to_members, nodes, num, den), docs, k, num, den), "jaccard-links")
-    label = connected_components(links.unionByName(links2).unionByName(links3))
+    links = saved(verified(to_members, docs, k, num, den), "jaccard-links")
+    label = merged_components(label, links)
 
     named = grouped(first, label, "node", "component_id").select("digest", "component_id", "copies")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
