@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from threadwell.llm import common, decontamination, hmm, jaccard, licences, lines, pieces, sharding, substrings, toxicity
@@ -340,6 +341,21 @@ def test_pieces_round_trip_and_best_score(docs, rows, empty):
     assert pieces.encode(empty).count() == 0
 
 
+def test_pieces_are_those_of_the_library(rows):
+    """A model of merges: ids equal the library's own, for prose, repeated letters, odd characters and noise."""
+    with open(pieces.MODEL, "rb") as f:
+        proto = f.read()
+    coder, library = pieces.Pieces(proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
+    assert coder.by_merges
+    rng = np.random.default_rng(17)
+    texts = [t or "" for _, t in rows] + ["a" * n for n in range(1, 40)] + ["  two  spaces ", " lead", "trail ", "Unbelievable internationalisation, naïve façade; 12345 67.8%", "日本語 текст \U0001f600é"]
+    for letters in ("ab", "thein ", "aeiounrst  ", "xyzzyXYZ .,-"):
+        texts += ["".join(rng.choice(list(letters), int(rng.integers(1, 60)))) for _ in range(300)]
+    for t in texts:
+        t = t.replace("\x00", "")
+        assert coder.encode(t).tolist() == library.encode(t), t
+
+
 def test_shards(docs, rows, empty):
     got = sharding.hilbert_shards(docs, 7)
     by = collections.defaultdict(list)

@@ -66,6 +66,7 @@ def _sequences(lines: DataFrame) -> DataFrame:
     pairs = own.withColumns({"after": F.lead("id").over(in_doc), "after_idx": F.lead("idx").over(in_doc)})
     pairs = saved(pairs.withColumn("after", F.when(F.col("after_idx") == F.col("idx") + 1, F.col("after"))).drop("after_idx"), "lines-pairs")
     repeated = pairs.filter("after is not null").groupBy("id", "after").agg(F.count("*").alias("m")).filter("m > 1").select("id", "after", F.lit(True).alias("joined"))
+    repeated = saved(repeated, "lines-repeated")  # written, so that the join can split a common pair
     flagged = pairs.join(repeated, ["id", "after"], "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
     begins = ~F.coalesce(F.lag("joined").over(in_doc), F.lit(False))
     # lines of a document that no repeated pair joins stand alone and go

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,10 +20,13 @@ MEMO = 200_000
 
 
 class Pieces:
-    """The vocabulary of a SentencePiece model and its best segmentation of a text.
+    """The vocabulary of a SentencePiece model and its segmentation of a text.
 
-    The score of a segmentation is the sum of its pieces' scores; a character outside of all chosen pieces becomes its
-    UTF-8 byte pieces and costs 10 more than the worst piece. Ties go to the longest last piece.
+    For a model whose scores are log probabilities, the segmentation with the best sum of scores; a character outside
+    of all chosen pieces becomes its UTF-8 byte pieces and costs 10 more than the worst piece, and ties go to the
+    longest last piece. For a model of merges, whose scores are their order, sums mean nothing: a segmentation is the
+    model's own if each piece and each two neighbours are what the merges make of their text, so the best path to a
+    place is the one whose last two pieces agree.
     """
 
     def __init__(self, proto: bytes):
@@ -32,6 +36,8 @@ class Pieces:
         special = {i for i in range(len(self.pieces)) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i)}
         self.scores = {i: model.get_score(i) for i in range(len(self.pieces)) if i not in special}
         self.fallback = min(self.scores.values()) - 10
+        self.order = {self.pieces[i]: -s for i, s in self.scores.items()}
+        self.by_merges = len(set(self.scores.values())) > 1 and all(float(s).is_integer() for s in self.scores.values())
         self.automaton = ahocorasick.Automaton()
         for i, s in self.scores.items():
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), s, i))
@@ -47,6 +53,76 @@ class Pieces:
         else:
             self.unit = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.memo: dict[str, bytes] = {}
+        self.edges: dict[int, tuple | None] = {}
+        self.known: dict[int, bool] = {}
+
+    def edge(self, i: int) -> tuple | None:
+        """How the merges make piece i: the symbols that stand first and last in turn, each with the merge that takes it
+        (none for the piece itself). None if they do not make it."""
+        if i not in self.edges:
+            parts, order = list(self.pieces[i]), self.order
+            left, right = [], []
+            while len(parts) > 1:
+                found = [(order[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in order]
+                if not found:
+                    break
+                when, k = min(found)  # the earliest merge, and of its places the first
+                if k == 0:
+                    left.append((parts[0], when))
+                if k == len(parts) - 2:
+                    right.append((parts[-1], when))
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            whole = [(self.pieces[i], math.inf)]
+            self.edges[i] = (left + whole, right + whole) if len(parts) == 1 else None
+        return self.edges[i]
+
+    def agree(self, a: int, b: int) -> bool:
+        """Whether the merges leave piece a followed by piece b as they are; a is -1 at the start and after bytes.
+
+        They do unless, while a symbol x ends a and a symbol y begins b, the merge of x and y comes before the ones
+        that take x and y. Of equal merges the first place goes first: in a, between, in b.
+        """
+        second = self.edge(b)
+        if a < 0 or second is None:
+            return second is not None
+        (_, right), (left, _), i, j = self.edge(a), second, 0, 0
+        while True:
+            (x, x_ends), (y, y_ends) = right[i], left[j]
+            when = self.order.get(x + y)
+            if when is not None and when < x_ends and when <= y_ends:
+                return False
+            if x_ends == y_ends == math.inf:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
+    def by_neighbours(self, unit: str) -> list[int]:
+        """Ids by a model of merges: the same pass, in which a path to a place is as good as its last two pieces agree."""
+        n, known = len(unit), self.known
+        last, come = [-1] * (n + 1), [-1] * (n + 1)
+        for end, (length, _, i) in self.automaton.iter(unit):
+            if come[end + 1] >= 0:
+                continue
+            start = end + 1 - length
+            pair = (last[start] + 1) << 20 | i
+            good = known.get(pair)
+            if good is None:
+                if len(known) >= 4 * MEMO:
+                    known.clear()
+                good = known[pair] = self.agree(last[start], i)
+            if good:
+                last[end + 1], come[end + 1] = i, start
+        out: list[int] = []
+        while n:
+            if come[n] >= 0:
+                out.append(last[n])
+                n = come[n]
+            else:
+                n -= 1
+                out.extend(self.byte_ids[b] for b in reversed(unit[n].encode("utf-8", "replace")))
+        return out[::-1]
 
     def viterbi(self, unit: str) -> list[int]:
         """Ids of the best segmentation: one pass over the automaton's matches, which come by their last character."""
@@ -64,9 +140,10 @@ class Pieces:
         for end, (length, score, i) in self.automaton.iter(unit):
             if end >= at:
                 close(end + 1)
-            value = best[end + 1 - length] + score
-            if value > best[end + 1] or (value == best[end + 1] and end + 1 - length < back[end + 1][0]):
-                best[end + 1], back[end + 1] = value, (end + 1 - length, i)
+            start = end + 1 - length
+            value = best[start] + score
+            if value > best[end + 1] or (value == best[end + 1] and start < back[end + 1][0]):
+                best[end + 1], back[end + 1] = value, (start, i)
         close(n)
         out: list[int] = []
         while n:
@@ -79,11 +156,11 @@ class Pieces:
         """Ids of a text; none for an empty one."""
         if not text:
             return np.zeros(0, np.int32)
-        memo, parts = self.memo, []
+        memo, parts, segment = self.memo, [], self.by_neighbours if self.by_merges else self.viterbi
         for unit in self.unit.findall(MARK + text.replace(" ", MARK)):
             ids = memo.get(unit)
             if ids is None:
-                ids = np.array(self.viterbi(unit), np.int32).tobytes()
+                ids = np.array(segment(unit), np.int32).tobytes()
                 if len(unit) <= 64:
                     if len(memo) >= MEMO:
                         memo.clear()
