@@ -105,6 +105,18 @@ def split_paragraphs(text: str, most: int = MAX_TOKENS, overlap: float = OVERLAP
     return out + ([sep.join(parts)] if parts else [])
 
 
+def split_texts(df: DataFrame, key: str, text: str = "text", most: int = MAX_TOKENS, overlap: float = OVERLAP, sep: str = "\n\n", count: Callable[[str], int] = count_tokens) -> DataFrame:
+    """key, part and piece of each text's parts, as `split_paragraphs` makes them; null texts have none."""
+    kind = dict(df.dtypes)[key]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(k, i, p) for k, t in zip(pdf[key], pdf[text], strict=True) if t is not None for i, p in enumerate(split_paragraphs(t, most, overlap, sep, count))]
+            yield pd.DataFrame(rows, columns=[key, "part", "piece"])
+
+    return df.select(key, text).mapInPandas(run, f"{key} {kind}, part int, piece string")
+
+
 def _per_stretch(turns: DataFrame, key: str, schema: str, build: Callable[[list[dict]], Iterator[tuple]], count: Callable[[str], int]) -> DataFrame:
     """A fold over the ordered turns of a session, stretch by stretch.
 

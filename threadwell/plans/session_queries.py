@@ -96,25 +96,63 @@ def merge_tiny_turns(spark, d):
     return turns.merged_turns(_turns(spark, d), "conv_id").select("conv_id", "turn_number", F.md5("user_text").alias("user_md5"), F.md5("assistant_text").alias("assistant_md5"))
 
 
-@query()
+_PREFIX = "'User: ' || user_text || chr(10) || chr(10)"
+_TOKENS_OF = "list_sum(list_transform({0}, lambda x: CAST(ceil(length(x) / 4.0) AS BIGINT)))"
+
+
+def _walk_sql(source: str, keys: str) -> str:
+    """CTEs walk and cut: the parts of texts with paragraphs ps and a limit `most`, by a recursive walk: the parts at
+    hand and those that are complete, each opening with the end of the last."""
+    return f"""walk AS (
+  SELECT {keys}, ps, most, 0::BIGINT AS i, []::VARCHAR[] AS parts, 0::BIGINT AS now, []::VARCHAR[] AS done FROM {source}
+  UNION ALL
+  SELECT {keys}, ps, most, i + 1,
+    list_append(CASE WHEN full_ THEN tail ELSE parts END, p), tok + CASE WHEN full_ THEN coalesce({_TOKENS_OF.format("tail")}, 0)::BIGINT ELSE now END,
+    CASE WHEN full_ THEN list_append(done, array_to_string(parts, chr(10))) ELSE done END
+  FROM (SELECT *, parts[len(parts) - keep + 1:] AS tail FROM (
+    SELECT *, len(parts) > 0 AND now + tok > most AS full_, list_max(list_filter(range(0, len(parts) + 1), lambda k: coalesce({_TOKENS_OF.format("parts[len(parts) - k + 1:]")}, 0) <= floor(now * 0.25))) AS keep
+    FROM (SELECT *, ps[i + 1] AS p, CAST(ceil(length(ps[i + 1]) / 4.0) AS BIGINT) AS tok FROM walk WHERE i < len(ps))))
+),
+cut AS (SELECT {keys}, unnest(list_append(done, array_to_string(parts, chr(10)))) AS piece, generate_subscripts(list_append(done, array_to_string(parts, chr(10))), 1) - 1 AS part FROM walk WHERE i = len(ps))"""
+
+
+#: Chunks of merged turns.
+CHUNKS_SQL = f"""{MERGE_SQL},
+sized AS (SELECT *, {_TOK.format("(" + _RENDER.format("user_text", "assistant_text") + ")")} AS n FROM merged WHERE NOT starts_with(trim(user_text), 'Your task is to create a detailed summary')),
+long AS (SELECT *, string_split(assistant_text, chr(10)) AS ps, CASE WHEN 600 - {_TOK.format("(" + _PREFIX + ")")} >= 100 THEN 600 - {_TOK.format("(" + _PREFIX + ")")} ELSE 600 END AS most FROM sized WHERE n > 600),
+{_walk_sql("long", "conv_id, turn_number, user_text")},
+chunks AS (
+  SELECT conv_id, turn_number, 0::BIGINT AS part, user_text AS said, assistant_text AS answer, {_RENDER.format("user_text", "assistant_text")} AS whole FROM sized WHERE n <= 600 AND (n >= 150 OR trim(user_text) <> '')
+  UNION ALL SELECT conv_id, turn_number, part, user_text, piece, {_RENDER.format("user_text", "piece")} FROM cut
+),
+texts AS (SELECT conv_id, string_agg(concat_ws(chr(10) || chr(10), CASE WHEN said <> '' THEN 'User: ' || said END, CASE WHEN answer <> '' THEN 'Assistant: ' || answer END), chr(10) || chr(10) ORDER BY turn_number, part) AS t FROM chunks GROUP BY conv_id)"""
+
+
+@query(f"{CHUNKS_SQL} SELECT conv_id, turn_number, part, {_TOK.format('whole')} AS token_estimate, md5(whole) AS text_md5 FROM chunks")
 def create_chunks(spark, d):
     made = turns.create_chunks(_turns(spark, d), "conv_id", sep="\n")
-    return turns.number_chunks(made, "conv_id").select("chunk_id", "conv_id", "turn_number", "part", "token_estimate", F.md5("combined_text").alias("text_md5"))
+    return turns.number_chunks(made, "conv_id").select("conv_id", "turn_number", "part", "token_estimate", F.md5("combined_text").alias("text_md5"))
+
 
+@query(f"WITH RECURSIVE docs AS (SELECT doc_id, string_split(text, chr(10)) AS ps, 150 AS most FROM documents), {_walk_sql('docs', 'doc_id')} SELECT doc_id, part, md5(piece) AS text_md5 FROM cut")
+def paragraph_split(spark, d):
+    cut = turns.split_texts(load(spark, d, "documents"), "doc_id", most=150, sep="\n")
+    return cut.select("doc_id", "part", F.md5("piece").alias("text_md5"))
 
-@query()
+
+@query(f"{CHUNKS_SQL}, s AS (SELECT conv_id, CASE WHEN length(t) > 3000 THEN substr(t, 1, 2000) || chr(10) || chr(10) || '{turns.OMITTED}' || chr(10) || chr(10) || right(t, 1000) ELSE t END AS t FROM texts) SELECT conv_id, length(t) AS n, md5(t) AS text_md5 FROM s")
 def session_text_head_tail(spark, d):
     made = turns.create_chunks(_turns(spark, d), "conv_id", sep="\n")
     return turns.session_text(made, "conv_id", 3000, 2000, 1000).select("conv_id", F.length("session_text").alias("n"), F.md5("session_text").alias("text_md5"))
 
 
-@query()
+@query(f"{CHUNKS_SQL} SELECT conv_id, substr(list_filter(string_split(regexp_replace(t, '^User: ', ''), chr(10)), lambda x: trim(x) <> '')[1], 1, 120) AS summary FROM texts WHERE length(t) BETWEEN 100 AND 12000")
 def summaries(spark, d):
     made = turns.create_chunks(_turns(spark, d), "conv_id", sep="\n")
     return hooks.summarise(turns.session_text(made, "conv_id"), key="conv_id")
 
 
-@query()
+@query("SELECT doc_id AS chunk_id, 384 AS dim FROM documents")
 def embedded_chunks(spark, d):
     return hooks.embed(chunks(spark, d)).select("chunk_id", F.size("embedding").alias("dim"))
 
@@ -182,7 +220,7 @@ def queue_dedup(spark, d):
     return indexing.first_in_batch(load(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+_COOLDOWN_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 f AS (
   SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS indexed, []::DOUBLE[] AS seen FROM (SELECT DISTINCT user_id FROM e)
   UNION ALL
@@ -190,7 +228,10 @@ f AS (
     SELECT *, len(recent) = 0 OR t - recent[len(recent)] >= CASE WHEN len(recent) >= 3 THEN 300 ELSE 60 END AS ok FROM (
       SELECT e.user_id, e.i, e.event_id, e.t, list_filter(f.seen, lambda x: e.t - x <= 600) AS recent FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
 )
-SELECT user_id, event_id, indexed FROM f WHERE i > 0""")
+SELECT user_id, event_id, indexed FROM f WHERE i > 0"""
+
+
+@query(_COOLDOWN_SQL)
 def cooldown_batch(spark, d):
     return indexing.cooldown_batch(load(spark, d, "events"), "user_id", "ts", "event_id")
 
@@ -210,12 +251,12 @@ def _drained(spark, stream, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query()
+@query(_COOLDOWN_SQL)
 def queue_stream(spark, d):
     return _drained(spark, indexing.cooldown_stream(_stream(spark, d, ["user_id", "event_id", "ts"]), "user_id", "ts", "event_id"))
 
 
-@query()
+@query("SELECT user_id AS session_id, event_id AS seq, n AS message_count FROM (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS n FROM events) WHERE n > 0) WHERE n IS DISTINCT FROM before")
 def change_detection_stream(spark, d):
     files = _stream(spark, d, ["user_id", "event_id", "ts", "value"]).select(F.col("user_id").alias("session_id"), F.col("ts").cast("string").alias("mtime"), F.col("event_id").alias("size"), F.floor("value").cast("long").alias("message_count"), F.col("event_id").alias("seq"))
     return _drained(spark, indexing.change_stream(files))
