@@ -34,11 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/threadwell/{spark.sparkContext.applicationId}"
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and JVM and workers hold whole batches.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS, unless it has a number of its own."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    text_batches(spark)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

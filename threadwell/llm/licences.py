@@ -9,6 +9,8 @@ from collections.abc import Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from threadwell.llm.common import text_batches
+
 #: Wordings of public licences and of the notices that name them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -135,6 +137,7 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     rows, repeated rows give theirs again, an empty table gives none. Text shared with no template costs one
     tokenisation; no shuffle.
     """
+    text_batches(docs.sparkSession)
     fixed = {k: tuple(v) for k, v in templates.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

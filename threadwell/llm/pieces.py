@@ -13,6 +13,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from threadwell.llm.common import text_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Units kept with their encodings in one task.
@@ -195,6 +197,7 @@ def encode(docs: DataFrame, model: str = MODEL, with_ids: bool = True) -> DataFr
     texts count as empty: no tokens, round_trip true. Rows are kept as they are, repeated ones too; other columns go.
     No shuffle; memory is bounded by one batch of texts and the memo. The model's file is read by the driver.
     """
+    text_batches(docs.sparkSession)
     with open(model, "rb") as f:
         proto = f.read()
 

@@ -7,6 +7,7 @@ cosines of long texts. All terms that pass are indexed, however many, and the co
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadwell.llm.common import fold, saved
+from threadwell.llm.common import fold, saved, text_batches
 
 #: Bound on the labelled examples of each class that are fitted.
 MAX_EXAMPLES = 4096
@@ -230,9 +231,9 @@ def _scored(model: Model, column: pa.Array, memo: dict) -> list[tuple[float, lis
     out = []
     for text in column:
         counts = model.counts(text.as_py())
-        key = tuple(sorted(counts.items()))
+        key = hashlib.blake2b(np.array(sorted(counts.items()), np.int64).tobytes(), digest_size=16).digest()
         if key not in memo:
-            if len(memo) > 50_000:
+            if len(memo) > 20_000:
                 memo.clear()
             near = model.index.top(model.vector(counts), NEIGHBOURS) if model.index and counts else []
             memo[key] = model.score(near, len(counts)), near[:3]
@@ -260,6 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic."""
+    text_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
