@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star rounds: each links a node's larger neighbours, then its smaller ones, to
     the smallest. Minima are aggregated before they are shuffled; the edges of a hub are joined, never collected.
-    Every round is written to the shared folder. Loops, repeated edges and null ends are dropped.
+    Every round is written to the shared folder. Joins are told to merge: small rounds would else be sent through the
+    driver, time and again. Loops, repeated edges and null ends are dropped.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     pairs, now = _counted(pairs)
@@ -22,9 +23,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = now
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.hint("merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v")
+        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v")
         before, (pairs, now) = pairs, _counted(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(before)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -44,10 +45,10 @@ def merged_components(label: DataFrame, edges: DataFrame, a: str = "a", b: str =
         return label
     for x in (a, b):
         named = label.select(F.col("node").alias(x), F.col("component").alias(f"{x}_of"))
-        edges = edges.join(named, x, "left").withColumn(x, F.coalesce(f"{x}_of", x)).drop(f"{x}_of")
+        edges = edges.join(named.hint("merge"), x, "left").withColumn(x, F.coalesce(f"{x}_of", x)).drop(f"{x}_of")
     joined = saved(connected_components(edges, a, b).select(F.col("node").alias("component"), F.col("component").alias("to")), "cc-joined")
-    moved = label.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    new = joined.select(F.col("component").alias("node"), F.col("to").alias("component")).join(label.select("node"), "node", "left_anti")
+    moved = label.join(joined.hint("merge"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = joined.select(F.col("component").alias("node"), F.col("to").alias("component")).join(label.select("node").hint("merge"), "node", "left_anti")
     return saved(moved.unionByName(new), "cc-merged")
 
 
@@ -66,9 +67,9 @@ class Filter:
         self.words, self.log_bits = words, log_bits
 
     @classmethod
-    def of(cls, ids: DataFrame, column: str) -> Filter:
-        """The filter of a column of ids (a written table)."""
-        n = ids.count()
+    def of(cls, ids: DataFrame, column: str, n: int | None = None) -> Filter:
+        """The filter of a column of ids, of which there are n at most (else they are counted)."""
+        n = ids.count() if n is None else n
         log_bits = min(max((16 * n).bit_length(), LEAST_BITS), MOST_BITS)
         at = F.pmod(F.xxhash64(column), F.lit(1 << log_bits))
         bits = ids.select(F.floor(at / 62).alias("word"), (at % 62).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))

@@ -198,7 +198,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, min_match: int, threshold: flo
     common = hits.join(seeds, "gram").groupBy("body", "item", "n", "k").agg(F.count("*").alias("places"))
     pairs = saved(common.filter(F.col("places") * F.col("k") >= F.ceil(F.col("n") * threshold - 1e-9)).drop("places"), "bench-pairs")
     wanted = pairs.select("body").distinct()
-    own = Filter.of(wanted, "body").keep(texts, "body").join(wanted, "body", "left_semi").dropDuplicates(["body"])
+    own = Filter.of(wanted, "body", pairs.count()).keep(texts, "body").join(wanted, "body", "left_semi").dropDuplicates(["body"])
     both = pairs.join(own, "body").join(items.withColumnRenamed("text", "wording"), "item").select("body", "item", "k", "text", "wording")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
     """
     found = _found(docs, benchmark, min_match, threshold)
     rows = docs.select("doc_id", _digest().alias("body"))
-    held = Filter.of(found.select("body").distinct(), "body").keep(rows, "body").join(found, "body")
+    held = Filter.of(found.select("body"), "body").keep(rows, "body").join(found, "body")
     named = held.join(benchmark.select("item_id", _digest().alias("item")), "item")
     return named.select("doc_id", "item_id", "n_tiles", "covered", "item_words", (F.col("covered") / F.col("item_words")).alias("coverage"))
 

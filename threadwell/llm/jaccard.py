@@ -35,8 +35,9 @@ from pyspark.sql.window import Window
 from threadwell.llm.common import distinct_by_text, mix, most_counted, partitions, saved, shingles, text_chunks, unused, words
 from threadwell.llm.components import Filter, connected_components, merged_components
 
-#: Common shingles that the order knows of, and how often one must occur in a batch of rows to be counted.
-COMMON, LOCAL = 1 << 17, 3
+#: Common shingles that the order knows of; a task counts them in stretches of so many shingles, and one must occur so
+#: often in a stretch to be counted.
+COMMON, STRETCH, LOCAL = 1 << 17, 1 << 21, 3
 #: Expected sets of one shingle (or partners of one centre) that one task handles together.
 SALT_ROWS = 200
 #: Prefix shingles by which a set seeks a centre: so many of the rarest that it shares, and of the commonest.
@@ -49,14 +50,21 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The COMMON shingles most counted, over all documents, and log2 of their counts. Only the order depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            unique, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            found.clear()
+            many = count >= LOCAL
+            return pa.RecordBatch.from_arrays([pa.array(unique[many].view(np.int64)), pa.array(count[many])], names=["shingle", "n"])
+
         for batch in batches:
-            found = []
             for lo, hi, data, offsets in text_chunks(batch.column(0)):
                 h, owner, _, _ = words(data, offsets)
                 found.append(distinct_by_text(*shingles(h, owner, hi - lo, k))[0])
-            unique, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            many = count >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(unique[many].view(np.int64)), pa.array(count[many])], names=["shingle", "n"])
+                if sum(map(len, found)) >= STRETCH:
+                    yield counted()
+        yield counted()
 
     rows = most_counted(saved(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "jaccard-common"), COMMON).toPandas()
     h = rows["shingle"].to_numpy(np.int64).view(np.uint64)
@@ -128,12 +136,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     """
     spark = docs.sparkSession
     pairs = saved(pairs, "jaccard-pairs")
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
     need = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).distinct())
     some = need.select("doc_id").distinct()
-    texts = Filter.of(some, "doc_id").keep(docs.select("doc_id", "text"), "doc_id").join(some, "doc_id", "left_semi")
+    texts = Filter.of(some, "doc_id", 2 * n).keep(docs.select("doc_id", "text"), "doc_id").join(some, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
