@@ -129,7 +129,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarr
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose sets reach the threshold num/den.
+    """Those of the pairs (a, b) of doc_ids whose sets reach the threshold num/den; again for rows that repeat a doc_id.
 
     Each set is made once and goes to each of its pairs' a (salted, so that a much wanted centre is spread over
     tasks); a task holds one centre's set and streams its partners by.
@@ -141,7 +141,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
         return pairs
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
     need = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).distinct())
-    some = need.select("doc_id").distinct()
+    some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     texts = Filter.of(some, "doc_id", 2 * n).keep(docs.select("doc_id", "text"), "doc_id").join(some, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
         .repartition(partitions(spark), "a", "salt")
         .sortWithinPartitions("a", "salt", "role")
         .mapInArrow(compare, "a long, b long")
-        .distinct()
     )
 
 
