@@ -33,8 +33,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def _counted(pairs: DataFrame) -> tuple[DataFrame, tuple]:
     """The pairs, written, with their number and a checksum, which are observed as they are written."""
-    seen = Observation()
-    table = saved(pairs.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum")), "cc")
+    seen, conf = Observation(), pairs.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")  # else each exchange of these many small rounds holds a thread of the driver for a minute
+    try:
+        table = saved(pairs.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum")), "cc")
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
     return table, (seen.get["n"], seen.get["sum"])
 
 
