@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwell.llm import decontamination, hmm, jaccard, lattice, licences, lines, pieces, sharding, substrings, toxicity
+from threadwell.llm import chat, decontamination, hmm, jaccard, lattice, licences, lines, pieces, sharding, spelling, substrings, toxicity, yinyang
 from threadwell.llm.common import table
 
 
@@ -54,8 +54,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = chat.row_log(chat.with_hostile(table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.render(chat.fold(log))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_language_model, op4_line_dedup, op5_decontamination, op6_licence_scans, op7_suffix_dedup, op8_embedding_dedup, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_language_model, op4_line_dedup, op5_decontamination, op6_licence_scans, op7_suffix_dedup, op8_embedding_dedup, op9_sentencepiece, op10_sharding, op11_centroid_clustering, op12_spelling_variants, op13_chat_formatting)}
 
 
 #: Shingle sets by a join of all pairs, and reach by a recursive walk: for small tables.
@@ -79,4 +92,11 @@ FROM (SELECT d AS vec_id, min(c) AS component_id FROM r GROUP BY d) m LEFT JOIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": JACCARD_SQL, "op4_line_dedup": lines.ORACLE_SQL, "op8_embedding_dedup": LATTICE_SQL}
+    return {
+        "op2_jaccard_join": JACCARD_SQL,
+        "op4_line_dedup": lines.ORACLE_SQL,
+        "op8_embedding_dedup": LATTICE_SQL,
+        "op11_centroid_clustering": yinyang.oracle_sql(),
+        "op12_spelling_variants": spelling.ORACLE_SQL,
+        "op13_chat_formatting": chat.ORACLE_SQL,
+    }
