@@ -17,10 +17,12 @@ moved, and every pair is found exactly once. Pairs are counted where they are fo
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from threadwell.llm.common import discard, saved
+from threadwell.llm.common import saved
 
 #: Fixed value: the letters of a word, a closed set; nodes up to this depth are therefore few enough to broadcast.
 LETTERS, SHALLOW = "[A-Za-z\\u00C0-\\u00FF]+", 2
@@ -47,18 +49,17 @@ def vocabulary(words: DataFrame, least_length: int = 5, least_count: int = 3) ->
     return words.filter(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_count)
 
 
-def _steps(words: DataFrame, least: int, most: int | None = None) -> DataFrame:
-    """A row for each edge on a word's path below nodes of depth least to most: the node (by its depth `i` and prefix)
-    and the edge's character, which is empty at the word's end."""
-    last = F.length("word") if most is None else F.least(F.length("word"), F.lit(most))
-    path = words.filter(F.length("word") >= least).select("*", F.explode(F.sequence(F.lit(least), last)).alias("i"))
+def _steps(words: DataFrame) -> DataFrame:
+    """A row for each edge on a word's path: the node (by its depth `i` and prefix) and the edge's character, which is
+    empty at the word's end."""
+    path = words.select("*", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("i"))
     return path.withColumns({"node": F.substring("word", F.lit(1), F.col("i")), "edge": F.substring("word", F.col("i") + 1, F.lit(1))})
 
 
-def _forks(words: DataFrame, least: int, most: int | None = None) -> DataFrame:
+def forks(words: DataFrame) -> DataFrame:
     """node and heavy: nodes with several edges, and the character of the edge with most words (of equals the smallest).
     The end of a word is never heavy."""
-    edges = _steps(words.select("word"), least, most).groupBy("node", "edge").agg(F.count("*").alias("m"))
+    edges = _steps(words.select("word")).groupBy("node", "edge").agg(F.count("*").alias("m"))
     heavy = F.min(F.when(F.col("edge") != "", F.struct((-F.col("m")).alias("m"), "edge")))["edge"]
     return edges.groupBy("node").agg(F.count("*").alias("edges"), heavy.alias("heavy")).filter("edges > 1").select("node", "heavy")
 
@@ -69,8 +70,9 @@ def light_edges(words: DataFrame) -> DataFrame:
     Nodes of depth 0 to SHALLOW are bounded by the alphabet, and their table is broadcast: there all words would meet
     at one key. Deeper nodes are joined.
     """
-    low = _steps(words, 0, SHALLOW).join(F.broadcast(_forks(words, 0, SHALLOW)), "node")
-    deep = _steps(words, SHALLOW + 1).join(_forks(words, SHALLOW + 1), "node")
+    table, steps = saved(forks(words), "errata-forks"), _steps(words)
+    low = steps.filter(F.col("i") <= SHALLOW).join(F.broadcast(table.filter(F.length("node") <= SHALLOW)), "node")
+    deep = steps.filter(F.col("i") > SHALLOW).join(table.filter(F.length("node") > SHALLOW), "node")
     columns = ("word", "n", "i", "edge", "heavy")
     return low.select(*columns).unionByName(deep.select(*columns)).filter(F.col("edge") != F.col("heavy"))
 
@@ -81,8 +83,8 @@ def _best(n: Column | str, word: Column | str) -> Column:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """word, n_near (the words exactly one edit away) and best (the one of largest n, as -n and word) of words that
-    have any. words (word, n) is a written table, each word once."""
+    """word, n, n_near (the words exactly one edit away) and best (the one of largest n, as -n and word; null without
+    any). words (word, n) is a written table, each word once."""
     light = saved(light_edges(words), "errata-light")
     head, rest = F.substring("word", F.lit(1), F.col("i")), F.substring("word", F.col("i") + 2, F.length("word"))
     inner = F.col("edge") != ""  # a replaced or skipped character must be there
@@ -101,37 +103,38 @@ def near_words(words: DataFrame) -> DataFrame:
     met = asked.join(words.select(F.col("word").alias("other"), F.col("n").alias("n_other")), "other")
     both = F.array(F.struct(F.col("word").alias("word"), _best("n_other", "other").alias("best")), F.struct(F.col("other").alias("word"), _best("n", "word").alias("best")))
     across = met.select(F.explode(both).alias("x")).select("x.word", F.lit(1).cast("long").alias("n_near"), "x.best")
-    return among.unionByName(across).groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
+    found = among.unionByName(across).select("word", F.lit(None).cast("long").alias("n"), "n_near", "best")
+    own = words.select("word", "n", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast(found.schema["best"].dataType).alias("best"))
+    return found.unionByName(own).groupBy("word").agg(F.max("n").alias("n"), F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
 
 
 def variants(words: DataFrame, factor: int = 2) -> DataFrame:
     """word, form, root, n, n_near and form_n of each word of a written vocabulary (word, n).
 
     form is the near word of largest n (of equals the first in code-point order) if its n is at least factor times the
-    word's; root is where the forms of forms end, the word itself if it has none. n grows along forms, so they end;
-    each round halves the way that is left, and only words that are not at their root take part. An empty vocabulary
-    gives no rows.
+    word's; root is where the forms of forms end, the word itself if it has none. n doubles along forms, so they end
+    soon. An empty vocabulary gives no rows.
     """
-    near = near_words(words)
-    found = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.m") >= factor * F.col("n"), F.col("best.w")).alias("form"), (-F.col("best.m")).alias("m"))
-    table = saved(found.withColumn("form_n", F.when(F.col("form").isNotNull(), F.col("m"))).drop("m"), "errata-forms")
-    root = _roots(table.filter("form IS NOT NULL").select("word", "form"))
-    return table.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
-
-
-def _roots(forms: DataFrame) -> DataFrame:
-    """word and root of words that have a form, by pointer jumping; words whose pointer is a root are done and leave."""
-    done, now = [], forms.select("word", F.col("form").alias("to"))
+    enough = -F.col("best.m") >= factor * F.col("n")
+    near = near_words(words).select("word", F.when(enough, F.col("best.w")).alias("form"), "n", "n_near", F.when(enough, -F.col("best.m")).alias("form_n"))
+    table = saved(near, "errata-forms")
+    linked = table.filter("form IS NOT NULL").select("word", "form")
+    goes_on = linked.join(linked.select(F.col("word").alias("form"), F.lit(True).alias("on")), "form", "left").select("word", "form", F.coalesce("on", F.lit(False)).alias("on"))
+    return table.join(_roots(saved(goes_on, "errata-links")), "word", "left").select("word", "form", F.coalesce("root", "form", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """word and root of words whose form has a form itself (`on`): each round follows the links of those that are not
+    at a root yet, which are fewer every time."""
+    done, now = [], links.filter("on").select("word", F.col("form").alias("at"))
+    step = links.select(F.col("word").alias("at"), F.col("form").alias("next"), "on")
     while True:
         left = Observation()
-        after = now.select(F.col("word").alias("to"), F.col("to").alias("beyond"))
-        step = saved(now.join(after, "to", "left").select("word", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("on")).observe(left, F.count_if("on").alias("n")), "errata-roots")
-        if done:
-            discard(done.pop())
-        done.append(step)
+        now = saved(now.join(step, "at").select("word", F.col("next").alias("at"), "on").observe(left, F.count_if("on").alias("n")), "errata-roots")
+        done.append(now.filter("NOT on").select("word", F.col("at").alias("root")))
         if not left.get["n"]:
-            return step.select("word", F.col("to").alias("root"))
-        now = step.select("word", "to")
+            return reduce(DataFrame.unionByName, done)
+        now = now.filter("on").select("word", "at")
 
 
 def spelling_variants(docs: DataFrame) -> DataFrame:
