@@ -45,13 +45,20 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, label: str, session: SparkSession | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back (in another session, if given): cuts the lineage and survives lost
+    executors."""
     spark = df.sparkSession
     text_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (session or spark).read.schema(df.schema).parquet(path)
+
+
+def in_session(df: DataFrame, session: SparkSession) -> DataFrame:
+    """A `saved` table as one of another session."""
+    paths = sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    return session.read.schema(df.schema).parquet(*paths) if paths else session.createDataFrame([], df.schema)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -78,18 +85,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def most_counted(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of the largest n, as many whole levels of n as fit into limit. counts is a written table.
+#: Parts of a level of equal counts, of which whole ones are taken before one is looked into.
+LEVEL_PARTS = 4096
+
 
-    The levels are found from a histogram of n, so no task sends more than its share of the rows that are wanted.
+def most_counted(counts: DataFrame, limit: int, key: str) -> DataFrame:
+    """The `limit` rows of the largest n, of equal ones those whose key has the smallest hash; all rows if there are no
+    more. counts is a written table.
+
+    The levels are found from a histogram of n, and the last level's share from a histogram of its hashes, so no task
+    sends more than a small part of the rows that are wanted. Keys with one hash come together.
     """
-    total, least = 0, None
-    for n, m in counts.groupBy("n").count().orderBy(F.desc("n")).limit(limit).collect():
+    total, level = 0, None
+    for n, m in counts.groupBy("n").count().orderBy(F.desc("n")).limit(limit + 1).collect():
+        if total + m > limit:
+            level = n
+            break
         total += m
-        if total > limit:
+    if level is None:
+        return counts
+    hashed = F.xxhash64(key)
+    part, room = F.pmod(hashed, F.lit(LEVEL_PARTS)), limit - total
+    same = counts.filter(F.col("n") == level)
+    whole = 0
+    for at, m in sorted(same.groupBy(part.alias("part")).count().collect()):  # LEVEL_PARTS rows at most
+        if m > room:
             break
-        least = n
-    return counts.filter(F.lit(False) if least is None else F.col("n") >= least)
+        whole, room = at + 1, room - m
+    last = same.filter(part == whole).select(hashed.alias("h")).orderBy("h").limit(room).agg(F.max("h")).first()[0] if room else None
+    within = (part < whole) if last is None else (part < whole) | ((part == whole) & (hashed <= last))
+    return counts.filter((F.col("n") > level) | ((F.col("n") == level) & within))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -96,7 +96,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 def alphabet(counts: DataFrame) -> Alphabet:
     """The alphabet from a table of word counts; what comes to the driver is bounded by SYMBOLS and CLASSES."""
     own = counts.filter("class >= 0")
-    top = sorted((r[0] & ((1 << 64) - 1), r[1], r[2]) for r in most_counted(own, SYMBOLS).select("word", "n", "class").collect())
+    top = sorted((r[0] & ((1 << 64) - 1), r[1], r[2]) for r in most_counted(own, SYMBOLS, "word").select("word", "n", "class").collect())
     tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for c, n, v in own.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
         tokens[c], distinct[c] = n, v

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadwell.llm.common import distinct_by_text, mix, most_counted, partitions, saved, shingles, text_chunks, unused, words
+from threadwell.llm.common import distinct_by_text, mix, most_counted, partitions, saved, shingles, text_chunks, words
 from threadwell.llm.components import Filter, connected_components, merged_components
 
 #: Common shingles that the order knows of; a task counts them in stretches of so many shingles, and one must occur so
@@ -66,7 +66,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                     yield counted()
         yield counted()
 
-    rows = most_counted(saved(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "jaccard-common"), COMMON).toPandas()
+    rows = most_counted(saved(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "jaccard-common"), COMMON, "shingle").toPandas()
     h = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.minimum(np.log2(np.maximum(rows["n"].to_numpy(np.int64), 1)).astype(np.int64) + 1, 31)[order]
@@ -282,7 +282,5 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     classes = jaccard_components(docs, k, num, den)
     gone = saved(classes.filter("component_id < doc_id").select("doc_id").distinct(), "jaccard-gone")
     some = Filter.of(gone, "doc_id")
-    key = unused(docs, "id")
-    tagged = docs.withColumn(key, F.coalesce("doc_id", F.lit(-1).cast("long")))
-    left = some.keep(tagged, key).join(gone.select(F.col("doc_id").alias(key)), key, "left_anti")
-    return some.keep(tagged, key, among=False).unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
+    left = some.keep(docs, "doc_id").join(gone, "doc_id", "left_anti")  # a null id equals none, so it stays
+    return some.keep(docs, "doc_id", among=False).unionByName(left.select(*(F.col(f"`{c}`") for c in docs.columns)))
