@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadwell.functions.text import strip
+from threadwell.operators.fold import before, ordered_fold
 
 MAX_TOKENS, MIN_TOKENS, MERGE_BELOW, OVERLAP = 600, 150, 200, 0.25
 #: Fixed value: how a generated prompt that is no content opens.
@@ -56,8 +57,9 @@ def combine(user: str, assistant: str, tools: str) -> str:
     return f"User: {user}\n\nAssistant: {assistant}" + (f"\n{tools}" if tools else "")
 
 
-def merge_tiny(turns: list[dict], count: Callable[[str], int] = count_tokens) -> list[dict]:
-    """Join turns under MERGE_BELOW tokens with the next while the joined text stays within MAX_TOKENS."""
+def merging(turns: Iterable[dict], count: Callable[[str], int] = count_tokens) -> Iterator[dict]:
+    """Join turns under MERGE_BELOW tokens with the next while the joined text stays within MAX_TOKENS. One turn is
+    held at a time."""
 
     def joined(a: str, b: str, by: str) -> str:
         return b if not a else a if not b.strip() else f"{a}{by}{b}"
@@ -65,7 +67,6 @@ def merge_tiny(turns: list[dict], count: Callable[[str], int] = count_tokens) ->
     def size(t: dict) -> int:
         return count(combine(t["user_text"], t["assistant_text"], t["tool_summary"]))
 
-    out: list[dict] = []
     pending: dict | None = None
     for i, t in enumerate(turns):
         t = {"turn_number": i, **t}
@@ -79,8 +80,14 @@ def merge_tiny(turns: list[dict], count: Callable[[str], int] = count_tokens) ->
                 pending, done = (both, []) if n < MERGE_BELOW else (None, [both])
             else:
                 pending, done = (t, [pending]) if tiny else (None, [pending, t])
-        out += done
-    return out + ([pending] if pending else [])
+        yield from done
+    if pending:
+        yield pending
+
+
+def merge_tiny(turns: list[dict], count: Callable[[str], int] = count_tokens) -> list[dict]:
+    """`merging` of a list."""
+    return list(merging(turns, count))
 
 
 def split_paragraphs(text: str, most: int = MAX_TOKENS, overlap: float = OVERLAP, sep: str = "\n\n", count: Callable[[str], int] = count_tokens) -> list[str]:
@@ -117,35 +124,31 @@ def split_texts(df: DataFrame, key: str, text: str = "text", most: int = MAX_TOK
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, part int, piece string")
 
 
-def _per_stretch(turns: DataFrame, key: str, schema: str, build: Callable[[list[dict]], Iterator[tuple]], count: Callable[[str], int]) -> DataFrame:
-    """A fold over the ordered turns of a session, stretch by stretch.
+#: What the folds read of a turn, in this order.
+_TURN = ["turn_number", "timestamp", "user_text", "assistant_text", "tool_summary"]
 
-    After a turn of MERGE_BELOW tokens or more nothing is pending, so there a session is cut: what a task holds
-    together is a run of tiny turns and the turn that ends it. With a counter of its own, a session stays whole.
-    """
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("turn_number").to_dict("records")
-        return pd.DataFrame([(rows[0][key], *r) for r in build(rows)], columns=names)
+def _fold_turns(turns: DataFrame, key: str, schema: str, build: Callable[[Iterator[dict]], Iterator[tuple]], count: Callable[[str], int]) -> DataFrame:
+    """A fold over the ordered turns of each session.
 
-    stretch = F.lit(0).cast("long")
+    After a turn of MERGE_BELOW tokens or more nothing is pending, so there a session is cut and its stretches are
+    dealt apart; a counter of its own is not known to the plan, so with one a session is a single stretch.
+    """
+    clean = None
     if count is count_tokens:
         whole = F.concat(F.lit("User: "), "user_text", F.lit("\n\nAssistant: "), "assistant_text", F.when(F.col("tool_summary") != "", F.concat(F.lit("\n"), "tool_summary")).otherwise(""))
-        ends = (F.ceil(F.length(whole) / 4) >= MERGE_BELOW).cast("long")
-        stretch = F.coalesce(F.sum(ends).over(Window.partitionBy(key).orderBy("turn_number").rowsBetween(Window.unboundedPreceding, -1)), stretch)
-    return turns.withColumn("_stretch", stretch).groupBy(key, "_stretch").applyInPandas(run, schema)
+        clean = before(F.ceil(F.length(whole) / 4) >= MERGE_BELOW, key, ["turn_number"])
+    return ordered_fold(turns.select(key, *_TURN), key, ["turn_number"], lambda rows: build(dict(zip(_TURN, r, strict=True)) for r in rows), schema, clean)
 
 
 def merged_turns(turns: DataFrame, key: str, count: Callable[[str], int] = count_tokens) -> DataFrame:
     """Turns after the merge of tiny ones."""
-    kind = dict(turns.dtypes)[key]
 
-    def build(rows: list[dict]) -> Iterator[tuple]:
-        for t in merge_tiny(rows, count):
-            yield t["turn_number"], t["timestamp"], t["user_text"], t["assistant_text"], t["tool_summary"]
+    def build(rows: Iterator[dict]) -> Iterator[tuple]:
+        for t in merging(rows, count):
+            yield tuple(t[c] for c in _TURN)
 
-    return _per_stretch(turns, key, f"{key} {kind}, turn_number long, timestamp string, user_text string, assistant_text string, tool_summary string", build, count)
+    return _fold_turns(turns, key, "turn_number long, timestamp string, user_text string, assistant_text string, tool_summary string", build, count)
 
 
 def create_chunks(turns: DataFrame, key: str, sep: str = "\n\n", count: Callable[[str], int] = count_tokens) -> DataFrame:
@@ -154,10 +157,9 @@ def create_chunks(turns: DataFrame, key: str, sep: str = "\n\n", count: Callable
     A turn within MAX_TOKENS is dropped if it is under MIN_TOKENS and its user part is blank. All parts of a split
     turn share its number, time and user text.
     """
-    kind = dict(turns.dtypes)[key]
 
-    def build(rows: list[dict]) -> Iterator[tuple]:
-        for t in merge_tiny(rows, count):
+    def build(rows: Iterator[dict]) -> Iterator[tuple]:
+        for t in merging(rows, count):
             user = t["user_text"]
             if user.strip().startswith(TEMPLATES):
                 continue
@@ -174,7 +176,7 @@ def create_chunks(turns: DataFrame, key: str, sep: str = "\n\n", count: Callable
             for i, part in enumerate(split_paragraphs(answer, most if most >= 100 else MAX_TOKENS, OVERLAP, sep, count)):
                 yield t["turn_number"], i, t["timestamp"], user, part, prefix + part, count(prefix + part)
 
-    return _per_stretch(turns, key, f"{key} {kind}, turn_number long, part int, timestamp string, user_content string, assistant_content string, combined_text string, token_estimate long", build, count)
+    return _fold_turns(turns, key, "turn_number long, part int, timestamp string, user_content string, assistant_content string, combined_text string, token_estimate long", build, count)
 
 
 def number_chunks(chunks: DataFrame, key: str) -> DataFrame:

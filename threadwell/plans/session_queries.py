@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadwell.functions import hooks
 from threadwell.functions import text as x
@@ -210,9 +209,8 @@ def ordered_distinct(spark, d):
 
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS n FROM events")
 def reindex_count_600s(spark, d):
-    w = Window.partitionBy("user_id").orderBy("second").rangeBetween(-600, 0)
-    second = F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
-    return load(spark, d, "events").withColumn("second", second).select("user_id", "event_id", F.count("*").over(w).alias("n"))
+    whole = load(spark, d, "events").withColumn("second", F.timestamp_seconds(F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")))
+    return indexing.reindexes(whole, "user_id", "second").select("user_id", "event_id", F.col("recent").alias("n"))
 
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")

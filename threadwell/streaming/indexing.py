@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from threadwell.operators.fold import before, ordered_fold
+
 #: Seconds: the cooldown, that of a busy session, the window that makes one busy, and the re-indexes in it.
 COOLDOWN, BUSY_COOLDOWN, BUSY_WINDOW, BUSY_COUNT = 60, 300, 600, 3
 
@@ -24,38 +26,47 @@ def first_in_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
     return batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")
 
 
-def admit(times: list[float], last: list[float]) -> tuple[list[bool], list[float]]:
-    """Which of the arrivals (ascending seconds) are indexed, given earlier re-indexes; and those to remember.
+def admitting(times: Iterable[float], last: list[float]) -> Iterator[bool]:
+    """Whether each of the arrivals (ascending seconds) is indexed, given earlier re-indexes, to which it is added.
 
     An arrival waits until the cooldown after the last re-index is over: 300 s if there were three in the 600 s
     before, else 60 s.
     """
-    out = []
     for t in times:
-        last = [x for x in last if t - x <= BUSY_WINDOW]
+        last[:] = [x for x in last if t - x <= BUSY_WINDOW]
         wait = BUSY_COOLDOWN if len(last) >= BUSY_COUNT else COOLDOWN
         ok = not last or t - last[-1] >= wait
-        out.append(ok)
         if ok:
-            last = [*last, t]
-    return out, last
+            last.append(t)
+        yield ok
+
+
+def admit(times: list[float], last: list[float]) -> tuple[list[bool], list[float]]:
+    """`admitting` of a list, and the re-indexes to remember."""
+    last = list(last)
+    return list(admitting(times, last)), last
 
 
 def cooldown_batch(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """events with `indexed`, the cooldown's decision, in the order of each key's time. A key's rows are folded in
-    order; a gap longer than the window that makes a session busy clears its state, so there they are cut, and the
-    stretches are spread over tasks."""
-    columns = [f"{n} {t}" for n, t in events.select(key, tie).dtypes]
+    """key, tie and `indexed`, the cooldown's decision, for each event in the order of its key's time. A gap longer than
+    the window that makes a session busy clears its state, so there a key is cut and its stretches are spread."""
+    kind = dict(events.dtypes)[tie]
+    order = ["_at", tie]
+    timed = events.select(key, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_at"), tie)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", tie])
-        return pd.DataFrame({key: pdf[key], tie: pdf[tie], "indexed": admit(pdf["_at"].tolist(), [])[0]})
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """An arrival of the last 600 s at most is held for each re-index."""
+        last: list[float] = []
+        for at, name in rows:
+            yield name, next(admitting([at], last))
 
-    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    w = Window.partitionBy(key).orderBy("_at", tie)
-    timed = events.select(key, tie, at.alias("_at")).withColumn("_new", (F.col("_at") - F.lag("_at").over(w) > BUSY_WINDOW).cast("long"))
-    cut = timed.withColumn("_stretch", F.coalesce(F.sum("_new").over(w), F.lit(0))).drop("_new")
-    return cut.groupBy(key, "_stretch").applyInPandas(run, ", ".join(columns) + ", indexed boolean")
+    return ordered_fold(timed, key, order, fold, f"`{tie}` {kind}, indexed boolean", F.col("_at") - before("_at", key, order) > BUSY_WINDOW)
+
+
+def reindexes(events: DataFrame, key: str, ts: str, seconds: int = BUSY_WINDOW) -> DataFrame:
+    """events with `recent`, how many of their key fell in the `seconds` up to each, itself included."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    return events.withColumn("recent", F.count("*").over(Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)))
 
 
 def cooldown_stream(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
