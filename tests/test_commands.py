@@ -132,7 +132,7 @@ def test_text_index(spark, tmp_path):
     index.update(new.limit(0), new.select("session_id"))  # a session goes
     now = docs.filter("session_id <> 's1'")
     same(now, "alpha beta omega")
-    assert index.segments() == [0, 1, 2] and index.merge(now).segments() == [0]
+    assert index.segments() == [0, 1, 2] and index.merge().segments() == [0]
     same(now, "alpha beta omega")
     allowed = spark.createDataFrame([("s0",)], "session_id string")
     assert {r.chunk_id for r in index.search("alpha", allowed=allowed).collect()} == {0, 6}

@@ -118,7 +118,8 @@ def index(store: Store, lines: DataFrame, subagents: DataFrame | None = None, re
     if subagents is not None:
         mine = dml.migrated(subagents.withColumn("indexed_at", at), schema.SUBAGENTS)
         store.replace("subagents", mine, mine.select("parent_session_id").distinct(), "parent_session_id")
-    store.index.update(cut, ids)
+    text_index = store.index.update(cut, ids)
+    text_index.sweep()
     store.invalidate()
     return made
 

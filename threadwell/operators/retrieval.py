@@ -25,12 +25,14 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return split.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def _idf(n_docs: Column, df: Column) -> Column:
+def idf(n_docs: Column, df: Column) -> Column:
+    """What a term that is in df of n_docs documents counts."""
     raw = F.log((n_docs - df + 0.5) / (df + 0.5))
     return F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
 
 
-def _weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What tf occurrences in a document of dl terms count: more for a larger tf or a smaller dl."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
@@ -55,7 +57,7 @@ def bm25(docs: DataFrame, query: str, limit: int | None = 20, key: str = "doc_id
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(tf)))
     hits = counted.filter(reduce(lambda a, b: a | b if match == "any" else a & b, [c > 0 for c in tf]))
     scored = hits.crossJoin(F.broadcast(stats))
-    rank = reduce(lambda a, b: a + b, [_idf(F.col("n_docs"), F.col(f"df{i}")) * _weight(c, F.col("dl"), F.col("avgdl")) for i, c in enumerate(tf)])
+    rank = reduce(lambda a, b: a + b, [idf(F.col("n_docs"), F.col(f"df{i}")) * weight(c, F.col("dl"), F.col("avgdl")) for i, c in enumerate(tf)])
     out = scored.select(key, (-rank).alias("rank"))
     return out if limit is None else out.orderBy("rank", key).limit(limit)
 
@@ -69,7 +71,7 @@ def bm25_of_hits(hits: DataFrame, n_docs: Column, avgdl: Column, key: str = "doc
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of a query
     if allowed is not None:
         hits = hits.join(allowed, "owner", "left_semi")
-    rank = F.sum(_idf(n_docs, F.col("df")) * _weight(F.col("tf"), F.col("dl"), avgdl))
+    rank = F.sum(idf(n_docs, F.col("df")) * weight(F.col("tf"), F.col("dl"), avgdl))
     return hits.join(F.broadcast(df), "term").groupBy(key).agg((-rank).alias("rank"), F.count("*").alias("found")).filter(F.col("found") >= least).select(key, "rank")
 
 

@@ -21,12 +21,13 @@ def _allowed(df: DataFrame, allowed: DataFrame | None, session: str) -> DataFram
     return df if allowed is None else df.join(allowed, session, "left_semi")
 
 
-def fused(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, limit: int, key: str = "chunk_id", text: str = "combined_text", match: str = "any", variants: list[tuple[str, str, DataFrame | None]] = (), index: TextIndex | None = None, bonus: float = 0.0) -> DataFrame:
-    """Vector and text lists joined by rank. variants are more queries: ("lex", text, None), ("vec", text, vector) or
+def fused(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, limit: int, key: str = "chunk_id", text: str = "combined_text", match: str = "any", variants: list[tuple[str, str, DataFrame | None]] = (), index: TextIndex | None = None, bonus: float = 0.0, allowed: DataFrame | None = None) -> DataFrame:
+    """Vector and text lists joined by rank; of the allowed sessions only, if given, for which chunks and vectors are
+    already filtered and the index sums figures of its own. variants are more queries: ("lex", text, None), ("vec", text, vector) or
     ("hyde", text, vector), which is a made-up answer. bonus goes to the first of each list."""
     fetch = limit * HYBRID_FETCH
     near = lambda q: ranked(vector_topk(vectors, q, fetch, key), "distance", key)
-    words = lambda q: ranked(index.search(q, fetch, match) if index else bm25(chunks, q, fetch, key, text, match), "rank", key)
+    words = lambda q: ranked(index.search(q, fetch, match, allowed, own_figures=allowed is not None) if index else bm25(chunks, q, fetch, key, text, match), "rank", key)
     lists = [near(query_vector), words(query)]
     lists += [words(q) if kind == "lex" else near(v) for kind, q, v in variants]
     return reciprocal_rank_fusion(lists, key, bonus=bonus).orderBy(F.desc("score"), "list_no", "pos", key).limit(limit * FUSED_CAP)
@@ -51,16 +52,17 @@ def hybrid(
 ) -> DataFrame:
     """The best chunk of each session by fused rank; words come from the index where one is given.
 
-    filter_mode "post" filters sessions after the lists are cut, "pre" before, which loses nothing. Ranking works on
-    ids and scores; the wide rows are joined to the few that stay. rerank gets the result and returns it with new
+    filter_mode "post" filters sessions after the lists are cut, "pre" before, which loses nothing; then the index sums
+    its figures over the allowed documents. Ranking works on ids and scores; the wide rows are joined to the few that
+    stay. rerank gets the result and returns it with new
     scores.
     """
     narrow = chunks.select(key, session, text)
-    if filter_mode == "pre" and allowed is not None:
-        narrow = narrow.join(allowed, session, "left_semi")
+    before = allowed if filter_mode == "pre" else None
+    if before is not None:
+        narrow = narrow.join(before, session, "left_semi")
         vectors = vectors.join(narrow.select(key), key, "left_semi")
-        index = None  # its figures are those of all sessions
-    hits = fused(narrow, vectors, query, query_vector, limit, key, text, match, variants, index, bonus)
+    hits = fused(narrow, vectors, query, query_vector, limit, key, text, match, variants, index, bonus, before)
     few = F.broadcast(hits)  # 10 * limit rows
     placed = _allowed(chunks.select(key, session).join(few, key), allowed, session)
     order = (F.desc("score"), "list_no", "pos", key)

@@ -40,6 +40,36 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it is not there."""
+    fs, at = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that is there whole or not at all; it must not be there before."""
+    fs, at = _file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise FileExistsError(f"{path} was written by another process")
+
+
 def move(spark: SparkSession, new: str, path: str) -> None:
     """Put the folder new in the place of path."""
     old = f"{path}.{uuid.uuid4().hex}.old"

@@ -1,27 +1,70 @@
-"""A written inverted index: postings by term, kept up to date a session at a time.
+"""A written inverted index with positions, kept up to date a session at a time and merged as it grows.
 
-Layout below a root: postings (by segment and a bucket of the term), docs (key, owner and length of each document, by
-segment), gone (owners that a segment replaces) and stats (live documents and terms as of a segment). An update writes
-one new segment and touches nothing else; what it replaces is left out when hits are read. `merge` makes one segment
-of all. A search reads the buckets of its terms, and of these only row groups that hold them.
+Below a root lie `segments`, each written once, and `manifests`, the commit log. A segment has docs (key, owner, length
+and words of each document, dealt by owner), postings (dealt by term), and what it replaces in segments before it: dead
+documents (target, block, place) and, for each term, how many documents it lost there. A manifest names the segments
+that count. A writer writes a whole segment under a new name and then commits by renaming one manifest into place, so a
+crash leaves nothing but an orphan, which `sweep` removes; a reader keeps to the manifest that it began with. There is
+one writer at a time.
+
+Documents are numbered in blocks of BLOCK, of like length. A posting is a row for a term and a block: places, keys,
+counts, lengths and positions in arrays, and the largest count and least length, which bound the block's scores. A
+top-k search opens only blocks whose bounds reach the score of the k-th best document of the most promising blocks.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadwell.functions.text import query_terms, terms
 from threadwell.operators import storage
-from threadwell.operators.retrieval import bm25_of_hits
+from threadwell.operators.retrieval import bm25_of_hits, idf, weight
 
 BUCKETS = 64
+#: Documents of a block; a search opens all blocks at once where there are not this many for each wanted hit.
+BLOCK, FEW_BLOCKS = 128, 4
+#: Segments of like size that are merged, and how far apart sizes of a tier may be.
+TIER = 4
+
+
+def _bucket(c: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+
+def _less(i: int) -> Callable[[Column], Column]:
+    """A function of one column, for `transform`, that takes i away."""
+    return lambda p: p - F.lit(i)
+
 
+def query_units(query: str) -> list[tuple[str, ...]]:
+    """What a query asks for, in order and each once: terms, and phrases as several terms. Words in double quotes are a
+    phrase, and so are words joined by hyphens or underscores; other punctuation only parts terms."""
+    units = []
+    for quoted, bare in re.findall(r'"([^"]*)"|([^\s"]+)', query):
+        for part in [quoted] if quoted else re.findall(r"\w+(?:-+\w+)*", bare):
+            words = [t for w in re.split(r"[\W_]+", part) for t in query_terms(w)]
+            units.append(tuple(words))
+    return [u for u in dict.fromkeys(units) if u]
 
-def _bucket(term: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
+
+def crowded(sizes: list[int], tier: int = TIER) -> list[int] | None:
+    """Which of the segments (by their documents, in any order) to merge next: TIER of one size class; None if no class
+    has so many. Classes are powers of TIER, so n updates leave some TIER * log(n) segments and write each document
+    log(n) times."""
+    classes: dict[int, list[int]] = {}
+    for i, n in enumerate(sizes):
+        classes.setdefault(int(math.log(max(n, 1), tier) + 1e-9), []).append(i)
+    full = [c for c in sorted(classes) if len(classes[c]) >= tier]
+    return classes[full[0]] if full else None
 
 
 @dataclass
@@ -35,86 +78,298 @@ class TextIndex:
     text: str = "combined_text"
     buckets: int = BUCKETS
 
-    _known: tuple[list[int], int, int] | None = field(default=None, repr=False)
+    _manifest: dict | None = field(default=None, repr=False)
 
-    def _at(self, name: str, segment: int) -> str:
-        return f"{self.root}/{name}/segment={segment}"
+    # --- the commit log
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+    def manifest(self) -> dict:
+        """The last manifest; read once."""
+        if self._manifest is None:
+            self._manifest = {"version": 0, "segments": [], "key_type": "bigint"}
+            for name in sorted(storage.names(self.spark, f"{self.root}/manifests"), reverse=True):
+                if name.isdigit():
+                    self._manifest = json.loads(storage.read_text(self.spark, f"{self.root}/manifests/{name}"))
+                    break
+        return self._manifest
 
     def refresh(self) -> TextIndex:
-        """Forget what is known of the segments, after another process has written one."""
-        self._known = None
+        """Forget the manifest, after another process has committed one."""
+        self._manifest = None
         return self
 
-    def known(self) -> tuple[list[int], int, int]:
-        """The segments, whose stats are written last, and the live documents and terms; read once."""
-        if self._known is None:
-            rows = sorted(self._read("stats").select("segment", "n_docs", "terms").collect()) if storage.exists(self.spark, f"{self.root}/stats") else []
-            self._known = [r[0] for r in rows], *(rows[-1][1:] if rows else (0, 0))
-        return self._known
-
     def segments(self) -> list[int]:
-        return self.known()[0]
-
-    def _write(self, docs: DataFrame, segment: int, gone: DataFrame | None) -> None:
-        split = docs.select(self.key, F.col(self.owner).alias("owner"), terms(F.coalesce(self.text, F.lit(""))).alias("terms"), F.monotonically_increasing_id().alias("row"))
-        sized = split.select(self.key, "owner", F.size("terms").alias("dl"), "terms")
-        held = sized.select(self.key, "owner", "dl", F.explode("terms").alias("term")).groupBy("term", self.key, "owner", "dl").agg(F.count("*").alias("tf"))
-        placed = held.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartition(F.col("bucket"), F.pmod(F.xxhash64(self.key), F.lit(16))).sortWithinPartitions("bucket", "term")
-        placed.write.partitionBy("bucket").parquet(self._at("postings", segment))
-        sized.drop("terms").write.parquet(self._at("docs", segment))
-        fresh = self.spark.read.parquet(self._at("docs", segment)).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-        n, total = fresh.n, fresh.t
-        if gone is not None:
-            gone.select(F.col(self.owner).alias("owner")).distinct().write.parquet(self._at("gone", segment))
-            live = self.live(self._read("docs").filter(F.col("segment") < segment)).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-            n, total = n + live.n, total + live.t
-        self.spark.createDataFrame([(n, total)], "n_docs long, terms long").coalesce(1).write.parquet(self._at("stats", segment))
-        self.refresh()
+        """The segments that count, numbered from the oldest."""
+        return list(range(len(self.manifest()["segments"])))
+
+    def _commit(self, segments: list[dict], **more) -> None:
+        now = {**self.manifest(), **more, "version": self.manifest()["version"] + 1, "segments": segments}
+        storage.put_text(self.spark, f"{self.root}/manifests/{now['version']:012d}", json.dumps(now))
+        self._manifest = now
+
+    def sweep(self, keep: int = 2) -> None:
+        """Delete all but the last `keep` manifests and what they name: what others left unfinished or has been merged.
+        Not while another process writes; a reader that holds an older manifest must refresh."""
+        names = sorted(n for n in storage.names(self.spark, f"{self.root}/manifests") if n.isdigit())
+        kept = {s["name"] for n in names[-keep:] for s in json.loads(storage.read_text(self.spark, f"{self.root}/manifests/{n}"))["segments"]}
+        for name in storage.names(self.spark, f"{self.root}/manifests"):
+            if name not in names[-keep:]:
+                storage.delete(self.spark, f"{self.root}/manifests/{name}")
+        for name in storage.names(self.spark, f"{self.root}/segments"):
+            if name not in kept:
+                storage.delete(self.spark, f"{self.root}/segments/{name}")
+
+    # --- tables of segments
+
+    def _save(self, df: DataFrame, name: str, table: str, partition_by: tuple[str, ...] = ()) -> None:
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(f"{self.root}/segments/{name}/{table}")
+
+    def _read(self, table: str, column: str, segments: list[dict] | None = None, only: list[int] | None = None) -> DataFrame | None:
+        """A table of some segments (default: all), of the given buckets only, with the segment's name in `target`; None
+        where no segment has any of it. Which buckets there are is in the manifest."""
+        out = []
+        for s in self.manifest()["segments"] if segments is None else segments:
+            have = s[table]
+            at = f"{self.root}/segments/{s['name']}/{table}"
+            paths = [f"{at}/{column}={b}" for b in have if only is None or b in only]
+            if paths:
+                out.append(self.spark.read.option("basePath", at).parquet(*paths).withColumn("target", F.lit(s["name"])))
+        return reduce(DataFrame.unionByName, out) if out else None
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows (with block and place) of documents that no later segment replaces."""
+        dead = self._dead()
+        return rows if dead is None else rows.join(dead.select("block", "place"), ["block", "place"], "left_anti")
+
+    def _dead(self, targets: list[dict] | None = None) -> DataFrame | None:
+        dead, live = self._read("dead", "obucket"), [s["name"] for s in (self.manifest()["segments"] if targets is None else targets)]
+        return None if dead is None else dead.drop("target").withColumnRenamed("victim", "target").filter(F.col("target").isin(live))
+
+    # --- writing
+
+    def _slices(self) -> int:
+        return max(16, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+
+    def _write_docs(self, docs: DataFrame, name: str) -> DataFrame:
+        """Number the documents in blocks: dealt by owner, a large owner in slices, and sorted by length."""
+        words = docs.select(self.key, F.col(self.owner).alias("owner"), terms(F.coalesce(self.text, F.lit(""))).alias("words"))
+        dealt = words.select(self.key, "owner", F.size("words").alias("dl"), "words", _bucket(F.col("owner"), self.buckets).alias("obucket")).repartition(F.col("obucket"), F.pmod(F.xxhash64(self.key), F.lit(16)))
+        at = F.monotonically_increasing_id()
+        numbered = dealt.sortWithinPartitions("obucket", "dl", self.key).withColumn("at", at)
+        row = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+        block = F.concat_ws("-", F.lit(name[:16]), F.hex(F.shiftright("at", 33)), F.hex(F.floor(row / BLOCK).cast("long")))
+        self._save(numbered.select(self.key, "owner", "dl", "words", "obucket", block.alias("block"), (row % BLOCK).cast("int").alias("place")), name, "docs", ("obucket",))
+        return self.spark.read.parquet(f"{self.root}/segments/{name}/docs")
+
+    def _write_postings(self, docs: DataFrame, name: str) -> None:
+        """One shuffle of all words, by bucket and slices of blocks; a term's block is put together where it lands."""
+        said = docs.select(self.key, "dl", "block", "place", F.posexplode("words").alias("pos", "term"))
+        dealt = said.withColumns({"bucket": _bucket(F.col("term"), self.buckets), "slice": F.pmod(F.xxhash64("block"), F.lit(self._slices()))}).repartition("bucket", "slice")
+        each = dealt.groupBy("bucket", "slice", "term", "block", "place", self.key, "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("pos"))
+        entry = F.struct("place", F.col(self.key).alias("key"), "tf", "dl", "pos")
+        rows = each.groupBy("bucket", "slice", "term", "block").agg(F.array_sort(F.collect_list(entry)).alias("d"))
+        self._save(self._posting(rows).sortWithinPartitions("bucket", "term", "block"), name, "postings", ("bucket",))
+
+    @staticmethod
+    def _posting(rows: DataFrame) -> DataFrame:
+        """Rows with the entries d of a term's block as postings."""
+        d = {"places": "place", "keys": "key", "tfs": "tf", "dls": "dl", "pos": "pos"}
+        return rows.select("bucket", "term", "block", F.size("d").alias("n"), F.array_max("d.tf").alias("max_tf"), F.array_min("d.dl").alias("min_dl"), *(F.col(f"d.{v}").alias(k) for k, v in d.items()))
+
+    def _entry(self, name: str, n_docs: int, n_terms: int) -> dict:
+        """A segment in the manifest: its live documents and terms, and which buckets of each table it has."""
+        have = {t: sorted(int(x.split("=")[1]) for x in storage.names(self.spark, f"{self.root}/segments/{name}/{t}") if "=" in x) for t in ("docs", "postings", "dead", "lost")}
+        return {"name": name, "n_docs": n_docs, "terms": n_terms, **have}
+
+    def _segment(self, docs: DataFrame, name: str) -> dict:
+        written = self._write_docs(docs, name)
+        self._write_postings(written, name)
+        n = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+        return self._entry(name, n.n, n.t)
 
     def build(self, docs: DataFrame) -> TextIndex:
-        """Index all documents anew."""
-        storage.delete(self.spark, self.root)
-        self._write(docs, 0, None)
+        """Index all documents anew; what was there counts until this is done."""
+        self._commit([self._segment(docs, uuid.uuid4().hex)], key_type=docs.schema[self.key].dataType.simpleString())
         return self
 
     def update(self, docs: DataFrame, owners: DataFrame | None = None) -> TextIndex:
-        """Replace all documents of the owners (default: those of docs) by docs, in a segment of its own."""
-        have = self.segments()
-        if not have:
+        """Replace all documents of the owners (default: those of docs) by docs, in a segment of its own; then merge
+        segments of a crowded size. A null owner is replaced like any other."""
+        before = self.manifest()["segments"]
+        if not before:
             return self.build(docs)
-        self._write(docs, have[-1] + 1, docs.select(self.owner) if owners is None else owners)
+        name = uuid.uuid4().hex
+        fresh = self._segment(docs, name)
+        gone = (docs if owners is None else owners).select(F.col(self.owner).alias("gone")).distinct()
+        places = sorted(r[0] for r in gone.select(_bucket(F.col("gone"), self.buckets)).distinct().collect())  # as many as buckets
+        old = self._read("docs", "obucket", only=places)
+        if old is not None:
+            hit = self._live(old.join(gone, F.col("owner").eqNullSafe(F.col("gone")), "left_semi"))
+            self._save(hit.select(F.col("target").alias("victim"), "block", "place", "dl", "obucket"), name, "dead", ("obucket",))
+            words = hit.select("target", F.explode(F.array_distinct("words")).alias("term")).groupBy("target", "term").agg(F.count("*").alias("n"))
+            self._save(words.select(F.col("target").alias("victim"), "term", "n", _bucket(F.col("term"), self.buckets).alias("bucket")).repartition("bucket"), name, "lost", ("bucket",))
+            fresh = self._entry(name, fresh["n_docs"], fresh["terms"])
+        if fresh["dead"]:
+            lost = self._read("dead", "obucket", [fresh]).groupBy("victim").agg(F.count("*").alias("n"), F.sum("dl").alias("t")).collect()  # a row for each segment
+            taken = {r.victim: (r.n, r.t) for r in lost}
+            before = [{**s, "n_docs": s["n_docs"] - taken.get(s["name"], (0, 0))[0], "terms": s["terms"] - taken.get(s["name"], (0, 0))[1]} for s in before]
+        self._commit([*before, fresh])
+        while (some := crowded([s["n_docs"] for s in self.manifest()["segments"]])) is not None:
+            self._merge(some)
         return self
 
-    def live(self, rows: DataFrame) -> DataFrame:
-        """Rows (with owner and segment) that no later segment replaces."""
-        if not storage.exists(self.spark, f"{self.root}/gone"):
-            return rows
-        later = self._read("gone").groupBy("owner").agg(F.max("segment").alias("replaced"))
-        return rows.join(later, "owner", "left").filter(F.col("replaced").isNull() | (F.col("segment") >= F.col("replaced"))).drop("replaced")
+    def merge(self) -> TextIndex:
+        """One segment of all that is live."""
+        if len(self.segments()) > 1 or self.manifest()["segments"] and self._dead() is not None:
+            self._merge(self.segments())
+        return self
 
-    def merge(self, docs: DataFrame) -> TextIndex:
-        """One segment of what is live, rebuilt from the documents beside the old index and put in its place."""
-        beside = TextIndex(self.spark, f"{self.root}.merged", self.key, self.owner, self.text, self.buckets).build(docs)
-        storage.move(self.spark, beside.root, self.root)
-        return self.refresh()
+    def _merge(self, which: list[int]) -> None:
+        """Make one segment of several, from their postings: dead documents are left out, texts are not read again."""
+        have = self.manifest()["segments"]
+        parts, rest = [have[i] for i in which], [s for i, s in enumerate(have) if i not in which]
+        name, dead = uuid.uuid4().hex, self._dead(parts)
+        docs, rows = self._read("docs", "obucket", parts), self._read("postings", "bucket", parts)
+        if docs is not None:
+            kept = docs if dead is None else docs.join(dead.select("block", "place"), ["block", "place"], "left_anti")
+            self._save(kept.drop("target").repartition(F.col("obucket"), F.pmod(F.xxhash64("block"), F.lit(16))).sortWithinPartitions("obucket", "block", "place"), name, "docs", ("obucket",))
+        if rows is not None:
+            entries = F.arrays_zip(*(F.col(a).alias(b) for a, b in (("places", "place"), ("keys", "key"), ("tfs", "tf"), ("dls", "dl"), ("pos", "pos"))))
+            rows = rows.select("bucket", "term", "block", entries.alias("d"))
+            if dead is not None:
+                out = dead.groupBy("block").agg(F.collect_set("place").alias("out"))  # BLOCK places at most
+                rows = rows.join(out, "block", "left").withColumn("d", F.when(F.col("out").isNull(), F.col("d")).otherwise(F.filter("d", lambda e: ~F.array_contains("out", e["place"])))).filter(F.size("d") > 0)
+            dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(self._slices())))
+            self._save(self._posting(dealt).sortWithinPartitions("bucket", "term", "block"), name, "postings", ("bucket",))
+        others = [s["name"] for s in rest]
+        for table, column in (("dead", "obucket"), ("lost", "bucket")):  # what the merged ones replace elsewhere
+            moved = self._read(table, column, parts)
+            if moved is not None:
+                self._save(moved.drop("target").filter(F.col("victim").isin(others)), name, table, (column,))
+        self._commit([*rest, self._entry(name, sum(s["n_docs"] for s in parts), sum(s["terms"] for s in parts))])
 
-    def hits(self, query: str) -> DataFrame | None:
-        """term, key, owner, tf and dl of the live postings of the query's terms; None if no bucket holds one."""
-        wanted = query_terms(query)
-        buckets = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(F.col("term"), self.buckets)).collect()})
-        paths = [p for s in self.segments() for b in buckets if storage.exists(self.spark, p := f"{self._at('postings', s)}/bucket={b}")]
-        if not paths:
+    # --- searching
+
+    def _figures(self) -> tuple[int, float]:
+        n = sum(s["n_docs"] for s in self.manifest()["segments"])
+        return n, sum(s["terms"] for s in self.manifest()["segments"]) / max(n, 1)
+
+    def _postings(self, wanted: list[str], *columns: str) -> DataFrame | None:
+        rows = self._read("postings", "bucket", only=self._buckets_of(wanted))
+        return None if rows is None else rows.filter(F.col("term").isin(wanted)).select("term", "block", *columns)
+
+    def _buckets_of(self, wanted: list[str]) -> list[int]:
+        return [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(F.col("term"), self.buckets)).distinct().collect()]
+
+    def _frequencies(self, wanted: list[str], rows: DataFrame) -> dict[str, int]:
+        """In how many live documents each term is: the postings' sizes less what was lost since."""
+        n = rows.select("term", F.col("n").cast("long").alias("n"))
+        lost = self._read("lost", "bucket", only=self._buckets_of(wanted))
+        if lost is not None:
+            n = n.unionByName(lost.filter(F.col("term").isin(wanted) & F.col("victim").isin([s["name"] for s in self.manifest()["segments"]])).select("term", (-F.col("n")).alias("n")))
+        return {r.term: r.n for r in n.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term
+
+    @staticmethod
+    def _entries(rows: DataFrame, key: str) -> DataFrame:
+        """term, block, place, key, tf and dl of the documents in postings."""
+        zipped = F.arrays_zip("places", "keys", "tfs", "dls")
+        return rows.select("term", "block", F.explode(zipped).alias("e")).select("term", "block", "e.places", F.col("e.keys").alias(key), F.col("e.tfs").alias("tf"), F.col("e.dls").alias("dl")).withColumnRenamed("places", "place")
+
+    def _phrase(self, phrase: tuple[str, ...]) -> DataFrame | None:
+        """The postings of a phrase, as `_entries` gives those of a term: documents where its terms stand side by side.
+
+        Positions are read only here, and only in blocks that hold all of the terms.
+        """
+        rows = self._postings(list(dict.fromkeys(phrase)), "places", "keys", "tfs", "dls", "pos")
+        if rows is None:
             return None
-        return self.live(self.spark.read.option("basePath", f"{self.root}/postings").parquet(*paths).filter(F.col("term").isin(wanted)))
+        full = rows.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") == len(set(phrase))).select("block")
+        zipped = F.explode(F.arrays_zip("places", "keys", "dls", "pos"))
+        held = rows.join(full, "block", "left_semi").select("term", "block", zipped.alias("e")).select("term", "block", F.col("e.places").alias("place"), F.col("e.keys").alias(self.key), F.col("e.dls").alias("dl"), "e.pos")
+        shifted = [F.when(F.col("term") == t, F.transform("pos", _less(i))).otherwise(F.array().cast("array<int>")) for i, t in enumerate(phrase)]
+        starts = F.flatten(F.array(*shifted))
+        found = held.select("block", "place", self.key, "dl", F.explode(starts).alias("start")).groupBy("block", "place", self.key, "dl", "start").agg(F.count("*").alias("n")).filter(F.col("n") == len(phrase))
+        return found.groupBy("block", "place", self.key, "dl").agg(F.count("*").alias("tf")).select(F.lit(" ".join(phrase)).alias("term"), "block", "place", self.key, "tf", "dl")
 
-    def search(self, query: str, limit: int | None = 20, match: str = "any", allowed: DataFrame | None = None) -> DataFrame:
-        """key and rank (negative; less is better) of the best documents, of the allowed owners only if given."""
-        found, (_, n, total) = self.hits(query), self.known()
+    def hits(self, query: str) -> DataFrame | None:
+        """term (or phrase), block, place, key, tf and dl of the live documents of each of the query's terms and
+        phrases; None if the index has none."""
+        units = query_units(query)
+        single = [u[0] for u in units if len(u) == 1]
+        rows = self._postings(single, "places", "keys", "tfs", "dls") if single else None
+        parts = [] if rows is None else [self._entries(rows, self.key)]
+        parts += [p for u in units if len(u) > 1 and (p := self._phrase(u)) is not None]
+        return self._live(reduce(DataFrame.unionByName, parts)) if parts else None
+
+    def search(self, query: str, limit: int | None = 20, match: str = "any", allowed: DataFrame | None = None, own_figures: bool = False) -> DataFrame:
+        """key and rank (negative; less is better) of the best documents, of the allowed owners only if given.
+
+        With own_figures the allowed documents are a corpus of their own: its size, mean length and document
+        frequencies are summed from lengths and postings. match "all" wants every term and phrase.
+        """
+        units = query_units(query)
+        n, mean = self._figures()
+        if not units or not n:
+            return self.spark.createDataFrame([], f"{self.key} {self.manifest()['key_type']}, rank double")
+        least = len(units) if match == "all" else 1
+        if allowed is None and limit is not None and all(len(u) == 1 for u in units):
+            return self._top([u[0] for u in units], limit, least)
+        found = self.hits(query)
         if found is None:
-            return self._read("docs").select(self.key, F.lit(0.0).alias("rank")).limit(0)
-        least = len(query_terms(query)) if match == "all" else 1
-        out = bm25_of_hits(found, F.lit(n), F.lit(total / max(n, 1)), self.key, least, allowed.withColumnRenamed(self.owner, "owner") if allowed is not None else None)
+            return self.spark.createDataFrame([], f"{self.key} {self.manifest()['key_type']}, rank double")
+        if allowed is None:
+            out = bm25_of_hits(found, F.lit(n), F.lit(mean), self.key, least)
+        else:
+            mine = self._live(self._read("docs", "obucket").join(allowed.select(F.col(self.owner).alias("owner")).distinct(), "owner", "left_semi")).select("block", "place", "dl")
+            among = found.join(mine.select("block", "place", F.lit(1).alias("owner")), ["block", "place"], "left" if not own_figures else "inner")
+            if own_figures:
+                own = F.broadcast(mine.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))  # one row
+                out = bm25_of_hits(among.crossJoin(own), F.col("n_docs"), F.col("avgdl"), self.key, least)
+            else:
+                out = bm25_of_hits(among, F.lit(n), F.lit(mean), self.key, least, self.spark.createDataFrame([(1,)], "owner int"))
         return out if limit is None else out.orderBy("rank", self.key).limit(limit)
+
+    def opened(self, query: str, limit: int = 20, match: str = "any") -> tuple[int, int]:
+        """How many postings rows (a term in a block) a top-k search of single terms opens, of how many there are."""
+        wanted = [u[0] for u in query_units(query)]
+        plan, rows = self._plan(wanted, limit, len(wanted) if match == "all" else 1), self._postings(wanted)
+        return (0 if plan is None else plan[0].count(), 0 if rows is None else rows.count())
+
+    def _top(self, wanted: list[str], limit: int, least: int) -> DataFrame:
+        plan = self._plan(wanted, limit, least)
+        if plan is None:
+            return self.spark.createDataFrame([], f"{self.key} {self.manifest()['key_type']}, rank double")
+        rows, scored = plan
+        return scored(rows).orderBy("rank", self.key).limit(limit)
+
+    def _plan(self, wanted: list[str], limit: int, least: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None:
+        """The postings that a top-k search has to open, and the scores of postings; None if nothing can be found.
+
+        A block's bound is what its documents would score if each had the block's largest counts and least length. The
+        most promising blocks are scored first; then blocks whose bound is under the limit-th best rank are passed over.
+        """
+        rows = self._postings(wanted, "n", "max_tf", "min_dl", "places", "keys", "tfs", "dls")
+        if rows is None:
+            return None
+        n, mean = self._figures()
+        known = {t: m for t, m in self._frequencies(wanted, rows).items() if m > 0}
+        if not known or least > len(known):
+            return None
+        gain = reduce(lambda c, t: c.when(F.col("term") == t, idf(F.lit(n), F.lit(known[t]))), known, F.when(F.lit(False), 0.0))
+        rows = rows.filter(F.col("term").isin(list(known)))
+        most = F.sum(gain * weight(F.col("max_tf"), F.col("min_dl"), F.lit(mean)))
+        bounds = rows.groupBy("block").agg(most.alias("bound"), F.count("*").alias("held")).filter(F.col("held") >= least)
+
+        def scored(some: DataFrame) -> DataFrame:
+            rank = F.sum(gain * weight(F.col("tf"), F.col("dl"), F.lit(mean)))
+            each = self._live(self._entries(some, self.key))
+            return each.groupBy(self.key, "block", "place").agg((-rank).alias("rank"), F.count("*").alias("found")).filter(F.col("found") >= least).select(self.key, "rank")
+
+        if n > FEW_BLOCKS * limit * BLOCK:  # else there is little to pass over
+            first = bounds.orderBy(F.desc("bound"), "block").limit(limit)
+            worst = scored(rows.join(F.broadcast(first.select("block")), "block", "left_semi")).orderBy("rank").limit(limit).agg(F.count("*").alias("n"), F.max("rank").alias("rank")).first()
+            if worst.n == limit:
+                bounds = bounds.filter(F.col("bound") >= -worst.rank * (1 - 1e-9))
+            rows = rows.join(bounds.select("block"), "block", "left_semi")
+        elif least > 1:
+            rows = rows.join(bounds.select("block"), "block", "left_semi")
+        return rows, scored

@@ -31,7 +31,7 @@ _BUILT: dict[tuple[str, str], TextIndex] = {}
 def text_index(spark, d) -> TextIndex:
     """The documents' index, written once for each application and folder."""
     at = spark.sparkContext.applicationId, d
-    if at not in _BUILT:
+    if at not in _BUILT or not storage.exists(spark, _BUILT[at].root):
         _BUILT[at] = TextIndex(spark, storage.scratch(spark, "text-index")).build(chunks(spark, d))
     return _BUILT[at]
 
@@ -91,7 +91,33 @@ def fts_merged_index(spark, d):
     own = chunks(spark, d)
     index = TextIndex(spark, storage.scratch(spark, "text-index")).build(own.filter("session_id <> 'src1'"))
     index.update(own.filter("session_id = 'src1'"))
-    return index.merge(own).search("the from with", match="all").select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
+    return index.merge().search("the from with", match="all").select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
+
+
+@query(SQL["fts_any"])
+def fts_compacted_index(spark, d):
+    """Built without texts, which four updates bring, a quarter of the sessions each: the segments are merged twice."""
+    own = chunks(spark, d)
+    index = TextIndex(spark, storage.scratch(spark, "text-index"), buckets=8).build(own.withColumn("combined_text", F.lit("las thinnt")))
+    for i in range(4):
+        index.update(own.filter(F.pmod(F.xxhash64("session_id"), F.lit(4)) == i))
+    return index.search("idiot thinnt las").select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
+
+
+def _phrased(text: str, units: list[str], need: str):
+    """A search with phrases of two words, and its SQL, where a unit is looked for at each place."""
+    at_each = "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = split_part(w, ' ', 1) AND (split_part(w, ' ', 2) = '' OR t[i + 1] = split_part(w, ' ', 2))))"
+    sql = f"WITH {bm25_sql(units, need, 20).replace('len(list_filter(t, lambda x: x = w))', at_each)} SELECT doc_id, round(rank, 6) + 0.0 AS rank FROM fts"
+    return sql, lambda spark, d: text_index(spark, d).search(text, match=need).select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
+
+
+for _name, _text, _units, _need in (
+    ("fts_phrase", '"the of"', ["the of"], "any"),
+    ("fts_phrase_repeated", "the-the", ["the the"], "any"),
+    ("fts_phrase_mixed", "idiot attion_to (of-the)", ["idiot", "attion to", "of the"], "any"),
+    ("fts_phrase_all", '"of the" attion "and of"', ["of the", "attion", "and of"], "all"),
+):
+    SQL[_name], QUERIES[_name] = _phrased(_text, _units, _need)
 
 
 @query(SQL["fts_any"])
