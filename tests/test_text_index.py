@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadwell.operators import retrieval, storage, text_index
-from threadwell.operators.text_index import TextIndex, crowded, query_units
+from threadwell.operators import filters, retrieval, storage, text_index
+from threadwell.operators.text_index import TextIndex, TrigramIndex, crowded, pattern_trigrams, query_units
 
 SCHEMA = "chunk_id long, session_id string, combined_text string"
 
@@ -143,3 +143,23 @@ def test_blocks_are_passed_over(spark, tmp_path, monkeypatch):
         assert got == [(r.chunk_id, round(r["rank"], 9)) for r in retrieval.bm25(df, query, 5, "chunk_id", "combined_text", match).collect()]
     opened, there = index.opened("fox", 5)
     assert there >= 100 and opened < there / 2
+
+
+def test_grep_by_trigrams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK", 3)
+    rng = random.Random(4)
+    made = ["".join(rng.choice("aAbÉé_%\\\n😀") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    docs = [(i, f"s{i % 4}", t) for i, t in enumerate([*made, None, "", "ab"])]
+    first = spark.createDataFrame([(i, s, "aaaa bbbb") for i, s, _ in docs], SCHEMA)
+    df = spark.createDataFrame(docs, SCHEMA)
+    index = TrigramIndex(spark, str(tmp_path / "ix"), buckets=2).build(first)
+    for i in range(4):  # all sessions are replaced
+        index.update(df.filter(F.col("session_id") == f"s{i}"))
+    assert len(index.segments()) <= 6
+    for part in ("aab", "ABA", "éba", "ÉÉ", "a_b%bA", "%", "__", "\\a", "😀a", "a\nb", "b%a%b%aab", "zzz", " ", "aaaa bbbb"):
+        want = sorted((r.chunk_id for r in filters.grep(df, part, None).collect()), reverse=True)
+        assert [r.chunk_id for r in index.grep(part, 100).collect()] == want, part
+        assert [r.chunk_id for r in index.grep(part, 2).collect()] == want[:2]
+    assert pattern_trigrams("abCd_ef%ghi") == ["abc", "bcd", "ghi"] and pattern_trigrams("a_b%") == []
+    found = index.candidates("aab")
+    assert found is None or found.count() < 63

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from threadwell.functions.text import basename
 from threadwell.operators.filters import file_matches, grep
 from threadwell.operators.retrieval import bm25, first_per_group, ranked, reciprocal_rank_fusion, vector_topk
-from threadwell.operators.text_index import TextIndex
+from threadwell.operators.text_index import TextIndex, TrigramIndex
+from threadwell.operators.vector_index import VectorIndex
 
 #: How many times the limit each list is asked for, since the session filter comes after them.
 HYBRID_FETCH, FUSED_CAP, GREP_FETCH, FILE_FETCH, RESUME_FETCH = 5, 10, 5, 3, 3
@@ -21,12 +22,12 @@ def _allowed(df: DataFrame, allowed: DataFrame | None, session: str) -> DataFram
     return df if allowed is None else df.join(allowed, session, "left_semi")
 
 
-def fused(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, limit: int, key: str = "chunk_id", text: str = "combined_text", match: str = "any", variants: list[tuple[str, str, DataFrame | None]] = (), index: TextIndex | None = None, bonus: float = 0.0, allowed: DataFrame | None = None) -> DataFrame:
+def fused(chunks: DataFrame, vectors: DataFrame | VectorIndex, query: str, query_vector: DataFrame, limit: int, key: str = "chunk_id", text: str = "combined_text", match: str = "any", variants: list[tuple[str, str, DataFrame | None]] = (), index: TextIndex | None = None, bonus: float = 0.0, allowed: DataFrame | None = None) -> DataFrame:
     """Vector and text lists joined by rank; of the allowed sessions only, if given, for which chunks and vectors are
     already filtered and the index sums figures of its own. variants are more queries: ("lex", text, None), ("vec", text, vector) or
     ("hyde", text, vector), which is a made-up answer. bonus goes to the first of each list."""
     fetch = limit * HYBRID_FETCH
-    near = lambda q: ranked(vector_topk(vectors, q, fetch, key), "distance", key)
+    near = lambda q: ranked(vectors.search(q, fetch) if isinstance(vectors, VectorIndex) else vector_topk(vectors, q, fetch, key), "distance", key)
     words = lambda q: ranked(index.search(q, fetch, match, allowed, own_figures=allowed is not None) if index else bm25(chunks, q, fetch, key, text, match), "rank", key)
     lists = [near(query_vector), words(query)]
     lists += [words(q) if kind == "lex" else near(v) for kind, q, v in variants]
@@ -35,7 +36,7 @@ def fused(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: DataF
 
 def hybrid(
     chunks: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | VectorIndex,
     query: str,
     query_vector: DataFrame,
     limit: int = 10,
@@ -50,7 +51,8 @@ def hybrid(
     index: TextIndex | None = None,
     bonus: float = 0.0,
 ) -> DataFrame:
-    """The best chunk of each session by fused rank; words come from the index where one is given.
+    """The best chunk of each session by fused rank; words come from the index where one is given, and near vectors from
+    a clustered table if vectors is one (filtered before, all vectors are compared).
 
     filter_mode "post" filters sessions after the lists are cut, "pre" before, which loses nothing; then the index sums
     its figures over the allowed documents. Ranking works on ids and scores; the wide rows are joined to the few that
@@ -61,7 +63,7 @@ def hybrid(
     before = allowed if filter_mode == "pre" else None
     if before is not None:
         narrow = narrow.join(before, session, "left_semi")
-        vectors = vectors.join(narrow.select(key), key, "left_semi")
+        vectors = (vectors.table() if isinstance(vectors, VectorIndex) else vectors).join(narrow.select(key), key, "left_semi")
     hits = fused(narrow, vectors, query, query_vector, limit, key, text, match, variants, index, bonus, before)
     few = F.broadcast(hits)  # 10 * limit rows
     placed = _allowed(chunks.select(key, session).join(few, key), allowed, session)
@@ -71,9 +73,14 @@ def hybrid(
     return rerank(out).orderBy(F.desc("score"), key) if rerank else out
 
 
-def grep_search(chunks: DataFrame, query: str, limit: int = 10, allowed: DataFrame | None = None, key: str = "chunk_id", session: str = "session_id", text: str = "combined_text") -> DataFrame:
-    """The newest chunk of each session that holds the query; score 1."""
-    hits = _allowed(grep(chunks, query, limit * GREP_FETCH, key, text), allowed, session)
+def grep_search(chunks: DataFrame, query: str, limit: int = 10, allowed: DataFrame | None = None, key: str = "chunk_id", session: str = "session_id", text: str = "combined_text", index: TrigramIndex | None = None) -> DataFrame:
+    """The newest chunk of each session that holds the query; score 1. With an index only its candidates are read for
+    the query, and the few hits are joined to their rows."""
+    if index is None:
+        found = grep(chunks, query, limit * GREP_FETCH, key, text)
+    else:
+        found = chunks.join(F.broadcast(index.grep(query, limit * GREP_FETCH).select(key)), key, "left_semi")
+    hits = _allowed(found, allowed, session)
     return first_per_group(hits, session, F.desc(key)).orderBy(F.desc(key)).limit(limit).withColumn("score", F.lit(1.0))
 
 

@@ -25,13 +25,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwell.functions.text import query_terms, terms
+from threadwell.functions.text import ascii_lower, contains_like, query_terms, terms
 from threadwell.operators import storage
 from threadwell.operators.retrieval import bm25_of_hits, idf, weight
 
 BUCKETS = 64
 #: Documents of a block; a search opens all blocks at once where there are not this many for each wanted hit.
 BLOCK, FEW_BLOCKS = 128, 4
+#: Blocks that a filter names one by one.
+MOST_NAMED = 1000
 #: Segments of like size that are merged, and how far apart sizes of a tier may be.
 TIER = 4
 
@@ -69,7 +71,7 @@ def crowded(sizes: list[int], tier: int = TIER) -> list[int] | None:
 
 @dataclass
 class TextIndex:
-    """The index at root. Documents have a key and belong to an owner (their session)."""
+    """The index at root, of words. Documents have a key and belong to an owner (their session)."""
 
     spark: SparkSession
     root: str
@@ -77,6 +79,10 @@ class TextIndex:
     owner: str = "session_id"
     text: str = "combined_text"
     buckets: int = BUCKETS
+    #: What a text is indexed by.
+    split: Callable[[Column], Column] = terms
+    #: Whether counts and positions are of use: if not, a document is indexed by each term once, and its text is kept.
+    ranked: bool = True
 
     _manifest: dict | None = field(default=None, repr=False)
 
@@ -151,20 +157,28 @@ class TextIndex:
 
     def _write_docs(self, docs: DataFrame, name: str) -> DataFrame:
         """Number the documents in blocks: dealt by owner, a large owner in slices, and sorted by length."""
-        words = docs.select(self.key, F.col(self.owner).alias("owner"), terms(F.coalesce(self.text, F.lit(""))).alias("words"))
-        dealt = words.select(self.key, "owner", F.size("words").alias("dl"), "words", _bucket(F.col("owner"), self.buckets).alias("obucket")).repartition(F.col("obucket"), F.pmod(F.xxhash64(self.key), F.lit(16)))
+        said = F.coalesce(self.text, F.lit(""))
+        words = docs.select(self.key, F.col(self.owner).alias("owner"), self.split(said).alias("words"), *([] if self.ranked else [F.col(self.text).alias("text")]))
+        dealt = words.select(self.key, "owner", F.size("words").alias("dl"), *words.columns[2:], _bucket(F.col("owner"), self.buckets).alias("obucket")).repartition(F.col("obucket"), F.pmod(F.xxhash64(self.key), F.lit(16)))
         at = F.monotonically_increasing_id()
         numbered = dealt.sortWithinPartitions("obucket", "dl", self.key).withColumn("at", at)
         row = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-        block = F.concat_ws("-", F.lit(name[:16]), F.hex(F.shiftright("at", 33)), F.hex(F.floor(row / BLOCK).cast("long")))
-        self._save(numbered.select(self.key, "owner", "dl", "words", "obucket", block.alias("block"), (row % BLOCK).cast("int").alias("place")), name, "docs", ("obucket",))
-        return self.spark.read.parquet(f"{self.root}/segments/{name}/docs")
+        padded = lambda c: F.lpad(F.hex(c), 8, "0")  # noqa: E731  so that a file's blocks are in order
+        block = F.concat_ws("-", F.lit(name[:16]), padded(F.shiftright("at", 33)), padded(F.floor(row / BLOCK).cast("long")))
+        whole = numbered.select(self.key, "owner", "dl", *words.columns[2:], "obucket", block.alias("block"), (row % BLOCK).cast("int").alias("place"))
+        table = "docs" if self.ranked else "drafts"
+        self._save(whole, name, table, ("obucket",))
+        written = self.spark.read.parquet(f"{self.root}/segments/{name}/{table}")
+        if not self.ranked:
+            self._save(written.drop("words").repartition(F.col("obucket"), F.substring("block", 1, 25)).sortWithinPartitions("obucket", "block", "place"), name, "docs", ("obucket",))
+        return written
 
     def _write_postings(self, docs: DataFrame, name: str) -> None:
         """One shuffle of all words, by bucket and slices of blocks; a term's block is put together where it lands."""
+        positions = F.array_sort(F.collect_list("pos")) if self.ranked else F.first(F.array().cast("array<int>"))
         said = docs.select(self.key, "dl", "block", "place", F.posexplode("words").alias("pos", "term"))
         dealt = said.withColumns({"bucket": _bucket(F.col("term"), self.buckets), "slice": F.pmod(F.xxhash64("block"), F.lit(self._slices()))}).repartition("bucket", "slice")
-        each = dealt.groupBy("bucket", "slice", "term", "block", "place", self.key, "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("pos"))
+        each = dealt.groupBy("bucket", "slice", "term", "block", "place", self.key, "dl").agg(F.count("*").cast("int").alias("tf"), positions.alias("pos"))
         entry = F.struct("place", F.col(self.key).alias("key"), "tf", "dl", "pos")
         rows = each.groupBy("bucket", "slice", "term", "block").agg(F.array_sort(F.collect_list(entry)).alias("d"))
         self._save(self._posting(rows).sortWithinPartitions("bucket", "term", "block"), name, "postings", ("bucket",))
@@ -184,6 +198,7 @@ class TextIndex:
         written = self._write_docs(docs, name)
         self._write_postings(written, name)
         n = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+        storage.delete(self.spark, f"{self.root}/segments/{name}/drafts")
         return self._entry(name, n.n, n.t)
 
     def build(self, docs: DataFrame) -> TextIndex:
@@ -205,7 +220,7 @@ class TextIndex:
         if old is not None:
             hit = self._live(old.join(gone, F.col("owner").eqNullSafe(F.col("gone")), "left_semi"))
             self._save(hit.select(F.col("target").alias("victim"), "block", "place", "dl", "obucket"), name, "dead", ("obucket",))
-            words = hit.select("target", F.explode(F.array_distinct("words")).alias("term")).groupBy("target", "term").agg(F.count("*").alias("n"))
+            words = hit.withColumn("words", F.col("words") if self.ranked else F.array().cast("array<string>")).select("target", F.explode(F.array_distinct("words")).alias("term")).groupBy("target", "term").agg(F.count("*").alias("n"))
             self._save(words.select(F.col("target").alias("victim"), "term", "n", _bucket(F.col("term"), self.buckets).alias("bucket")).repartition("bucket"), name, "lost", ("bucket",))
             fresh = self._entry(name, fresh["n_docs"], fresh["terms"])
         if fresh["dead"]:
@@ -373,3 +388,53 @@ class TextIndex:
         elif least > 1:
             rows = rows.join(bounds.select("block"), "block", "left_semi")
         return rows, scored
+
+
+def trigrams(c: Column) -> Column:
+    """Each run of three characters once, A-Z lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(ascii_lower(c), F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def pattern_trigrams(part: str) -> list[str]:
+    """The trigrams that a text must have to hold part in the sense of `contains_like`: those between wildcards."""
+    low = part.translate({i: i + 32 for i in range(65, 91)})
+    return list(dict.fromkeys(run[i : i + 3] for run in re.split("[%_]", low) for i in range(len(run) - 2)))
+
+
+@dataclass
+class TrigramIndex(TextIndex):
+    """An index for LIKE: which documents have the trigrams that a pattern needs. It keeps the texts, block by block, so
+    that only blocks with candidates are read to verify them."""
+
+    split: Callable[[Column], Column] = trigrams
+    ranked: bool = False
+
+    def candidates(self, part: str) -> DataFrame | None:
+        """block and place of documents that have all trigrams of the pattern (dead ones too); None if it has none, or
+        the index has none of them."""
+        wanted = pattern_trigrams(part)
+        rows = self._postings(wanted, "places") if wanted else None
+        if rows is None:
+            return None
+        sets = rows.groupBy("block").agg(F.collect_list("places").alias("sets")).filter(F.size("sets") == len(wanted))
+        both = F.aggregate(F.slice("sets", 2, len(wanted)), F.element_at("sets", 1), lambda a, b: F.array_intersect(a, b))
+        return sets.select("block", F.explode(both).alias("place"))
+
+    def grep(self, part: str, limit: int | None = 50) -> DataFrame:
+        """key, owner and text of the documents that hold part in the sense of `contains_like`, largest key first.
+
+        A blank pattern holds nothing. One without three literal characters in a row is looked for in all texts.
+        """
+        docs = self._read("docs", "obucket")
+        if docs is None or not part.strip():
+            return self.spark.createDataFrame([], f"{self.key} {self.manifest()['key_type']}, {self.owner} string, {self.text} string")
+        wanted, found = pattern_trigrams(part), self.candidates(part)
+        if wanted:
+            if found is None:
+                return self.grep(" ")
+            blocks = [r[0] for r in found.select("block").distinct().limit(MOST_NAMED + 1).collect()]
+            if len(blocks) <= MOST_NAMED:  # named, they let the scan pass over files and row groups
+                docs = docs.filter(F.col("block").isin(blocks))
+            docs = docs.join(found, ["block", "place"], "left_semi")
+        hits = self._live(docs.filter(contains_like(F.col("text"), part))).select(self.key, F.col("owner").alias(self.owner), F.col("text").alias(self.text))
+        return hits if limit is None else hits.orderBy(F.desc(self.key)).limit(limit)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from threadwell import schema
 from threadwell.operators import dml, filters, retrieval, search, storage
-from threadwell.operators.text_index import TextIndex
+from threadwell.operators.text_index import TextIndex, TrigramIndex
+from threadwell.operators.vector_index import VectorIndex
 from threadwell.plans.stand_ins import LIVES_SQL, PROJECTS_SQL, TERMS_SQL, bm25_sql, chunks, knn_sql, lives, load, projects, query_vector, vectors
 
 QUERIES: dict = {}
@@ -25,14 +26,30 @@ def query(sql: str | None = None):
     return add
 
 
-_BUILT: dict[tuple[str, str], TextIndex] = {}
+_BUILT: dict[tuple[str, str, str], TextIndex | VectorIndex] = {}
+
+
+def _built(spark, d, kind):
+    """The documents' index of a kind, written once for each application and folder."""
+    at = spark.sparkContext.applicationId, d, kind.__name__
+    if at not in _BUILT or not storage.exists(spark, _BUILT[at].root):
+        _BUILT[at] = kind(spark, storage.scratch(spark, "text-index"), buckets=16).build(chunks(spark, d))
+    return _BUILT[at]
 
 
 def text_index(spark, d) -> TextIndex:
-    """The documents' index, written once for each application and folder."""
-    at = spark.sparkContext.applicationId, d
+    return _built(spark, d, TextIndex)
+
+
+def trigram_index(spark, d) -> TrigramIndex:
+    return _built(spark, d, TrigramIndex)
+
+
+def vector_index(spark, d) -> VectorIndex:
+    """The embeddings, clustered, written once for each application and folder."""
+    at = spark.sparkContext.applicationId, d, "vectors"
     if at not in _BUILT or not storage.exists(spark, _BUILT[at].root):
-        _BUILT[at] = TextIndex(spark, storage.scratch(spark, "text-index")).build(chunks(spark, d))
+        _BUILT[at] = VectorIndex(spark, storage.scratch(spark, "vector-index")).build(vectors(spark, d))
     return _BUILT[at]
 
 
@@ -50,6 +67,16 @@ def vector_topk_l2(spark, d):
     return retrieval.vector_topk(load(spark, d, "embeddings"), query_vector(spark, d), metric="l2").select("vec_id", rounded("distance"))
 
 
+@query(SQL["vector_topk"])
+def vector_topk_clustered(spark, d):
+    return vector_index(spark, d).search(query_vector(spark, d)).select(F.col("chunk_id").alias("vec_id"), rounded("distance"))
+
+
+@query(SQL["vector_topk_l2"])
+def vector_topk_l2_clustered(spark, d):
+    return vector_index(spark, d).search(query_vector(spark, d), metric="l2").select(F.col("chunk_id").alias("vec_id"), rounded("distance"))
+
+
 @query("SELECT label, vec_id, round(distance, 6) + 0.0 AS distance FROM (SELECT label, vec_id, distance, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS k FROM (SELECT e.label, e.vec_id, 1 - list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q)) WHERE k = 1")
 def vector_per_label_best(spark, d):
     near = retrieval.vector_distance(load(spark, d, "embeddings"), query_vector(spark, d)).select("label", "vec_id", "distance")
@@ -80,7 +107,7 @@ def fts_updated_index(spark, d):
     """Built with other texts in some sessions, which are then replaced; one of them twice."""
     own = chunks(spark, d)
     first = own.withColumn("combined_text", F.when(F.col("session_id").isin(_SOURCES), F.lit("idiot las las")).otherwise(F.col("combined_text")))
-    index = TextIndex(spark, storage.scratch(spark, "text-index")).build(first)
+    index = TextIndex(spark, storage.scratch(spark, "text-index"), buckets=8).build(first)
     index.update(first.filter("session_id = 'src3'").withColumn("combined_text", F.lit("thinnt")))
     index.update(own.filter(F.col("session_id").isin(_SOURCES)))
     return index.search("idiot thinnt las").select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
@@ -89,7 +116,7 @@ def fts_updated_index(spark, d):
 @query(SQL["fts_all"])
 def fts_merged_index(spark, d):
     own = chunks(spark, d)
-    index = TextIndex(spark, storage.scratch(spark, "text-index")).build(own.filter("session_id <> 'src1'"))
+    index = TextIndex(spark, storage.scratch(spark, "text-index"), buckets=8).build(own.filter("session_id <> 'src1'"))
     index.update(own.filter("session_id = 'src1'"))
     return index.merge().search("the from with", match="all").select(F.col("chunk_id").alias("doc_id"), rounded("rank"))
 
@@ -175,6 +202,12 @@ def hybrid(spark, d):
     return _hybrid(spark, d)
 
 
+@query(_hybrid_sql("true"))
+def hybrid_clustered(spark, d):
+    """Words from the inverted index, vectors from the clustered table."""
+    return search.hybrid(chunks(spark, d), vector_index(spark, d), "idiot the", query_vector(spark, d), index=text_index(spark, d)).select("chunk_id", "session_id", rounded("score", 9))
+
+
 @query(_hybrid_sql(_IN))
 def hybrid_filtered_post(spark, d):
     return _hybrid(spark, d, allowed=_allowed(spark, d))
@@ -222,6 +255,20 @@ def grep_session_dedup(spark, d):
     return search.grep_search(chunks(spark, d), "licensed").select("chunk_id", "session_id", "score")
 
 
+def _like_sql(pattern: str) -> str:
+    return f"SELECT doc_id AS chunk_id, source AS session_id FROM documents WHERE {_ASCII.format('text')} LIKE '%{pattern}%' ORDER BY doc_id DESC LIMIT 50"
+
+
+for _name, _part in (("grep_like_indexed", "Licensed UNDER"), ("grep_wildcard_indexed", "th_n%idi_t"), ("grep_indexed_common", "the "), ("grep_indexed_short", "x_"), ("grep_indexed_accent", "Éieran"), ("grep_indexed_nothing", "qqqzzz")):
+    SQL[_name] = _like_sql(_part.translate({i: i + 32 for i in range(65, 91)}))
+    QUERIES[_name] = lambda spark, d, part=_part: trigram_index(spark, d).grep(part).select("chunk_id", "session_id")
+
+
+@query(SQL["grep_session_dedup"])
+def grep_session_indexed(spark, d):
+    return search.grep_search(chunks(spark, d), "licensed", index=trigram_index(spark, d)).select("chunk_id", "session_id", "score")
+
+
 @query(f"WITH {LIVES_SQL} SELECT session_id, last_message_at, 1.0::DOUBLE AS score FROM lives WHERE to_json(files)::VARCHAR LIKE '%purch%' ORDER BY last_message_at DESC, session_id LIMIT 10")
 def file_contains(spark, d):
     return search.file_search(lives(spark, d), "PURCH").select("session_id", "last_message_at", "score")
