@@ -49,6 +49,30 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+#: The escapes of JSON that have a name.
+JSON_NAMES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _ascii_string(c: Column) -> Column:
+    """A string as JSON in ASCII; characters beyond the 16-bit plane become two escapes, as UTF-16 has them."""
+
+    def escaped(x: Column) -> Column:
+        units = F.lower(F.hex(F.encode(x, "UTF-16BE")))
+        out = F.when(x.rlike("^[ -~]$") & ~x.isin('"', "\\"), x)
+        for char, name in JSON_NAMES.items():
+            out = out.when(x == char, F.lit(name))
+        return out.otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r"\A[ !#-\[\]-~]*\z"), c).otherwise(whole), F.lit('"'))
+
+
+def ascii_json(c: Column) -> Column:
+    """An array of strings as JSON text in ASCII, entries parted by a comma and a space; a null entry is null, a null
+    array is null."""
+    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.coalesce(_ascii_string(x), F.lit("null"))), ", "), F.lit("]"))
+
+
 def basename(c: Column) -> Column:
     return F.substring_index(c, "/", -1)
 

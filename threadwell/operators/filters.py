@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadwell.functions.text import ascii_lower, contains_like
+from threadwell.functions.text import ascii_json, ascii_lower, contains_like
 
 
 def expand_project(sessions: DataFrame, project: str) -> DataFrame:
@@ -57,10 +57,13 @@ def grep(chunks: DataFrame, query: str, limit: int | None = 50, key: str = "chun
 
 
 def file_matches(sessions: DataFrame, query: str, limit: int | None = 20, files: str = "files_touched", key: str = "session_id") -> DataFrame:
-    """Sessions whose list of files, as JSON text, holds the query; latest first."""
+    """Sessions whose list of files, as JSON text, holds the query; latest first.
+
+    The text is ASCII, so that an accented letter of a name stands there as its escape, and is found by that alone.
+    """
     if not query.strip():
         return sessions.limit(0)
-    out = sessions.filter(contains_like(F.to_json(files), query))
+    out = sessions.filter(contains_like(ascii_json(F.col(files)), query))
     return out if limit is None else out.orderBy(F.desc("last_message_at"), key).limit(limit)
 
 

@@ -258,3 +258,13 @@ def queue_stream(spark, d):
 def change_detection_stream(spark, d):
     files = _stream(spark, d, ["user_id", "event_id", "ts", "value"]).select(F.col("user_id").alias("session_id"), F.col("ts").cast("string").alias("mtime"), F.col("event_id").alias("size"), F.floor("value").cast("long").alias("message_count"), F.col("event_id").alias("seq"))
     return _drained(spark, indexing.change_stream(files))
+
+
+@query(r"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS l FROM documents),
+c AS (SELECT doc_id, unnest(l) AS c, unnest(range(len(l))) AS i FROM l),
+e AS (SELECT doc_id, i, CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+  WHEN unicode(c) < 65536 THEN printf('\u%04x', unicode(c)) ELSE printf('\u%04x\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END AS x FROM c)
+SELECT d.doc_id, md5('["' || coalesce(string_agg(x, '' ORDER BY i), '') || '"]') AS json_md5 FROM documents d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id""")
+def ascii_json_texts(spark, d):
+    """Every whole text as a list of one, as it is searched for names of files."""
+    return load(spark, d, "documents").select("doc_id", F.md5(x.ascii_json(F.array("text")).cast("binary")).alias("json_md5"))
