@@ -17,20 +17,32 @@ _BLOCK = "struct<type: string, text: string, name: string, input: struct<file_pa
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*/*.jsonl") -> DataFrame:
-    """path, project, session_id (file stem), mtime, size, line_no and value of each line of the files one level deep.
+    """path, project, session_id (file stem), mtime, size, line_no (from 0) and value of each line of the files one
+    level deep.
 
-    A file is one row of text until it is split, so that lines keep their numbers: a log of one session, of less than
-    1 GB. Files are read side by side.
+    Files are split by bytes and read by many tasks, however large one is. A task numbers the lines of its splits as
+    they come; what a split's numbers begin at is the count of lines in the file's splits before it, from a first pass
+    that reads no more than line ends.
     """
-    files = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/{pattern}", wholetext=True)
-    return file_lines(files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size")))
+    raw = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/{pattern}")
+    meta = {"path": "file_path", "mtime": "file_modification_time", "size": "file_size", "_split": "file_block_start"}
+    lines = raw.select("value", *(F.col(f"_metadata.{v}").alias(k) for k, v in meta.items()), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("path", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select("path", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = lines.join(shifts, ["path", "_split"]).withColumn("line_no", (F.col("_id") + F.col("_shift")).cast("long"))
+    return _named(numbered).select("path", "project", "session_id", "mtime", "size", "line_no", "value")
+
+
+def _named(files: DataFrame) -> DataFrame:
+    """Files with the project and session of their path."""
+    parts = F.split("path", "/")
+    return files.withColumns({"project": F.element_at(parts, -2), "session_id": F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")})
 
 
 def file_lines(files: DataFrame) -> DataFrame:
     """The lines of files (path, mtime, size and value, their whole text), with the project and session of their path."""
-    parts = F.split("path", "/")
-    named = files.withColumns({"project": F.element_at(parts, -2), "stem": F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")})
-    return named.select("path", "project", F.col("stem").alias("session_id"), "mtime", "size", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    return _named(files).select("path", "project", "session_id", "mtime", "size", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
 def project_folders(folders: DataFrame, paths: DataFrame) -> DataFrame:
