@@ -1,6 +1,7 @@
 """The commands over a store of hand-written transcripts, and the written text index."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,44 @@ def test_daemon_reads_a_queue(spark, store, logs, tmp_path):
     assert rows(commands.stats(store), "chunks", "embedded") == [(1, 1)]
 
 
+def test_daemon_cools_down_and_embeds_beside(spark, store, logs, tmp_path):
+    queue = tmp_path / "queue"
+    queue.mkdir()
+    calls = []
+
+    def scan(paths):
+        calls.append(sorted(r.path for r in paths.collect()))
+        return transcripts.scan(spark, str(logs)).filter(F.col("session_id").isin([p.split("/")[-1].removesuffix(".jsonl") for p in calls[-1]]))
+
+    def broken(texts):
+        raise ValueError("no model")
+
+    good, store.embedder = store.embedder, broken
+    path = f"{logs}/-w-app/aaa222.jsonl"
+    (queue / "1.txt").write_text(f"{path}\n{path}\n{logs}/-w-app/aaa111/subagents/agent-c0ffee.jsonl\n/elsewhere/p/s.jsonl\n")
+    running = commands.daemon(store, str(queue), scan, str(tmp_path / "state"), root=str(logs), embed_seconds=1, cooldown=5, busy_cooldown=9, window=15)
+
+    def until(what):
+        end = time.time() + 120
+        while not what() and time.time() < end:
+            time.sleep(0.5)
+        assert what(), (calls, running.indexing.exception())
+
+    try:
+        until(lambda: store.read("sessions").count() == 1 and not running.embedding.isActive)  # the encoder fails, indexing has not
+        assert running.indexing.isActive and calls == [[path]]
+        (queue / "2.txt").write_text(f"{path}\n")
+        (queue / "3.txt").write_text(f"{path}\n")
+        until(lambda: len(calls) == 2)  # the waiting path, once
+        time.sleep(3)
+        assert calls == [[path]] * 2
+    finally:
+        running.stop()
+    store.embedder = good
+    commands.embed(store)
+    assert rows(commands.stats(store), "sessions", "chunks", "embedded") == [(1, 1, 1)]
+
+
 def test_subagents_are_read_from_files_where_none_are_stored(spark, store, logs):
     commands.index(store, transcripts.scan(spark, str(logs)))
     assert commands.list_subagents(store, "aaa111").count() == 0

@@ -5,12 +5,14 @@ Each returns a DataFrame (or several); printing is left to the caller.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from threadwell import schema
@@ -35,6 +37,8 @@ class Store:
     buckets: int = dml.BUCKETS
     embedder: hooks.Embedder = hooks.hashed_embedding
     cached: dict[str, DataFrame] = field(default_factory=dict)
+    #: Held while tables are replaced, by whichever of the daemon's queries does it.
+    lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -75,10 +79,15 @@ def stats(store: Store) -> DataFrame:
 
 
 def embed(store: Store) -> None:
-    """Vectors for the chunks that have none."""
+    """Vectors for the chunks that have none. They are made before the tables are touched, so that indexing goes on
+    meanwhile; those of chunks that have gone since are left out."""
     backlog = filters.not_embedded(store.read("chunks"), store.read("vectors"))
-    hooks.embed(backlog, store.embedder).write.mode("append").parquet(store.path("vectors"))
-    store.invalidate()
+    path = storage.scratch(store.spark, "embedded")
+    hooks.embed(backlog, store.embedder).write.parquet(path)
+    with store.lock:
+        made = store.spark.read.parquet(path).join(store.read("chunks").select("chunk_id"), "chunk_id", "left_semi")
+        filters.not_embedded(made, store.read("vectors")).write.mode("append").parquet(store.path("vectors"))
+        store.invalidate()
 
 
 def index(store: Store, lines: DataFrame, subagents: DataFrame | None = None, remotes: DataFrame | None = None, force: bool = False, wipe: bool = False, now: str | None = None) -> DataFrame:
@@ -265,16 +274,49 @@ def full_scan(store: Store, lines: DataFrame, now: str | None = None) -> DataFra
     return index(store, lines.join(changed, "session_id", "left_semi"), force=True, now=now)
 
 
-def daemon(store: Store, queue: str, scan: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = False):
-    """Index the sessions whose paths arrive in a queue folder; scan gives the lines of a batch's paths.
+@dataclass
+class Daemon:
+    """The running queries of `daemon`: one that indexes, one that embeds."""
+
+    indexing: StreamingQuery
+    embedding: StreamingQuery | None = None
+    at_end: Callable[[], None] | None = None
+
+    def awaitTermination(self) -> None:  # noqa: N802  as a query's
+        self.indexing.awaitTermination()
+        if self.at_end:
+            self.at_end()
 
-    A path that is queued many times in a batch is read once. Returns the running query.
+    def stop(self) -> None:
+        for query in (self.indexing, self.embedding):
+            if query is not None:
+                query.stop()
+
+
+def daemon(store: Store, queue: str, scan: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = False, root: str | None = None, embed_seconds: int = 30, **rule) -> Daemon:
+    """Index the sessions whose paths arrive in a queue folder, and embed their chunks beside it; scan gives the lines of
+    a batch's paths.
+
+    With root, paths that are no session's transcript below it are passed over. A session is indexed at once, or when
+    its cooldown is over (`indexing.Cooldown`, which takes rule), so no path is lost. Embedding has a query and a timer of
+    its own: if the encoder fails, that query ends and indexing goes on. With once, what is queued is indexed without
+    cooldown and embedded, and the daemon ends.
     """
+    spark = store.spark
+    arrived = indexing.read_queue(spark, queue)
+    plain = arrived.withColumn("bare", F.regexp_replace("path", "^file:/+", "/"))
+    known = transcripts.resolve_paths(plain, root, "bare") if root else plain.withColumn("session_id", F.regexp_replace(x.basename(F.col("path")), r"\.jsonl$", ""))
 
     def batch(paths: DataFrame, _: int) -> None:
-        distinct = paths.distinct()
+        distinct = paths.select("path").distinct()
         if not distinct.isEmpty():
-            full_scan(store, scan(distinct))
-            embed(store)
-
-    return indexing.index_stream(indexing.read_queue(store.spark, queue), batch, checkpoint, once=once)
+            with store.lock:
+                full_scan(store, scan(distinct))
+
+    if once:  # timers would keep it waiting for more, so nothing cools down
+        return Daemon(indexing.index_stream(known.select("path"), batch, f"{checkpoint}/index", once=True), at_end=lambda: embed(store))
+    with indexing.keyed_state(spark):
+        main = indexing.index_stream(indexing.cooled(known, **rule), batch, f"{checkpoint}/index")
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    beside = indexing.index_stream(ticks, lambda _, __: embed(store), f"{checkpoint}/embed", seconds=embed_seconds)
+    return Daemon(main, beside)

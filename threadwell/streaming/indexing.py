@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -86,6 +88,73 @@ def cooldown_stream(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame
     return narrow.groupBy(key).applyInPandasWithState(run, f"{key} {kt}, {tie} {tt}, indexed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+class Cooldown(StatefulProcessor):
+    """The cooldown by the clock: a session's paths go on at once, or when its cooldown is over, each once.
+
+    State of a session: its re-indexes of the last `window` seconds, and the path that waits. A timer lets the waiting
+    path go on, and later forgets the session: after a window without re-indexes nothing of it is left.
+    """
+
+    def __init__(self, cooldown: float = COOLDOWN, busy_cooldown: float = BUSY_COOLDOWN, window: float = BUSY_WINDOW, busy_count: int = BUSY_COUNT):
+        self.rule = cooldown, busy_cooldown, window, busy_count
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at double")
+        self.waiting = handle.getValueState("waiting", "path string")
+
+    def _decide(self, key: tuple, path: str | None, now: float) -> Iterator[pd.DataFrame]:
+        """Let the path go on or wait, and set the timer that the session needs next."""
+        cooldown, busy_cooldown, window, busy_count = self.rule
+        times = sorted(t for (t,) in self.times.get() if now - t < window)
+        ready = times[-1] + (busy_cooldown if len(times) >= busy_count else cooldown) if times else now
+        if path is not None and now >= ready:
+            times.append(now)
+            self.waiting.clear()
+            yield pd.DataFrame({"session_id": [key[0]], "path": [path], "at": [now]})
+        elif path is not None:
+            self.waiting.update((path,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if times:
+            self.times.put([(t,) for t in times])
+            wake = ready if self.waiting.exists() else times[0] + window
+            self.handle.registerTimer(int(max(wake, now) * 1000) + 1)
+        else:
+            self.times.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        path = None
+        for part in rows:
+            path = part["path"].iloc[-1] if len(part) else path
+        yield from self._decide(key, path, timerValues.getCurrentProcessingTimeInMs() / 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        path = self.waiting.get()[0] if self.waiting.exists() else None
+        yield from self._decide(key, path, timerValues.getCurrentProcessingTimeInMs() / 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def cooled(paths: DataFrame, **rule) -> DataFrame:
+    """session_id and path of a stream of those, as `Cooldown` lets them through, and when (at, in seconds); needs `keyed_state` where it starts."""
+    return paths.select("session_id", "path").groupBy("session_id").transformWithStateInPandas(Cooldown(**rule), "session_id string, path string, at double", "append", "ProcessingTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in the store that lists and timers need; the session's own choice is
+    put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose (mtime, size) are new and that have messages, in another number than was indexed."""
     old = known.select("session_id", F.col("mtime").alias("_m"), F.col("size").alias("_s"), F.col("message_count").alias("_c"))
