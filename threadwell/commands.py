@@ -48,7 +48,7 @@ class Store:
         wanted = SCHEMAS[name]
         if not storage.exists(self.spark, self.path(name)):
             return self.spark.createDataFrame([], wanted)
-        return dml.migrated(self.spark.read.option("mergeSchema", True).parquet(self.path(name)), wanted)
+        return dml.migrated(self.spark.read.schema(wanted).parquet(self.path(name)), wanted)  # columns that a file lacks are null; no footers are read
 
     def replace(self, name: str, rows: DataFrame, changed: DataFrame, key: str = "session_id") -> None:
         """Replace the rows of the changed sessions."""

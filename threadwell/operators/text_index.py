@@ -168,7 +168,7 @@ class TextIndex:
         whole = numbered.select(self.key, "owner", "dl", *words.columns[2:], "obucket", block.alias("block"), (row % BLOCK).cast("int").alias("place"))
         table = "docs" if self.ranked else "drafts"
         self._save(whole, name, table, ("obucket",))
-        written = self.spark.read.parquet(f"{self.root}/segments/{name}/{table}")
+        written = self.spark.read.schema(whole.schema).parquet(f"{self.root}/segments/{name}/{table}")  # which may be empty
         if not self.ranked:
             self._save(written.drop("words").repartition(F.col("obucket"), F.substring("block", 1, 25)).sortWithinPartitions("obucket", "block", "place"), name, "docs", ("obucket",))
         return written
