@@ -19,7 +19,7 @@ from threadwell import schema
 from threadwell.functions import hooks
 from threadwell.functions import text as x
 from threadwell.operators import dml, filters, search, storage, turns
-from threadwell.operators.text_index import TextIndex
+from threadwell.operators.text_index import BUCKETS, TextIndex
 from threadwell.sources import transcripts
 from threadwell.streaming import indexing
 
@@ -67,7 +67,7 @@ class Store:
 
     @property
     def index(self) -> TextIndex:
-        return TextIndex(self.spark, self.path("text_index"))
+        return TextIndex(self.spark, self.path("text_index"), buckets=min(BUCKETS, self.buckets))
 
     def query_vector(self, query: str) -> DataFrame:
         return self.spark.createDataFrame([([float(v) for v in self.embedder([query])[0]],)], "q array<float>")
