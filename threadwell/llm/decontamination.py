@@ -4,8 +4,8 @@
 2. Shared seeds: a bitmap of the seeds, of bounded size, goes to the tasks that read documents; what may be a seed
    there becomes a row (text, gram), and a join with the seeds tells which items share how many places with a text.
 3. Bound: tiles of k words or more that cover c words hold c / k seeds at least.
-4. Tiles: the two texts of each pair left come together, and the longest match of unmarked words, found by running
-   Karp-Rabin hashes, is marked again and again.
+4. Tiles: the two texts of each pair left come together, and the longest matches of unmarked words, found by running
+   Karp-Rabin hashes of lengths that go down by halving, are marked again and again. Matches are never listed.
 
 Texts and items go by the digest of their words' text, so copies are handled once. Neither the benchmark nor the
 documents pass through the driver.
@@ -14,7 +14,6 @@ documents pass through the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,6 @@ from threadwell.llm.components import Filter
 LEAST_BITS, MOST_BITS = 16, 27
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Pairs of equal windows that are held at once.
-PAIRS = 1 << 22
 
 
 def ngrams(h: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,83 +57,117 @@ class Windows:
         self.hashes = h[self.order]
 
 
-def _runs(pattern: np.ndarray, text: Windows) -> np.ndarray:
-    """Maximal equal stretches (length, pattern start, text start) of at least the windows' size."""
-    k = text.size
-    h = rolling(pattern, k)
+class _Side:
+    """The words of one side of a tiling, the marked ones, and running sums from which any window is hashed."""
+
+    def __init__(self, seq: np.ndarray, marked: np.ndarray):
+        self.seq, self.mark = seq, bytearray(marked.astype(np.uint8).tobytes())
+        self.sums = np.zeros(len(seq) + 1, np.uint64)
+        np.cumsum(seq * powers(_BASE, len(seq)), out=self.sums[1:])
+        self.inverse = powers(_INVERSE, len(seq))
+        self.refresh()
+
+    def refresh(self) -> None:
+        """How many unmarked words begin at each place."""
+        at = np.arange(len(self.seq))
+        stop = np.where(np.frombuffer(self.mark, np.uint8) > 0, at, len(at))
+        self.free = np.minimum.accumulate(stop[::-1])[::-1] - at
+        self.longest = int(self.free.max(initial=0))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the unmarked windows of a size, and their Karp-Rabin hashes."""
+        at = np.flatnonzero(self.free >= size)
+        return at, mix((self.sums[at + size] - self.sums[at]) * self.inverse[at])
+
+    def is_free(self, at: int, size: int) -> bool:
+        return self.mark.find(1, at, at + size) < 0
+
+
+def _shared(pattern: np.ndarray, text: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the text that lie in a window that the pattern seems to have, with a marked word after each
+    stretch of them, and their places in the text."""
+    h = np.unique(rolling(pattern, text.size))
     first, last = np.searchsorted(text.hashes, h, "left"), np.searchsorted(text.hashes, h, "right")
-    times = last - first
-    ends, parts, lo = np.cumsum(times), [], 0
-    while lo < len(h):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
-        n = times[lo:hi]
-        i = np.repeat(np.arange(lo, hi), n)
-        slot = np.repeat(first[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        j, lo = text.order[slot], hi
-        same = np.ones(len(i), bool)
-        for x in range(k):
-            same &= pattern[i + x] == text.seq[j + x]
-        parts.append(_joined(np.stack([np.ones(same.sum(), np.int64), i[same], j[same]], 1)))
-    runs = _joined(np.concatenate(parts)) if parts else np.zeros((0, 3), np.int64)
-    return runs + np.array([k - 1, 0, 0])
-
-
-def _joined(runs: np.ndarray) -> np.ndarray:
-    """Runs (windows, pattern start, text start) with those that follow each other on a diagonal made one."""
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 2] - runs[:, 1]))]
-    if not len(runs):
-        return runs
-    diagonal, end = runs[:, 2] - runs[:, 1], runs[:, 1] + runs[:, 0]
-    new = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (runs[1:, 1] != end[:-1])])
-    return np.column_stack([np.add.reduceat(runs[:, 0], new), runs[new, 1], runs[new, 2]])
+    n = last - first
+    at = np.sort(text.order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    new = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + text.size])
+    start, stop = at[new], at[np.r_[new[1:] - 1, len(at) - 1]] + text.size
+    size = stop - start + 1
+    place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    gap = np.zeros(len(place), bool)
+    gap[np.cumsum(size) - 1] = True
+    return place, gap
+
+
+def _longest(p: _Side, t: _Side, least: int, most: int) -> int:
+    """A length that no unmarked match exceeds, found by halving; less than `least` if there is none. Hashes alone
+    decide, so chance may make it too long, never too short."""
+
+    def common(size: int) -> bool:
+        return bool(np.isin(p.windows(size)[1], t.windows(size)[1]).any())
+
+    most, step = min(most, p.longest, t.longest), 1
+    if most < least or common(most):
+        return most
+    while most - step >= least and not common(most - step):  # most has none
+        most, step = most - step, 2 * step
+    low = max(most - step, least - 1)  # has one, or is too short
+    while most - low > 1:
+        middle = (low + most) // 2
+        low, most = (middle, most) if common(middle) else (low, middle)
+    return low
+
+
+def _mark_all(p: _Side, t: _Side, size: int) -> list[tuple[int, int]]:
+    """Mark the matches of the longest length, in the order of their places, each in the first free place of the text."""
+    starts, h = t.windows(size)
+    order = np.argsort(h, kind="stable")
+    starts, h = starts[order].tolist(), h[order]
+    at, own = p.windows(size)
+    first, last = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
+    some = np.flatnonzero(first < last)
+    taken, tiles = {}, []
+    for i, lo, hi in zip(at[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+        if not p.is_free(i, size):
+            continue
+        slot = taken.get(lo, lo)
+        while slot < hi and not t.is_free(starts[slot], size):  # what is marked stays so
+            slot += 1
+        taken[lo] = slot
+        for j in starts[slot:hi]:
+            if t.is_free(j, size) and np.array_equal(p.seq[i : i + size], t.seq[j : j + size]):
+                p.mark[i : i + size] = t.mark[j : j + size] = b"\1" * size
+                tiles.append((i, j))
+                break
+    return tiles
 
 
 def greedy_tiles(pattern: np.ndarray, text: np.ndarray | Windows, min_match: int) -> list[tuple[int, int, int]]:
     """Non-overlapping tiles (pattern start, text start, length), each the longest match left when it was marked.
 
-    Of equal lengths the one with the first pattern start goes first, then with the first text start. Matches are
-    kept as whole stretches in a heap; one that marks have cut into is taken apart when its turn comes, so repeated
-    words cost no more than their stretches.
+    Of equal lengths the one with the first pattern start goes first, then with the first text start. Lengths go down:
+    halving finds the next that unmarked windows of both sides share, and one pass marks all its matches. Matches are
+    never listed, so memory is that of the two texts, and time that of their words for each length that tiles have
+    (fewer than the root of twice the pattern's words) and step of halving, however often words repeat.
     """
     if not isinstance(text, Windows):
         text = Windows(np.asarray(text, np.uint64), min_match)
     pattern = np.asarray(pattern, np.uint64)
-    p_mark, t_mark, tiles = bytearray(len(pattern)), bytearray(len(text.seq)), []
-    heap = [(-n, i, j) for n, i, j in _runs(pattern, text).tolist()]
-    heapify(heap)
-    failed = 0
-    while heap:
-        if failed > 1000 + len(heap) // 4:
-            heap, failed = _possible(heap, p_mark, t_mark), 0
-            continue
-        n, i, j = heappop(heap)
-        n = -n
-        if p_mark.find(1, i, i + n) < 0 and t_mark.find(1, j, j + n) < 0:
-            p_mark[i : i + n] = t_mark[j : j + n] = b"\1" * n
-            tiles.append((i, j, n))
-            continue
-        failed, a = failed + 1, 0
-        while a <= n - min_match:  # the free parts
-            stop = min(x if x >= 0 else n for x in (p_mark.find(1, i + a, i + n) - i, t_mark.find(1, j + a, j + n) - j))
-            if stop - a >= min_match:
-                heappush(heap, (a - stop, i + a, j + a))
-            a = stop + 1
+    place, gap = _shared(pattern, text)
+    if not len(place):
+        return []
+    p, t, tiles = _Side(pattern, np.zeros(len(pattern), bool)), _Side(text.seq[np.where(gap, 0, place)], gap), []
+    size = _longest(p, t, min_match, len(pattern))
+    while size >= min_match:
+        tiles += [(i, int(place[j]), size) for i, j in _mark_all(p, t, size)]
+        p.refresh()
+        t.refresh()
+        size = _longest(p, t, min_match, size - 1)
     return tiles
 
 
-def _possible(heap: list[tuple[int, int, int]], p_mark: np.ndarray, t_mark: np.ndarray) -> list[tuple[int, int, int]]:
-    """The heap without the stretches that are marked from end to end on either side."""
-    n, i, j = np.array(heap).T
-    left = np.ones(len(n), bool)
-    for mark, at in ((p_mark, i), (t_mark, j)):
-        total = np.r_[0, np.cumsum(np.frombuffer(mark, np.uint8), dtype=np.int64)]
-        left &= total[at - n] - total[at] < -n
-    out = np.stack([n[left], i[left], j[left]], 1).tolist()
-    out = [tuple(x) for x in out]
-    heapify(out)
-    return out
-
-
 def _digest() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
