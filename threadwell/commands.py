@@ -8,9 +8,9 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -19,55 +19,79 @@ from threadwell import schema
 from threadwell.functions import hooks
 from threadwell.functions import text as x
 from threadwell.operators import dml, filters, search, storage, turns
+from threadwell.operators.snapshots import Change, Snapshot, Tables
 from threadwell.operators.text_index import BUCKETS, TextIndex
 from threadwell.sources import transcripts
 from threadwell.streaming import indexing
 
 SCHEMAS: dict[str, StructType] = {"sessions": schema.SESSIONS, "chunks": schema.CHUNKS, "vectors": schema.VECTORS, "subagents": schema.SUBAGENTS}
+#: As they are stored: vectors beside their session, which goes with them.
+STORED = {**SCHEMAS, "vectors": StructType([*schema.VECTORS.fields, schema.SESSIONS["session_id"]])}
 #: Characters of user and assistant text that are shown of a turn, and of the one asked for.
 SHOWN, HIGHLIGHTED, RECOVERED, OF_SUBAGENT = (150, 250), (300, 600), (500, 800), (500, 800)
 
 
 @dataclass
 class Store:
-    """The tables below one folder, dealt to buckets by session, with the text index and the search log."""
+    """The tables below one folder, dealt to buckets by session, with the text index and the search log.
+
+    What a command changes in tables and index counts from one commit on; commands that read keep to one snapshot.
+    """
 
     spark: SparkSession
     root: str
     buckets: int = dml.BUCKETS
     embedder: hooks.Embedder = hooks.hashed_embedding
-    cached: dict[str, DataFrame] = field(default_factory=dict)
-    #: Held while tables are replaced, by whichever of the daemon's queries does it.
+    cached: dict[str, tuple[dict, DataFrame]] = field(default_factory=dict)
+    #: Held while a change is made, by whichever of the daemon's queries does it.
     lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
+    #: Snapshots that a sweep leaves to readers.
+    keep: int = 4
+    pinned: Snapshot | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    @property
+    def tables(self) -> Tables:
+        return Tables(self.spark, self.root, STORED, self.buckets)
+
+    def snapshot(self) -> Snapshot:
+        return self.tables.latest() if self.pinned is None else self.pinned
+
+    def pin(self) -> Store:
+        """The store as it is now, whatever is committed meanwhile."""
+        return replace(self, pinned=self.snapshot())
+
     def read(self, name: str) -> DataFrame:
         """A table in today's columns; without rows if it is not there yet."""
-        wanted = SCHEMAS[name]
-        if not storage.exists(self.spark, self.path(name)):
-            return self.spark.createDataFrame([], wanted)
-        return dml.migrated(self.spark.read.schema(wanted).parquet(self.path(name)), wanted)  # columns that a file lacks are null; no footers are read
-
-    def replace(self, name: str, rows: DataFrame, changed: DataFrame, key: str = "session_id") -> None:
-        """Replace the rows of the changed sessions."""
-        dml.replace_sessions(dml.migrated(rows, SCHEMAS[name]), self.path(name), key, changed, self.buckets)
+        return self.tables.read(name, self.snapshot()).select(*SCHEMAS[name].names)
 
     def vectors(self) -> DataFrame:
-        """The vectors, kept in memory until the next change."""
-        if "vectors" not in self.cached:
-            self.cached["vectors"] = self.read("vectors").cache()
-        return self.cached["vectors"]
+        """The vectors, kept in memory until they change."""
+        now = self.snapshot().tables.get("vectors", {})
+        held = self.cached.get("vectors")
+        if held is None or held[0] != now:
+            self.invalidate()
+            held = self.cached["vectors"] = now, self.read("vectors").cache()
+        return held[1]
 
     def invalidate(self) -> None:
-        for df in self.cached.values():
+        for _, df in self.cached.values():
             df.unpersist()
         self.cached.clear()
 
+    def index_at(self, version: int) -> TextIndex:
+        return TextIndex(self.spark, self.path("text_index"), buckets=min(BUCKETS, self.buckets), at=version)
+
     @property
     def index(self) -> TextIndex:
-        return TextIndex(self.spark, self.path("text_index"), buckets=min(BUCKETS, self.buckets))
+        return self.index_at(self.snapshot().marks.get("text_index", 0))
+
+    def sweep(self) -> None:
+        """Delete what no snapshot of the last `keep` names, and what failed changes left."""
+        kept = self.tables.sweep(self.keep)
+        self.index_at(0).sweep(versions={s.marks.get("text_index", 0) for s in kept})
 
     def query_vector(self, query: str) -> DataFrame:
         return self.spark.createDataFrame([([float(v) for v in self.embedder([query])[0]],)], "q array<float>")
@@ -75,38 +99,63 @@ class Store:
 
 def stats(store: Store) -> DataFrame:
     """Sessions, summarised ones, chunks and embedded chunks."""
+    store = store.pin()
     return filters.stats(store.read("sessions"), store.read("chunks"), store.read("vectors"))
 
 
+def _embedded(store: Store, chunks: DataFrame) -> DataFrame:
+    path = storage.scratch(store.spark, "embedded")
+    hooks.embed(chunks, store.embedder).write.parquet(path)
+    return store.spark.read.parquet(path)
+
+
+def _add_vectors(store: Store, change: Change, made: DataFrame, old: DataFrame) -> None:
+    """Add those of the vectors whose chunks are still there and have none."""
+    owners = store.read("chunks").groupBy("chunk_id").agg(F.min("session_id").alias("session_id"))
+    change.append("vectors", filters.not_embedded(made.join(owners, "chunk_id"), old))
+
+
 def embed(store: Store) -> None:
     """Vectors for the chunks that have none. They are made before the tables are touched, so that indexing goes on
     meanwhile; those of chunks that have gone since are left out."""
-    backlog = filters.not_embedded(store.read("chunks"), store.read("vectors"))
-    path = storage.scratch(store.spark, "embedded")
-    hooks.embed(backlog, store.embedder).write.parquet(path)
+    before = store.pin()
+    made = _embedded(store, filters.not_embedded(before.read("chunks"), before.read("vectors")))
+    if made.isEmpty():
+        return
     with store.lock:
-        made = store.spark.read.parquet(path).join(store.read("chunks").select("chunk_id"), "chunk_id", "left_semi")
-        filters.not_embedded(made, store.read("vectors")).write.mode("append").parquet(store.path("vectors"))
-        store.invalidate()
+        change = store.tables.change()
+        now = replace(store, pinned=change.base)
+        _add_vectors(now, change, made, now.read("vectors"))
+        change.commit()
 
 
 def index(store: Store, lines: DataFrame, subagents: DataFrame | None = None, remotes: DataFrame | None = None, force: bool = False, wipe: bool = False, now: str | None = None) -> DataFrame:
     """Index the transcripts whose lines (`transcripts.scan`) are new or have changed since; returns their sessions.
 
     Sessions without messages or turns are left out. Of a session that is indexed again, summary and remote stay, and
-    its vectors go. force takes all sessions; wipe empties the tables first.
+    its vectors go. force takes all sessions; wipe puts them in the place of all tables but the subagents. All changes,
+    those of the text index too, count from one commit on.
     """
+    if not (force or wipe):
+        files = lines.groupBy("path", "session_id").agg(F.max(_iso("mtime")).alias("mtime"))
+        lines = lines.join(filters.stale(files, store.read("sessions")).select("path"), "path", "left_semi")
+    return _index_messages(store, _parsed(store, lines), subagents, remotes, wipe, now)
+
+
+def _iso(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def _parsed(store: Store, lines: DataFrame) -> DataFrame:
+    """The messages of lines, written once for all who read them."""
+    path = storage.scratch(store.spark, "messages")
+    transcripts.messages(lines).write.parquet(path)
+    return store.spark.read.parquet(path)
+
+
+def _index_messages(store: Store, msgs: DataFrame, subagents: DataFrame | None, remotes: DataFrame | None, wipe: bool, now: str | None) -> DataFrame:
     spark = store.spark
-    if wipe:
-        for name in ("sessions", "chunks", "vectors", "text_index"):
-            storage.delete(spark, store.path(name))
-        store.invalidate()
-    known = store.read("sessions")
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    files = lines.groupBy("path", "session_id").agg(F.max(iso("mtime")).alias("mtime"))
-    fresh = (files if force or wipe else filters.stale(files, known)).select("path")
-    msgs = transcripts.messages(lines.join(fresh, "path", "left_semi"))
-    at = F.lit(now) if now else iso(F.current_timestamp())
+    at = F.lit(now) if now else _iso(F.current_timestamp())
     made = transcripts.sessions(msgs).withColumns({"indexed_at": at, "parent_session_id": F.lit(None).cast("string"), "topic_summary": F.lit(None).cast("string")})
     made = transcripts.with_remotes(made, remotes) if remotes is not None else made.withColumn("git_remote", F.lit(None).cast("string"))
     ordered = turns.collect_turns(transcripts.dedup_stream(msgs), "session_id", "seq", kind="type", tools="tools")
@@ -116,20 +165,24 @@ def index(store: Store, lines: DataFrame, subagents: DataFrame | None = None, re
     cut.write.parquet(f"{path}/chunks")
     made, cut = spark.read.parquet(f"{path}/sessions"), spark.read.parquet(f"{path}/chunks")
     ids = made.select("session_id").distinct()
-    old = known.join(ids, "session_id", "left_semi").select("session_id", "topic_summary", "git_remote")
-    kept = dml.upsert_sessions(dml.migrated(old, schema.SESSIONS), dml.migrated(made, schema.SESSIONS))
-    lost = store.read("chunks").join(ids, "session_id", "left_semi").select("chunk_id")
-    left = store.read("vectors").join(lost, "chunk_id", "left_anti")
-    kept.write.parquet(f"{path}/kept")
-    storage.swap(spark, left, store.path("vectors"))
-    store.replace("chunks", cut, ids)
-    store.replace("sessions", spark.read.parquet(f"{path}/kept"), ids)
-    if subagents is not None:
-        mine = dml.migrated(subagents.withColumn("indexed_at", at), schema.SUBAGENTS)
-        store.replace("subagents", mine, mine.select("parent_session_id").distinct(), "parent_session_id")
-    text_index = store.index.update(cut, ids)
-    text_index.sweep()
-    store.invalidate()
+    with store.lock:
+        change = store.tables.change()
+        if not made.isEmpty() or wipe:
+            if wipe:
+                change.clear("sessions", "chunks", "vectors")
+            old = store.tables.read("sessions", change.now).join(ids, "session_id", "left_semi").select("session_id", "topic_summary", "git_remote")
+            kept = dml.upsert_sessions(dml.migrated(old, schema.SESSIONS), dml.migrated(made, schema.SESSIONS))
+            change.replace("vectors", None, ids)
+            change.replace("chunks", cut, ids)
+            change.replace("sessions", kept, ids)
+            text_index = store.index_at(0 if wipe else change.base.marks.get("text_index", 0)).update(cut, ids)
+            change.mark("text_index", text_index.manifest()["version"])
+        if subagents is not None:
+            mine = subagents.withColumn("indexed_at", at)
+            change.replace("subagents", mine.select(*(c for c in mine.columns if c in schema.SUBAGENTS.names)), mine, "parent_session_id")
+        if change.now.tables != change.base.tables or wipe:
+            change.commit()
+            store.sweep()
     return made
 
 
@@ -155,7 +208,7 @@ def search_command(
     bonus: float = 0.0,
 ) -> DataFrame:
     """The best hits with their sessions' columns and summaries; file goes before grep, grep before hybrid. Logged."""
-    began = time.monotonic()
+    began, store = time.monotonic(), store.pin()
     sessions, chunks = store.read("sessions"), store.read("chunks")
     given = {k: v for k, v in {"project": project, "branch": branch, "since": since, "before": before}.items() if v}
     allowed = filters.session_filter(sessions, project, branch, x.parse_date(since), x.parse_date(before))
@@ -179,12 +232,14 @@ def search_command(
 
 def cross_command(store: Store, query: str, research: DataFrame, limit: int = 10, project: str | None = None, branch: str | None = None, since: str | None = None, before: str | None = None) -> DataFrame:
     """Chat and research hits in turns."""
+    store = store.pin()
     allowed = filters.session_filter(store.read("sessions"), project, branch, x.parse_date(since), x.parse_date(before))
     return search.cross_search(store.read("chunks"), store.vectors(), research, query, store.query_vector(query), limit, allowed, index=store.index)
 
 
 def resume_command(store: Store, query: str, limit: int = 10, project: str | None = None) -> DataFrame:
     """The sessions that match best."""
+    store = store.pin()
     allowed = filters.session_filter(store.read("sessions"), project)
     return search.resume(store.read("chunks"), store.vectors(), query, store.query_vector(query), limit, allowed=allowed, index=store.index)
 
@@ -206,6 +261,7 @@ def _shortened(chunks: DataFrame, user: int, assistant: int) -> DataFrame:
 def show(store: Store, given: str, turn: int | None = None, around: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The session with its duration and number of subagents, its chunks in order (matched where they are the turn
     asked for), and its subagents. All empty if the id is unknown or ambiguous."""
+    store = store.pin()
     me = _one(store, given) or ""
     session = store.read("sessions").filter(F.col("session_id") == me)
     mine = store.read("subagents").filter(F.col("parent_session_id") == me).orderBy("first_message_at", "agent_id")
@@ -223,13 +279,17 @@ def list_subagents(store: Store, given: str, found: Callable[[str], DataFrame] |
     mine = store.read("subagents").filter(F.col("parent_session_id") == me)
     if found is not None and me and mine.isEmpty():
         fresh = dml.migrated(found(me), schema.SUBAGENTS).withColumn("indexed_at", F.coalesce("indexed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))
-        store.replace("subagents", fresh, fresh.select("parent_session_id").distinct(), "parent_session_id")
+        with store.lock:
+            change = store.tables.change()
+            change.replace("subagents", fresh, fresh, "parent_session_id")
+            change.commit()
         mine = store.read("subagents").filter(F.col("parent_session_id") == me)
     return mine.orderBy("first_message_at", "agent_id")
 
 
 def subagent(store: Store, given: str, agent: str, lines: DataFrame, raw: bool = False) -> DataFrame:
     """The turns of a session's subagent, from the lines of the subagents' logs."""
+    store = store.pin()
     sub = filters.resolve_subagent(store.read("subagents"), _one(store, given) or "", agent).select("agent_id", F.col("jsonl_path").alias("path"))
     msgs = transcripts.dedup_stream(transcripts.messages(lines.join(F.broadcast(sub), "path")))
     paired = turns.pair_turns(msgs, "agent_id", "seq", kind="type").withColumnsRenamed({"user_text": "user_content", "assistant_text": "assistant_content"})
@@ -239,39 +299,49 @@ def subagent(store: Store, given: str, agent: str, lines: DataFrame, raw: bool =
 
 def recover(store: Store, given: str, n: int = 20) -> DataFrame:
     """The last n chunks of a session, in order, in short form."""
+    store = store.pin()
     mine = filters.session_chunks(store.read("chunks"), _one(store, given) or "")
     last = filters.tail(mine, "session_id", n, "turn_number", "chunk_id")
     return _shortened(last, *RECOVERED).select("turn_number", "chunk_id", "user", "assistant").orderBy("turn_number", "chunk_id")
 
 
 def reembed(store: Store) -> DataFrame:
-    """Drop all vectors and make them anew; counts as in `stats`."""
-    empty, _ = dml.reset_vectors(store.read("chunks"), store.read("vectors"))
-    storage.swap(store.spark, empty, store.path("vectors"))
-    store.invalidate()
-    embed(store)
+    """Make all vectors anew; counts as in `stats`. The old ones count until the new ones are there."""
+    made = _embedded(store, store.read("chunks"))
+    with store.lock:
+        change = store.tables.change()
+        change.clear("vectors")
+        now = replace(store, pinned=change.base)
+        _add_vectors(now, change, made, store.tables.read("vectors", change.now))
+        change.commit()
+    embed(store)  # what came meanwhile
     return stats(store)
 
 
 def summarise(store: Store, limit: int = 50, call: Callable[[str], str | None] = hooks.first_sentence) -> DataFrame:
     """Summaries for the latest sessions that have none; returns them."""
-    wanted = filters.without_summary(store.read("sessions"), limit)
-    texts = turns.session_text(store.read("chunks").join(F.broadcast(wanted.select("session_id")), "session_id", "left_semi"), "session_id")
+    before = store.pin()
+    wanted = filters.without_summary(before.read("sessions"), limit)
+    texts = turns.session_text(before.read("chunks").join(F.broadcast(wanted.select("session_id")), "session_id", "left_semi"), "session_id")
     path = storage.scratch(store.spark, "summaries")
     hooks.summarise(texts, call).write.parquet(path)
     made = store.spark.read.parquet(path)
-    sessions = store.read("sessions").join(made.select("session_id"), "session_id", "left_semi")
-    store.replace("sessions", dml.set_summary(sessions, made), made.select("session_id"))
+    with store.lock:
+        change = store.tables.change()
+        sessions = store.tables.read("sessions", change.base).join(made.select("session_id"), "session_id", "left_semi")
+        change.replace("sessions", dml.set_summary(sessions, made), made)
+        change.commit()
     return made
 
 
 def full_scan(store: Store, lines: DataFrame, now: str | None = None) -> DataFrame:
-    """Catch up at start: index every session whose file or number of messages changed, without cooldown."""
-    msgs = transcripts.messages(lines)
+    """Catch up at start: index every session whose file or number of messages changed, without cooldown. Lines are read
+    and parsed once."""
+    msgs = _parsed(store, lines)
     counted = msgs.groupBy("session_id").agg(F.count("*").alias("message_count"))
     known = store.read("sessions").select("session_id", F.col("message_count").alias("had"))
     changed = counted.join(known, "session_id", "left").filter(F.col("had").isNull() | (F.col("had") != F.col("message_count"))).select("session_id")
-    return index(store, lines.join(changed, "session_id", "left_semi"), force=True, now=now)
+    return _index_messages(store, msgs.join(changed, "session_id", "left_semi"), None, None, False, now)
 
 
 @dataclass
@@ -310,8 +380,7 @@ def daemon(store: Store, queue: str, scan: Callable[[DataFrame], DataFrame], che
     def batch(paths: DataFrame, _: int) -> None:
         distinct = paths.select("path").distinct()
         if not distinct.isEmpty():
-            with store.lock:
-                full_scan(store, scan(distinct))
+            full_scan(store, scan(distinct))
 
     if once:  # timers would keep it waiting for more, so nothing cools down
         return Daemon(indexing.index_stream(known.select("path"), batch, f"{checkpoint}/index", once=True), at_end=lambda: embed(store))

@@ -83,21 +83,23 @@ class TextIndex:
     split: Callable[[Column], Column] = terms
     #: Whether counts and positions are of use: if not, a document is indexed by each term once, and its text is kept.
     ranked: bool = True
+    #: The version to read and to go on from (0: none), where something else records which one counts; default: the last.
+    at: int | None = None
 
     _manifest: dict | None = field(default=None, repr=False)
 
     # --- the commit log
 
     def manifest(self) -> dict:
-        """The last manifest; read once."""
+        """The manifest that counts; read once."""
         if self._manifest is None:
-            self._manifest = {"version": 0, "segments": [], "key_type": "bigint"}
-            for name in sorted(storage.names(self.spark, f"{self.root}/manifests"), reverse=True):
-                if name.isdigit():
-                    self._manifest = json.loads(storage.read_text(self.spark, f"{self.root}/manifests/{name}"))
-                    break
+            version = max(self._versions(), default=0) if self.at is None else self.at
+            self._manifest = json.loads(storage.read_text(self.spark, f"{self.root}/manifests/{version:012d}")) if version else {"version": 0, "segments": [], "key_type": "bigint"}
         return self._manifest
 
+    def _versions(self) -> list[int]:
+        return [int(n) for n in storage.names(self.spark, f"{self.root}/manifests") if n.isdigit()]
+
     def refresh(self) -> TextIndex:
         """Forget the manifest, after another process has committed one."""
         self._manifest = None
@@ -108,17 +110,21 @@ class TextIndex:
         return list(range(len(self.manifest()["segments"])))
 
     def _commit(self, segments: list[dict], **more) -> None:
-        now = {**self.manifest(), **more, "version": self.manifest()["version"] + 1, "segments": segments}
+        last = self.manifest()["version"] if self.at is None else max(self._versions(), default=0)
+        now = {**self.manifest(), **more, "version": last + 1, "segments": segments}
         storage.put_text(self.spark, f"{self.root}/manifests/{now['version']:012d}", json.dumps(now))
         self._manifest = now
-
-    def sweep(self, keep: int = 2) -> None:
-        """Delete all but the last `keep` manifests and what they name: what others left unfinished or has been merged.
-        Not while another process writes; a reader that holds an older manifest must refresh."""
-        names = sorted(n for n in storage.names(self.spark, f"{self.root}/manifests") if n.isdigit())
-        kept = {s["name"] for n in names[-keep:] for s in json.loads(storage.read_text(self.spark, f"{self.root}/manifests/{n}"))["segments"]}
+        if self.at is not None:
+            self.at = now["version"]
+
+    def sweep(self, keep: int = 2, versions: set[int] | None = None) -> None:
+        """Delete all but the last `keep` manifests (or those of the given versions) and what they name: what others left
+        unfinished or has been merged. Not while another process writes; a reader that holds an older manifest must refresh."""
+        left = sorted(self._versions())
+        left = [f"{v:012d}" for v in (left[-keep:] if versions is None else left) if versions is None or v in versions]
+        kept = {s["name"] for n in left for s in json.loads(storage.read_text(self.spark, f"{self.root}/manifests/{n}"))["segments"]}
         for name in storage.names(self.spark, f"{self.root}/manifests"):
-            if name not in names[-keep:]:
+            if name not in left:
                 storage.delete(self.spark, f"{self.root}/manifests/{name}")
         for name in storage.names(self.spark, f"{self.root}/segments"):
             if name not in kept:
