@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadwell import schema
 from threadwell.operators import dml, filters, retrieval, search, storage
+from threadwell.operators.snapshots import Tables
 from threadwell.operators.text_index import TextIndex, TrigramIndex
 from threadwell.operators.vector_index import VectorIndex
 from threadwell.plans.stand_ins import LIVES_SQL, PROJECTS_SQL, TERMS_SQL, bm25_sql, chunks, knn_sql, lives, load, projects, query_vector, vectors
@@ -470,3 +471,58 @@ def migrated_columns(spark, d):
     old = load(spark, d, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("dropped"))
     new = dml.migrated(old, schema.SESSIONS)
     return new.select("session_id", "topic_summary", F.lit(len(new.columns)).alias("n_columns"))
+
+
+_AFTER = f"SELECT * FROM events WHERE event_type <> 'view' OR user_id NOT IN (SELECT session_id FROM lives WHERE first_message_at < '{_CUT}')"
+
+
+@query(f"WITH {LIVES_SQL}, after AS ({_AFTER}) SELECT 'before' AS reader, count(*) AS events, count(DISTINCT user_id) AS sessions, count(*)::BIGINT AS counted FROM events UNION ALL SELECT 'after', count(*), count(DISTINCT user_id), count(*)::BIGINT FROM after")
+def snapshot_readers(spark, d):
+    """Events and their counts by user are stored by one commit; another takes the views of early users out of both. A
+    reader of the first snapshot sees neither change, one of the second sees both."""
+    events = load(spark, d, "events").select(F.col("user_id").alias("session_id"), "event_id", "event_type")
+    rollup = lambda df: df.groupBy("session_id").agg(F.count("*").alias("n"))
+    tables = Tables(spark, storage.scratch(spark, "snapshots"), {"events": events.schema, "sessions": rollup(events).schema}, buckets=8)
+    first = tables.change()
+    first.append("events", events)
+    first.append("sessions", rollup(events))
+    before = first.commit()
+    early = lives(spark, d).filter(F.col("first_message_at") < _CUT).select("session_id")
+    left = events.filter("event_type <> 'view'").join(early, "session_id", "left_semi")
+    second = tables.change()
+    second.replace("events", left, early)
+    second.replace("sessions", rollup(left), early)
+    second.commit()
+
+    def seen(reader, at):
+        sessions = tables.read("sessions", at).agg(F.count("*").alias("sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("counted"))
+        return tables.read("events", at).agg(F.lit(reader).alias("reader"), F.count("*").alias("events")).join(sessions)  # a row each
+
+    return seen("before", before).unionByName(seen("after", tables.latest()))
+
+
+@query(f"WITH {LIVES_SQL} SELECT session_id, message_count FROM lives WHERE first_message_at >= '{_CUT}' AND message_count > 2 ORDER BY first_message_at DESC, session_id LIMIT 50")
+def unsummarised(spark, d):
+    own = lives(spark, d).withColumn("topic_summary", F.when(F.col("first_message_at") < _CUT, "kept"))
+    return filters.without_summary(own).select("session_id", "message_count")
+
+
+@query(f"WITH {LIVES_SQL} SELECT session_id, coalesce(c_name, CASE WHEN first_message_at < '{_CUT}' THEN 'kept' END) AS topic_summary FROM lives LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = session_id")
+def summaries_set(spark, d):
+    """Summaries replace those that were there; sessions without one keep theirs."""
+    own = lives(spark, d).withColumn("topic_summary", F.when(F.col("first_message_at") < _CUT, "kept"))
+    made = load(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("summary"))
+    return dml.set_summary(own, made).select("session_id", "topic_summary")
+
+
+@query(f"""WITH {LIVES_SQL}, {PROJECTS_SQL}, h AS (SELECT session_id::VARCHAR AS s, round_even(message_count / 7.0, 4) AS score, 'p' || split_part(project_path, '/p', 2) AS project, message_count AS turn FROM lives JOIN projects USING (session_id) ORDER BY message_count DESC, session_id LIMIT 20)
+SELECT 'busy' AS query, 'file' AS mode, count(*) AS results, '2024' AS since, string_agg(s || ':' || project || ':' || turn || ':' || round(score * 10000)::BIGINT, ',' ORDER BY turn DESC, s) AS hits FROM h""")
+def search_log_fields(spark, d):
+    """The log of a search by filters: hits with project, turn and score, and the filters given."""
+    both = lives(spark, d).join(projects(spark, d), "session_id").orderBy(F.desc("message_count"), "session_id").limit(20)
+    hits = both.select("session_id", (F.col("message_count") / 7).alias("score"), "project_path", F.col("message_count").alias("turn_number"))
+    path = storage.scratch(spark, "search-log")
+    search.log_search(hits, "busy", "file", 1.0, path, filters={"since": "2024"})
+    row = spark.read.schema("query string, mode string, results long, filters map<string, string>, hits array<struct<session: string, score: double, project: string, turn: long>>").json(path)
+    listed = F.transform("hits", lambda h: F.concat_ws(":", h["session"], h["project"], h["turn"].cast("string"), F.round(h["score"] * 10000).cast("long").cast("string")))
+    return row.select("query", "mode", "results", F.col("filters")["since"].alias("since"), F.array_join(listed, ",").alias("hits"))
