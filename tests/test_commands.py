@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from threadwell import commands
 from threadwell.functions import hooks
-from threadwell.operators import dml, retrieval
+from threadwell.operators import dml, retrieval, storage
 from threadwell.operators.text_index import TextIndex
 from threadwell.sources import transcripts
 
@@ -144,6 +144,37 @@ def test_daemon_cools_down_and_embeds_beside(spark, store, logs, tmp_path):
     assert rows(commands.stats(store), "sessions", "chunks", "embedded") == [(1, 1, 1)]
 
 
+def test_index_counts_as_a_whole_or_not_at_all(spark, store, logs, monkeypatch):
+    """The driver is lost between the writes of tables, index and manifest; readers keep to what they began with."""
+    commands.index(store, transcripts.scan(spark, str(logs)).filter("session_id = 'aaa222'"))
+    commands.embed(store)
+
+    def seen(at):
+        found = at.index.search("permission zebra", None).select("chunk_id").collect()
+        return rows(commands.stats(at), "sessions", "chunks", "embedded"), sorted(r[0] for r in found), sorted(r[0] for r in rows(at.read("chunks"), "combined_text"))
+
+    before, was = store.pin(), seen(store)
+    write(logs, "-w-app", "aaa222", [line("user", "zebra " + "x" * 700, 6, "aaa222"), line("assistant", "ok " + "y" * 700, 6, "aaa222")])
+    again = lambda **kw: commands.index(store, transcripts.scan(spark, str(logs)).filter("session_id = 'aaa222'"), force=True, **kw)
+    put = storage.put_text
+    for failing in (f"{store.root}/text_index/manifests", f"{store.root}/manifests"):
+
+        def lost(spark, path, text, failing=failing):
+            if path.startswith(failing):
+                raise OSError("lost")
+            put(spark, path, text)
+
+        with monkeypatch.context() as m:
+            m.setattr(storage, "put_text", lost)
+            with pytest.raises(OSError, match="lost"):
+                again(wipe=failing.endswith("text_index/manifests"))
+        assert seen(store) == was
+    again()
+    now = seen(store)
+    assert now[0] == [(1, 1, 0)] and len(now[1]) == 1 and "zebra" in now[2][0]
+    assert seen(before) == was
+
+
 def test_subagents_are_read_from_files_where_none_are_stored(spark, store, logs):
     commands.index(store, transcripts.scan(spark, str(logs)))
     assert commands.list_subagents(store, "aaa111").count() == 0
