@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadwell.functions.text import contains_like, like
 from threadwell.operators import filters, retrieval, storage, text_index
 from threadwell.operators.text_index import TextIndex, TrigramIndex, crowded, pattern_trigrams, query_units
 
@@ -163,3 +165,41 @@ def test_grep_by_trigrams(spark, tmp_path, monkeypatch):
     assert pattern_trigrams("abCd_ef%ghi") == ["abc", "bcd", "ghi"] and pattern_trigrams("a_b%") == []
     found = index.candidates("aab")
     assert found is None or found.count() < 63
+
+
+def moved(spark, folder):
+    """Bytes shuffled and spilled, and the largest share of memory of a task, of the stages that ran after `folder` = None."""
+    gateway = spark.sparkContext._gateway
+    found = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    stages = [found.apply(i) for i in range(found.size())]
+    return {s.stageId(): (s.shuffleWriteBytes(), s.memoryBytesSpilled(), s.peakExecutionMemory()) for s in stages if folder is None or s.stageId() not in folder}
+
+
+def test_words_are_not_shuffled(spark, tmp_path):
+    """What a build and a merge shuffle is at most the texts and small figures, for words and for trigrams alike."""
+    rng = random.Random(1)
+    docs = [(i, f"s{i % 9}", " ".join(f"{rng.randrange(1 << 40):x}" for _ in range(200))) for i in range(600)]
+    size = sum(len(t) for _, _, t in docs)
+    df = spark.createDataFrame(docs, SCHEMA)
+    for kind in (TextIndex, TrigramIndex):
+        seen = moved(spark, None)
+        index = kind(spark, str(tmp_path / kind.__name__), buckets=3).build(df)
+        assert sum(s for s, _, _ in moved(spark, seen).values()) < 1.1 * size
+        index.update(df.filter("session_id in ('s1', 's2')"))
+        seen = moved(spark, None)
+        assert len(index.merge().segments()) == 1
+        assert sum(s for s, _, _ in moved(spark, seen).values()) < 0.1 * size
+
+
+def test_stretches_between_wildcards(spark):
+    """A stretch is looked for once, after the one before it; characters of regular expressions stand for themselves."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab.*\\E^😀É\n_%") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for part in ("a%b", "A_%.%b", "\\E%*", "^%a%b", "😀%_É", "%a%", "b%\n", "a%%b"):
+        want = df.filter(like(F.col("t"), f"%{part}%")).collect()
+        assert df.filter(contains_like(F.col("t"), part)).collect() == want, part
+    slow = spark.createDataFrame([("ab" * 20_000,)], "t string")
+    begun = time.time()
+    assert slow.filter(contains_like(F.col("t"), "ab%ab%abc")).count() == 0  # by LIKE each place of the first is tried with each of the second
+    assert time.time() - begun < 20

@@ -24,13 +24,21 @@ def like(c: Column, pattern: str) -> Column:
 
 
 def contains_like(c: Column, part: str) -> Column:
-    """`like` anywhere in the text."""
-    return like(c, f"%{part}%")
+    """`like` anywhere in the text.
+
+    Of several stretches between wildcards each is looked for once, at its first place after the one before: LIKE's own
+    pattern goes back for all places of the first before it gives up.
+    """
+    runs = [r for r in part.translate(str.maketrans(_UPPER, _LOWER)).split("%") if r]
+    if len(runs) < 2 or "\u0001" in part:
+        return like(c, f"%{part}%")
+    char = lambda x: "." if x == "_" else "\\" + x if x.isascii() and not x.isalnum() else x
+    return F.rlike(ascii_lower(c), F.lit(r"(?s)\A" + "".join("(?>.*?" + "".join(map(char, r)) + ")" for r in runs)))
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks, as words are indexed."""
-    return F.translate(F.lower(c), *ACCENTS)
+    """Lower case without marks, as words are indexed. ASCII has no marks, and is not looked through for them."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(F.lower(c), *ACCENTS))
 
 
 def terms(c: Column) -> Column:

@@ -8,8 +8,9 @@ crash leaves nothing but an orphan, which `sweep` removes; a reader keeps to the
 one writer at a time.
 
 Documents are numbered in blocks of BLOCK, of like length. A posting is a row for a term and a block: places, keys,
-counts, lengths and positions in arrays, and the largest count and least length, which bound the block's scores. A
-top-k search opens only blocks whose bounds reach the score of the k-th best document of the most promising blocks.
+counts, lengths and positions in arrays, and the largest count and least length, which bound the block's scores. Texts
+are shuffled once, to their blocks; postings are put together where a block lies and written from there, and merges
+filter and sort them where they are read, so that neither words nor postings are shuffled. A top-k search opens only blocks whose bounds reach the score of the k-th best document of the most promising blocks.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ import json
 import math
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwell.functions.text import ascii_lower, contains_like, query_terms, terms
+from threadwell.functions.text import contains_like, query_terms, terms
 from threadwell.operators import storage
 from threadwell.operators.retrieval import bm25_of_hits, idf, weight
 
@@ -34,6 +39,11 @@ BUCKETS = 64
 BLOCK, FEW_BLOCKS = 128, 4
 #: Blocks that a filter names one by one.
 MOST_NAMED = 1000
+#: What a task that writes an index takes at most, and rows of a batch that goes to Python: postings, which such a task
+#: sorts, are some ten times the size of compressed texts.
+TASK_BYTES, BATCH_ROWS = "16MB", 256
+#: Characters whose trigrams are taken at once.
+STRETCH = 1 << 20
 #: Segments of like size that are merged, and how far apart sizes of a tier may be.
 TIER = 4
 
@@ -42,11 +52,112 @@ def _bucket(c: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
 
+def _out(dead: DataFrame) -> DataFrame:
+    """The dead places of each block: BLOCK at most."""
+    return dead.groupBy("block").agg(F.collect_set(F.col("place").cast("smallint")).alias("out"))
+
+
 def _less(i: int) -> Callable[[Column], Column]:
     """A function of one column, for `transform`, that takes i away."""
     return lambda p: p - F.lit(i)
 
 
+@contextmanager
+def _small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Tasks of TASK_BYTES and batches of BATCH_ROWS, for what is run within."""
+    names = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES, "spark.sql.files.maxPartitionBytes": TASK_BYTES, "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": True}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come block by block (last column but one, then place), in batches that end where a block ends."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        blocks = b.column(b.num_columns - 2)
+        cut = blocks.index(blocks[-1]).as_py()  # where the last block begins
+        if rest and (cut or blocks[0] != rest[-1].column(b.num_columns - 2)[-1]):
+            yield pa.concat_batches([*rest, b.slice(0, cut)])
+            rest = []
+        elif cut:
+            yield b.slice(0, cut)
+        rest.append(b.slice(cut))
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def _numbered(blocks: pa.Array) -> np.ndarray:
+    """The number of each row's block, from 0."""
+    return blocks.dictionary_encode().indices.to_numpy()
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before; 0 is one."""
+    differ = np.ones(len(columns[0]), bool)
+    differ[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(differ)
+
+
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+def _inverted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings, without bucket, of documents (key, dl, words, block, place) that come block by block."""
+    for b in _whole_blocks(batches):
+        key, dl, words, blocks, place = b.columns
+        dl, place = dl.to_numpy(), place.to_numpy()
+        said = words.flatten().dictionary_encode()
+        if not len(said):
+            continue
+        row = np.repeat(np.arange(len(b)), dl)
+        pos = (np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)).astype(np.int32)
+        at = said.indices.to_numpy().astype(np.int64) * len(b) + row
+        order = np.argsort(at, kind="stable")
+        entry = _firsts(at[order])  # a term in a document
+        term, of = said.indices.to_numpy()[order][entry], row[order][entry]
+        tf = np.diff(np.append(entry, len(row))).astype(np.int32)
+        group = _firsts(term, _numbered(blocks)[of])  # a term in a block
+        n = np.diff(np.append(group, len(of))).astype(np.int32)
+        lists = [_lists(group, x) for x in (pa.array(place[of]), key.take(pa.array(of)), pa.array(tf), pa.array(dl[of]), _lists(entry, pa.array(pos[order])))]
+        figures = [pa.array(x) for x in (n, np.maximum.reduceat(tf, group), np.minimum.reduceat(dl[of], group))]
+        yield pa.RecordBatch.from_arrays([said.dictionary.take(pa.array(term[group])), blocks.take(pa.array(of[group])), *figures, *lists], ["term", "block", "n", "max_tf", "min_dl", "places", "keys", "tfs", "dls", "pos"])
+
+
+def _trigrams(text: bytes) -> np.ndarray:
+    """Each run of three characters once, A-Z lower-cased, as three code points of 21 bits in a number, ascending."""
+    chars = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    chars[(chars >= 65) & (chars <= 90)] += 32
+    at = range(0, max(len(chars) - 2, 0), STRETCH)
+    parts = [np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:]) for x in (chars[i : i + STRETCH + 2] for i in at)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.zeros(0, np.int64), *parts]))
+
+
+def _inverted_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, block, n and places of the trigrams of texts (text, block, place) that come block by block."""
+    for b in _whole_blocks(batches):
+        text, blocks, place = b.columns
+        held = [_trigrams(x or b"") for x in text.cast(pa.binary()).to_pylist()]
+        row, run = np.repeat(np.arange(len(b)), [len(x) for x in held]), np.concatenate(held)
+        if not len(run):
+            continue
+        order = np.argsort(run, kind="stable")
+        run, row = run[order], row[order]
+        group = _firsts(run, _numbered(blocks)[row])
+        first = run[group]
+        spelt = np.stack([first >> 42, first >> 21 & 0x1FFFFF, first & 0x1FFFFF], 1).astype(np.uint32).tobytes().decode("utf-32-le")
+        columns = [pa.array([spelt[i : i + 3] for i in range(0, len(spelt), 3)], pa.string()), blocks.take(pa.array(row[group])), pa.array(np.diff(np.append(group, len(row))).astype(np.int32)), _lists(group, pa.array(place.to_numpy()[row]))]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "places"])
+
+
 def query_units(query: str) -> list[tuple[str, ...]]:
     """What a query asks for, in order and each once: terms, and phrases as several terms. Words in double quotes are a
     phrase, and so are words joined by hyphens or underscores; other punctuation only parts terms."""
@@ -81,7 +192,7 @@ class TextIndex:
     buckets: int = BUCKETS
     #: What a text is indexed by.
     split: Callable[[Column], Column] = terms
-    #: Whether counts and positions are of use: if not, a document is indexed by each term once, and its text is kept.
+    #: Whether counts and positions are of use: if not, a document is indexed by each trigram once, and its text is kept.
     ranked: bool = True
     #: The version to read and to go on from (0: none), where something else records which one counts; default: the last.
     at: int | None = None
@@ -149,8 +260,15 @@ class TextIndex:
 
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows (with block and place) of documents that no later segment replaces."""
-        dead = self._dead()
-        return rows if dead is None else rows.join(dead.select("block", "place"), ["block", "place"], "left_anti")
+        return self._without(rows, self._dead())
+
+    @staticmethod
+    def _without(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
+        """Rows of documents that are not dead. A row for each block that has dead ones is broadcast (some two bytes a
+        dead document), so the rows, which may be wide, stay where they are."""
+        if dead is None:
+            return rows
+        return rows.join(F.broadcast(_out(dead)), "block", "left").filter(F.col("out").isNull() | ~F.array_contains("out", F.col("place").cast("smallint"))).drop("out")
 
     def _dead(self, targets: list[dict] | None = None) -> DataFrame | None:
         dead, live = self._read("dead", "obucket"), [s["name"] for s in (self.manifest()["segments"] if targets is None else targets)]
@@ -158,42 +276,29 @@ class TextIndex:
 
     # --- writing
 
-    def _slices(self) -> int:
-        return max(16, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
-
-    def _write_docs(self, docs: DataFrame, name: str) -> DataFrame:
-        """Number the documents in blocks: dealt by owner, a large owner in slices, and sorted by length."""
-        said = F.coalesce(self.text, F.lit(""))
-        words = docs.select(self.key, F.col(self.owner).alias("owner"), self.split(said).alias("words"), *([] if self.ranked else [F.col(self.text).alias("text")]))
-        dealt = words.select(self.key, "owner", F.size("words").alias("dl"), *words.columns[2:], _bucket(F.col("owner"), self.buckets).alias("obucket")).repartition(F.col("obucket"), F.pmod(F.xxhash64(self.key), F.lit(16)))
+    def _numbered_docs(self, docs: DataFrame, name: str) -> DataFrame:
+        """The documents in blocks: dealt by owner, a large owner to several tasks, and sorted by the length of their
+        texts. Of equal keys the texts decide, so that a task that is run again numbers them alike."""
+        rows = docs.select(self.key, F.col(self.owner).alias("owner"), F.col(self.text).alias("text"), _bucket(F.col(self.owner), self.buckets).alias("obucket"))
         at = F.monotonically_increasing_id()
-        numbered = dealt.sortWithinPartitions("obucket", "dl", self.key).withColumn("at", at)
+        numbered = rows.hint("rebalance", "obucket").sortWithinPartitions("obucket", F.octet_length("text"), self.key, F.xxhash64("text")).withColumn("at", at)
         row = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
         padded = lambda c: F.lpad(F.hex(c), 8, "0")  # noqa: E731  so that a file's blocks are in order
         block = F.concat_ws("-", F.lit(name[:16]), padded(F.shiftright("at", 33)), padded(F.floor(row / BLOCK).cast("long")))
-        whole = numbered.select(self.key, "owner", "dl", *words.columns[2:], "obucket", block.alias("block"), (row % BLOCK).cast("int").alias("place"))
-        table = "docs" if self.ranked else "drafts"
-        self._save(whole, name, table, ("obucket",))
-        written = self.spark.read.schema(whole.schema).parquet(f"{self.root}/segments/{name}/{table}")  # which may be empty
-        if not self.ranked:
-            self._save(written.drop("words").repartition(F.col("obucket"), F.substring("block", 1, 25)).sortWithinPartitions("obucket", "block", "place"), name, "docs", ("obucket",))
-        return written
+        content = [F.length(F.coalesce("text", F.lit(""))).alias("dl"), F.col("text")]
+        if self.ranked:
+            numbered = numbered.withColumn("words", self.split(F.coalesce("text", F.lit(""))))
+            content = [F.size("words").alias("dl"), F.col("words")]
+        return numbered.select(self.key, "owner", *content, "obucket", block.alias("block"), (row % BLOCK).cast("int").alias("place"))
 
     def _write_postings(self, docs: DataFrame, name: str) -> None:
-        """One shuffle of all words, by bucket and slices of blocks; a term's block is put together where it lands."""
-        positions = F.array_sort(F.collect_list("pos")) if self.ranked else F.first(F.array().cast("array<int>"))
-        said = docs.select(self.key, "dl", "block", "place", F.posexplode("words").alias("pos", "term"))
-        dealt = said.withColumns({"bucket": _bucket(F.col("term"), self.buckets), "slice": F.pmod(F.xxhash64("block"), F.lit(self._slices()))}).repartition("bucket", "slice")
-        each = dealt.groupBy("bucket", "slice", "term", "block", "place", self.key, "dl").agg(F.count("*").cast("int").alias("tf"), positions.alias("pos"))
-        entry = F.struct("place", F.col(self.key).alias("key"), "tf", "dl", "pos")
-        rows = each.groupBy("bucket", "slice", "term", "block").agg(F.array_sort(F.collect_list(entry)).alias("d"))
-        self._save(self._posting(rows).sortWithinPartitions("bucket", "term", "block"), name, "postings", ("bucket",))
-
-    @staticmethod
-    def _posting(rows: DataFrame) -> DataFrame:
-        """Rows with the entries d of a term's block as postings."""
-        d = {"places": "place", "keys": "key", "tfs": "tf", "dls": "dl", "pos": "pos"}
-        return rows.select("bucket", "term", "block", F.size("d").alias("n"), F.array_max("d.tf").alias("max_tf"), F.array_min("d.dl").alias("min_dl"), *(F.col(f"d.{v}").alias(k) for k, v in d.items()))
+        """Each task turns the blocks that it has into postings and writes them to their buckets; nothing is shuffled."""
+        if self.ranked:
+            kind = docs.schema[self.key].dataType.simpleString()
+            rows = docs.select(self.key, "dl", "words", "block", "place").mapInArrow(_inverted_words, f"term string, block string, n int, max_tf int, min_dl int, places array<int>, keys array<{kind}>, tfs array<int>, dls array<int>, pos array<array<int>>")
+        else:
+            rows = docs.select("text", "block", "place").mapInArrow(_inverted_trigrams, "term string, block string, n int, places array<int>")
+        self._save(rows.withColumn("bucket", _bucket(F.col("term"), self.buckets)).sortWithinPartitions("bucket", "term", "block"), name, "postings", ("bucket",))
 
     def _entry(self, name: str, n_docs: int, n_terms: int) -> dict:
         """A segment in the manifest: its live documents and terms, and which buckets of each table it has."""
@@ -201,10 +306,15 @@ class TextIndex:
         return {"name": name, "n_docs": n_docs, "terms": n_terms, **have}
 
     def _segment(self, docs: DataFrame, name: str) -> dict:
-        written = self._write_docs(docs, name)
-        self._write_postings(written, name)
-        n = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-        storage.delete(self.spark, f"{self.root}/segments/{name}/drafts")
+        """Write docs and postings from one numbering, which is kept on the executors' disks until both are there."""
+        with _small_tasks(self.spark):
+            numbered = self._numbered_docs(docs, name).persist(StorageLevel.DISK_ONLY)
+            try:
+                self._save(numbered, name, "docs", ("obucket",))
+                self._write_postings(numbered, name)
+                n = numbered.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+            finally:
+                numbered.unpersist()
         return self._entry(name, n.n, n.t)
 
     def build(self, docs: DataFrame) -> TextIndex:
@@ -244,23 +354,32 @@ class TextIndex:
             self._merge(self.segments())
         return self
 
+    def _arrays(self) -> dict[str, str]:
+        """The arrays of a posting, and what an entry of each is called."""
+        return {"places": "place", "keys": "key", "tfs": "tf", "dls": "dl", "pos": "pos"} if self.ranked else {"places": "place"}
+
+    def _left(self, rows: DataFrame, dead: DataFrame) -> DataFrame:
+        """Postings without the dead documents; blocks that have none dead are passed through as they are."""
+        d = F.when(F.col("out").isNotNull(), F.filter(F.arrays_zip(*(F.col(a).alias(b) for a, b in self._arrays().items())), lambda e: ~F.array_contains("out", e["place"].cast("smallint"))))
+        cut = rows.join(F.broadcast(_out(dead)), "block", "left").withColumn("d", d).filter(F.col("d").isNull() | (F.size("d") > 0))
+        new = {a: F.col(f"d.{b}") for a, b in self._arrays().items()} | {"n": F.size("d")}
+        if self.ranked:
+            new |= {"max_tf": F.array_max("d.tf"), "min_dl": F.array_min("d.dl")}
+        return cut.withColumns({c: F.when(F.col("d").isNull(), F.col(c)).otherwise(v) for c, v in new.items()}).drop("d", "out")
+
     def _merge(self, which: list[int]) -> None:
-        """Make one segment of several, from their postings: dead documents are left out, texts are not read again."""
+        """Make one segment of several, from their postings: dead documents are left out, texts are not read again and
+        nothing is shuffled."""
         have = self.manifest()["segments"]
         parts, rest = [have[i] for i in which], [s for i, s in enumerate(have) if i not in which]
         name, dead = uuid.uuid4().hex, self._dead(parts)
         docs, rows = self._read("docs", "obucket", parts), self._read("postings", "bucket", parts)
-        if docs is not None:
-            kept = docs if dead is None else docs.join(dead.select("block", "place"), ["block", "place"], "left_anti")
-            self._save(kept.drop("target").repartition(F.col("obucket"), F.pmod(F.xxhash64("block"), F.lit(16))).sortWithinPartitions("obucket", "block", "place"), name, "docs", ("obucket",))
-        if rows is not None:
-            entries = F.arrays_zip(*(F.col(a).alias(b) for a, b in (("places", "place"), ("keys", "key"), ("tfs", "tf"), ("dls", "dl"), ("pos", "pos"))))
-            rows = rows.select("bucket", "term", "block", entries.alias("d"))
-            if dead is not None:
-                out = dead.groupBy("block").agg(F.collect_set("place").alias("out"))  # BLOCK places at most
-                rows = rows.join(out, "block", "left").withColumn("d", F.when(F.col("out").isNull(), F.col("d")).otherwise(F.filter("d", lambda e: ~F.array_contains("out", e["place"])))).filter(F.size("d") > 0)
-            dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(self._slices())))
-            self._save(self._posting(dealt).sortWithinPartitions("bucket", "term", "block"), name, "postings", ("bucket",))
+        with _small_tasks(self.spark):
+            if docs is not None:
+                self._save(self._without(docs.drop("target"), dead).sortWithinPartitions("obucket", "block", "place"), name, "docs", ("obucket",))
+            if rows is not None:
+                rows = rows.drop("target")
+                self._save((rows if dead is None else self._left(rows, dead)).sortWithinPartitions("bucket", "term", "block"), name, "postings", ("bucket",))
         others = [s["name"] for s in rest]
         for table, column in (("dead", "obucket"), ("lost", "bucket")):  # what the merged ones replace elsewhere
             moved = self._read(table, column, parts)
@@ -396,11 +515,6 @@ class TextIndex:
         return rows, scored
 
 
-def trigrams(c: Column) -> Column:
-    """Each run of three characters once, A-Z lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(ascii_lower(c), F.lit("(?s)(?=(...))"), F.lit(1)))
-
-
 def pattern_trigrams(part: str) -> list[str]:
     """The trigrams that a text must have to hold part in the sense of `contains_like`: those between wildcards."""
     low = part.translate({i: i + 32 for i in range(65, 91)})
@@ -412,7 +526,6 @@ class TrigramIndex(TextIndex):
     """An index for LIKE: which documents have the trigrams that a pattern needs. It keeps the texts, block by block, so
     that only blocks with candidates are read to verify them."""
 
-    split: Callable[[Column], Column] = trigrams
     ranked: bool = False
 
     def candidates(self, part: str) -> DataFrame | None:
