@@ -191,6 +191,17 @@ def test_words_are_not_shuffled(spark, tmp_path):
         assert sum(s for s, _, _ in moved(spark, seen).values()) < 0.1 * size
 
 
+def test_places_of_a_phrase_are_no_rows(spark, tmp_path):
+    """A text that says a phrase 200,000 times: a search holds its places in arrays."""
+    df = spark.createDataFrame([(1, "s", "a b " * 200_000), (2, "s", "b a"), (3, "t", "a c b")], SCHEMA)
+    index = TextIndex(spark, str(tmp_path / "ix"), buckets=3).build(df)
+    seen = moved(spark, None)
+    assert {r.chunk_id: r.tf for r in index.hits('"a b"').collect()} == {1: 200_000}
+    assert {r.chunk_id: r.tf for r in index.hits('"a b a"').collect()} == {1: 199_999}
+    assert index.hits('"a a"').count() == 0
+    assert max(m for _, _, m in moved(spark, seen).values()) < 50_000_000
+
+
 def test_stretches_between_wildcards(spark):
     """A stretch is looked for once, after the one before it; characters of regular expressions stand for themselves."""
     rng = random.Random(3)

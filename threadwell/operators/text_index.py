@@ -417,18 +417,25 @@ class TextIndex:
     def _phrase(self, phrase: tuple[str, ...]) -> DataFrame | None:
         """The postings of a phrase, as `_entries` gives those of a term: documents where its terms stand side by side.
 
-        Positions are read only here, and only in blocks that hold all of the terms.
+        Positions are read only here. A row is a block that holds all of the terms; its arrays are compared where they
+        are, so a task holds no row for each place of a word.
         """
-        rows = self._postings(list(dict.fromkeys(phrase)), "places", "keys", "tfs", "dls", "pos")
+        first, *others = dict.fromkeys(phrase)
+        rows = self._postings([first, *others], "places", "keys", "dls", "pos")
         if rows is None:
             return None
-        full = rows.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") == len(set(phrase))).select("block")
-        zipped = F.explode(F.arrays_zip("places", "keys", "dls", "pos"))
-        held = rows.join(full, "block", "left_semi").select("term", "block", zipped.alias("e")).select("term", "block", F.col("e.places").alias("place"), F.col("e.keys").alias(self.key), F.col("e.dls").alias("dl"), "e.pos")
-        shifted = [F.when(F.col("term") == t, F.transform("pos", _less(i))).otherwise(F.array().cast("array<int>")) for i, t in enumerate(phrase)]
-        starts = F.flatten(F.array(*shifted))
-        found = held.select("block", "place", self.key, "dl", F.explode(starts).alias("start")).groupBy("block", "place", self.key, "dl", "start").agg(F.count("*").alias("n")).filter(F.col("n") == len(phrase))
-        return found.groupBy("block", "place", self.key, "dl").agg(F.count("*").alias("tf")).select(F.lit(" ".join(phrase)).alias("term"), "block", "place", self.key, "tf", "dl")
+        held = rows.filter(F.col("term") == first).drop("term")
+        for i, t in enumerate(others):
+            held = held.join(rows.filter(F.col("term") == t).select("block", F.col("places").alias(f"places{i}"), F.col("pos").alias(f"pos{i}")), "block")
+
+        def times(e: Column) -> Column:
+            said = {first: e["pos"]} | {t: F.get(f"pos{i}", (F.array_position(f"places{i}", e["places"]) - 1).cast("int")) for i, t in enumerate(others)}
+            starts = reduce(F.array_intersect, [F.transform(said[t], _less(i)) for i, t in enumerate(phrase)])
+            return F.coalesce(F.size(starts), F.lit(0))
+
+        found = F.filter(F.transform(F.arrays_zip("places", "keys", "dls", "pos"), lambda e: F.struct(e["places"].alias("place"), e["keys"].alias("key"), times(e).alias("tf"), e["dls"].alias("dl"))), lambda e: e["tf"] > 0)
+        each = held.select("block", F.explode(found).alias("e"))
+        return each.select(F.lit(" ".join(phrase)).alias("term"), "block", "e.place", F.col("e.key").alias(self.key), F.col("e.tf").cast("long").alias("tf"), "e.dl")
 
     def hits(self, query: str) -> DataFrame | None:
         """term (or phrase), block, place, key, tf and dl of the live documents of each of the query's terms and
