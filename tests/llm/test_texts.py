@@ -190,6 +190,37 @@ def test_repeated_substrings_of_hot_heads(spark, monkeypatch, hot):
         assert found == brute_cut(rows, n)
 
 
+def cut_of(df):
+    return collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, with_text=False).collect())
+
+
+def test_repeats_in_runs_of_different_sizes(spark):
+    """Two places whose hashes agree in their first 43 bits: a short text and one of over 1 MB must choose the same."""
+    rng = np.random.default_rng(1)
+    first, second = "sngx qiwnfvimnaqwotw kcm", "dgwyfkvcdlst hquvgqhebjh"
+    text = (prose(rng, 8)[:30] + first + prose(rng, 8)[:30] + second + prose(rng, 120))[:400]
+    rows = [(1, text), (2, text + " " + " ".join(f"{i:06d}" for i in range(155000)))]
+    got = cut_of(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(x[:4] for x in got) == [(1, 400, 400, 1), (2, len(rows[1][1]), 400, 1)]
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_repeats_in_texts_of_one_id_and_checksum(spark, doc_id):
+    """Rows that share an id and a crc32: only the one whose text repeats is cut."""
+    assert zlib.crc32(b"vcfgfgpx") == zlib.crc32(b"fcnlycbw")
+    rest = prose(np.random.default_rng(9), 120)[:392]
+    rows = [(doc_id, "vcfgfgpx" + rest), (doc_id, "fcnlycbw" + rest), (3, "vcfgfgpx" + rest + " and more")]
+    assert cut_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute_cut(rows, 400)
+
+
+def test_repeats_in_broken_utf8(spark):
+    rest = prose(np.random.default_rng(9), 120)[:400].encode()
+    rows = [(1, b"\xff\xfe" + rest), (2, rest + b"\xc3"), (3, b"\xe9")]
+    got = cut_of(spark.createDataFrame(rows, "doc_id long, text binary").withColumn("text", F.col("text").cast("string")))
+    kept = [b"\xff\xfe", b"\xc3", b"\xe9"]
+    assert got == collections.Counter((i, len(t), len(t) - len(k), int(len(t) > 400), hashlib.sha256(k).hexdigest()) for (i, t), k in zip(rows, kept, strict=True))
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = np.random.default_rng(1)
     for n_runs in (1, 2, 3, 7):
